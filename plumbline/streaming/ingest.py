@@ -1,0 +1,46 @@
+"""Typing records as they arrive, with the expressions a one-off load uses."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from ..functions.casting import CellType
+from ..operators.load import typed_load
+
+
+def typed_stream(
+    records: DataFrame,
+    cells: Sequence[CellType],
+    timezone: str,
+    row_number: str | None = None,
+) -> DataFrame:
+    """A stream of text records as typed rows with their issues. No state is kept."""
+    number = None if row_number is None else F.col(row_number)
+    return typed_load(records, cells, timezone, number)
+
+
+def append_to_version(
+    records: DataFrame,
+    cells: Sequence[CellType],
+    timezone: str,
+    data_dir: str,
+    checkpoint_dir: str,
+) -> StreamingQuery:
+    """Write arriving records into a version's directory, each exactly once.
+
+    Processes what is there and stops; run it again for what came since. The checkpoint
+    belongs in the shared storage of the cluster, next to the data.
+    """
+    return (
+        typed_stream(records, cells, timezone)
+        .writeStream.format("parquet")
+        .outputMode("append")
+        .option("path", data_dir)
+        .option("checkpointLocation", checkpoint_dir)
+        .trigger(availableNow=True)
+        .start()
+    )
