@@ -19,6 +19,7 @@ from ..model import (
     require_timezone,
     spark_type,
 )
+from .fence import fence
 from .grammar import (
     DECIMAL_PATTERN,
     INTEGER_PATTERN,
@@ -102,8 +103,8 @@ def cast_cells(
     issues = _issues(cells, row_number, field_count)
     return staged.select(
         *[F.col(f"`{name}`") for name in df.columns if name not in raw_names],
-        *[F.col(f"_value_{i}").alias(c.name) for i, c in enumerate(cells)],
-        issues.alias(ISSUES),
+        *[fence(F.col(f"_value_{i}")).alias(c.name) for i, c in enumerate(cells)],
+        fence(issues).alias(ISSUES),
     )
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ValidationError
 from ..model import GRANULARITIES, require_timezone
+from .fence import fence
 from .grammar import datetime_text, has_offset, trimmed
 
 OK = "ok"
@@ -120,7 +121,7 @@ def resolve_wall_clocks(df: DataFrame, walls: Mapping[str, str], timezone: str)
             F.struct(F.timestamp_seconds(seconds).alias("instant"), kind.alias("kind")),
         )
 
-    resolved = checked.withColumns({out: resolution(out, wall) for out, wall in walls.items()})
+    resolved = checked.withColumns({out: fence(resolution(out, wall)) for out, wall in walls.items()})
     return resolved.drop(
         *[
             f"_{part}_{out}"
