@@ -16,6 +16,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -117,12 +118,15 @@ def resolve_headers(cells: Sequence[str]) -> list[HeaderColumn]:
 def scan_csv(spark: SparkSession, path: str, ceilings: Ceilings = UNLIMITED) -> CsvScan:
     """Open a CSV file, or a folder of CSV files that all start with the same header."""
     configure(spark)
-    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    try:
+        files = spark.read.format("binaryFile").load(path).select("path", "length")
+    except AnalysisException:
+        raise NotFoundError("The uploaded file could not be found in storage.") from None
     found = files.agg(
         F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"), F.min("path").alias("first")
     ).first()
-    if found.files == 0:
-        raise NotFoundError("The uploaded file could not be found in storage.")
+    if found.files == 0:  # files without any byte are not listed
+        raise ValidationError("The uploaded file has no columns to import.")
     ceilings.check(size=found.bytes)
     head = _head(spark, found.first)
     separator = _line_separator(head)
