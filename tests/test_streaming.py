@@ -1,0 +1,29 @@
+from pyspark.sql import functions as F
+
+from plumbline.functions.casting import CellType
+from plumbline.operators.load import import_errors
+from plumbline.streaming.ingest import append_to_version
+
+CELLS = [CellType("n", "integer"), CellType("at", "timestamptz")]
+
+
+def test_arriving_records_are_typed_once(spark, tmp_path):
+    inbox, data, marks = (str(tmp_path / name) for name in ("inbox", "data", "marks"))
+
+    def arrive(rows):
+        spark.createDataFrame(rows, "n string, at string").coalesce(1).write.mode("append").json(inbox)
+        stream = spark.readStream.schema("n string, at string").json(inbox)
+        append_to_version(stream, CELLS, "America/New_York", data, marks).awaitTermination(120)
+
+    arrive([("1", "2026-03-08 02:30:00"), ("x", "2026-03-09T00:00:00Z")])
+    arrive([("3", "2026-11-01 01:30:00")])
+    stored = spark.read.parquet(data)
+    assert sorted((r.n or 0, str(r["at"])) for r in stored.collect()) == [
+        (0, "2026-03-09 00:00:00"),
+        (1, "2026-03-08 07:30:00"),
+        (3, "2026-11-01 05:30:00"),
+    ]
+    codes = import_errors(stored).groupBy("error_code").agg(F.count("*").alias("n")).collect()
+    assert {r.error_code: r.n for r in codes} == {
+        "UNPARSEABLE_VALUE": 1, "NONEXISTENT_LOCAL_TIME": 1, "AMBIGUOUS_LOCAL_TIME": 1
+    }
