@@ -45,8 +45,14 @@ def _real_day(text: Column) -> Column:
     return day.try_cast("date").isNotNull() & (F.substring(text, 1, 2) != "00")
 
 
+def fits_bigint(digits: Column) -> Column:
+    """Whether a whole number fits 64 bits. Only long ones are converted to find out,
+    since a conversion that fails is many times dearer than one that does not."""
+    return (F.length(digits) <= 18) | digits.try_cast("bigint").isNotNull()
+
+
 def integer_text(text: Column) -> Column:
-    return _holds(text.rlike(INTEGER_PATTERN) & text.try_cast("bigint").isNotNull())
+    return _holds(text.rlike(INTEGER_PATTERN) & fits_bigint(text))
 
 
 def decimal_text(text: Column) -> Column:

@@ -15,6 +15,7 @@ from ..functions.grammar import (
     date_text,
     datetime_text,
     decimal_text,
+    fits_bigint,
     has_offset,
     trimmed,
 )
@@ -65,24 +66,21 @@ def column_profile(cells: DataFrame, names: Sequence[str] | None = None) -> Data
         )
     )
 
-    def count(condition: Column) -> Column:
-        return F.count_if(condition)
-
-    integer = F.when(F.col("is_decimal"), text.rlike(INTEGER_PATTERN))
+    whole = F.col("is_decimal") & text.rlike(INTEGER_PATTERN)
     explicit = has_offset(text)
     scale = F.when(
         F.col("is_decimal") & text.contains("."), F.length(F.substring_index(text, ".", -1))
     )
     counted = looked_at.groupBy("name").agg(
-        count(~F.col("filled")).alias("empty_count"),
-        count(F.col("filled")).alias("non_empty_count"),
-        count(integer & text.try_cast("bigint").isNotNull()).alias("integer_matches"),
-        count(F.col("is_decimal")).alias("decimal_matches"),
-        count(F.col("is_boolean")).alias("boolean_matches"),
-        count(F.col("is_date")).alias("date_matches"),
-        count(F.col("is_datetime")).alias("timestamptz_matches"),
-        count(F.col("is_datetime") & explicit).alias("explicit_count"),
-        count(F.col("is_datetime") & ~explicit).alias("naive_count"),
+        F.count_if(~F.col("filled")).alias("empty_count"),
+        F.count_if(F.col("filled")).alias("non_empty_count"),
+        F.count_if(F.when(whole, fits_bigint(text))).alias("integer_matches"),
+        F.count_if(F.col("is_decimal")).alias("decimal_matches"),
+        F.count_if(F.col("is_boolean")).alias("boolean_matches"),
+        F.count_if(F.col("is_date")).alias("date_matches"),
+        F.count_if(F.col("is_datetime")).alias("timestamptz_matches"),
+        F.count_if(F.col("is_datetime") & explicit).alias("explicit_count"),
+        F.count_if(F.col("is_datetime") & ~explicit).alias("naive_count"),
         F.coalesce(F.max(scale), F.lit(0)).cast("bigint").alias("max_scale"),
     )
     # Every column is reported, also when there was no row to count.

@@ -14,6 +14,9 @@ from pyspark.sql import SparkSession
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
+    # Compiled methods beyond this size are never optimized by the JVM. Above it, wide
+    # projections are better off as separate, smaller methods.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # Of a key written twice in one JSON object the last one counts.
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.adaptive.enabled": "true",
