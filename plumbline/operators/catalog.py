@@ -22,6 +22,22 @@ from pyspark.sql import functions as F
 COMPLETED = "COMPLETED"
 CANCELLED = "CANCELLED"
 
+_NULL_SHARES = 1024
+
+
+def optional_lookup(left: DataFrame, right: DataFrame, key: str, spread_by: str) -> DataFrame:
+    """Left join on a reference that may be missing in many rows.
+
+    Rows without a reference match nothing, yet a join sends them all to one task. Here
+    they are dealt out by another column. Hot references are left to adaptive execution,
+    which splits the partitions they make too large.
+    """
+    share = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(spread_by), F.lit(_NULL_SHARES)))
+    dealt = left.withColumn("_share", F.coalesce(share, F.lit(0)))
+    return dealt.join(right.withColumn("_share", F.lit(0).cast("bigint")), [key, "_share"], "left").drop(
+        "_share"
+    )
+
 
 def tenant_scope(table: DataFrame, organization_id, column: str = "organization_id") -> DataFrame:
     """Only one tenant's rows. On a table partitioned by tenant this prunes directories."""
@@ -33,7 +49,7 @@ def datasets_with_current_version(datasets: DataFrame, versions: DataFrame) -> D
     current = versions.select(
         F.col("version_id").alias("current_version_id"), "version_number", "status", "row_count"
     )
-    return datasets.join(current, "current_version_id", "left").orderBy(
+    return optional_lookup(datasets, current, "current_version_id", "dataset_id").orderBy(
         F.col("created_at").desc_nulls_first(), F.col("dataset_id").asc()
     )
 
@@ -74,10 +90,12 @@ def widget_list(
     queries = saved_queries.select("saved_query_id", "saved_query_name", "dataset_id")
     named = datasets.select("dataset_id", "dataset_name", "current_version_id")
     current = versions.select(F.col("version_id").alias("current_version_id"), "version_number")
-    return (
+    listed = (
         widgets.join(queries, "saved_query_id", "inner")
         .join(named, "dataset_id", "inner")
-        .join(current, "current_version_id", "left")
+    )
+    return (
+        optional_lookup(listed, current, "current_version_id", "widget_id")
         .select(
             "dashboard_id",
             "position",
@@ -120,7 +138,7 @@ def workspace_totals(datasets: DataFrame, versions: DataFrame) -> DataFrame:
     """Per tenant: rows in current versions, datasets with a version, registered versions."""
     sizes = versions.select(F.col("version_id").alias("current_version_id"), "row_count")
     current = (
-        datasets.join(sizes, "current_version_id", "left")
+        optional_lookup(datasets, sizes, "current_version_id", "dataset_id")
         .groupBy("organization_id")
         .agg(
             F.sum(F.coalesce(F.col("row_count").cast("decimal(38,0)"), F.lit(0))).alias("total_rows"),

@@ -13,7 +13,7 @@ from __future__ import annotations
 import csv
 import io
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.errors import AnalysisException
@@ -31,6 +31,9 @@ ROW_NUMBER = "_row_number"
 FIELD_COUNT = "_field_count"
 
 BOM = "\ufeff"
+# A row per split is small; up to this many are sent to every executor (some 100 MB).
+# Beyond it the splits are joined like any other table.
+BROADCAST_SPLITS = 500_000
 # The header must end within the first part of a file; it is all the driver ever reads.
 HEAD_BYTES = 1 << 20
 
@@ -132,7 +135,8 @@ def scan_csv(spark: SparkSession, path: str, ceilings: Ceilings = UNLIMITED) ->
     separator = _line_separator(head)
     cells = _header_cells(head)
     ceilings.check(columns=len(cells))
-    return CsvScan(spark, path, tuple(resolve_headers(cells)), separator, found.bytes, ceilings)
+    header = tuple(resolve_headers(cells))
+    return CsvScan(spark, path, found.first, header, separator, found.bytes, ceilings)
 
 
 def _head(spark: SparkSession, path: str) -> str:
@@ -181,6 +185,7 @@ class CsvScan:
 
     spark: SparkSession
     path: str
+    first_file: str
     header: tuple[HeaderColumn, ...]
     line_separator: str
     size_bytes: int
@@ -240,6 +245,7 @@ class CsvScan:
             F.coalesce(F.bool_or("_plain"), F.lit(False)).alias("any_plain"),
             F.coalesce(F.bool_or(~F.col("_plain")), F.lit(False)).alias("any_framed"),
             F.count_distinct("_header_line").alias("headers"),
+            F.count(F.lit(1)).alias("splits"),
         ).first()
         if not shape.closed:
             raise ValidationError("The file is not valid CSV: a quoted field is never closed.")
@@ -247,11 +253,14 @@ class CsvScan:
             raise ValidationError("The files do not all start with the same header.")
         return shape
 
+    def _per_split(self, splits: DataFrame) -> DataFrame:
+        return F.broadcast(splits) if self._shape.splits <= BROADCAST_SPLITS else splits
+
     def _plain_records(self) -> DataFrame:
         """Records of files in which every line is one record. No shuffle."""
         splits = self._splits.filter("_plain")
         number = F.col("_lines_before") + F.col("_order") - F.col("_first_order")
-        return self._lines.join(splits, [FILE, "_block"]).select(
+        return self._lines.join(self._per_split(splits), [FILE, "_block"]).select(
             FILE, number.alias(ROW_NUMBER), F.col("value").alias("_record")
         )
 
@@ -263,7 +272,7 @@ class CsvScan:
         brought together.
         """
         splits = self._splits.filter(~F.col("_plain")).select(FILE, "_block", "_opens_quoted")
-        lines = self._lines.join(splits, [FILE, "_block"])
+        lines = self._lines.join(self._per_split(splits), [FILE, "_block"])
         in_split = Window.partitionBy(FILE, "_block").orderBy("_order")
         odd = _quotes(F.col("value")) % 2
         opened = F.sum("_odd").over(in_split) - F.col("_odd") + F.col("_opens_quoted")
@@ -295,7 +304,7 @@ class CsvScan:
         numbered = (
             placed(lines, "value")
             .filter((F.col("_open") == 1) | (F.col("_begins") == 1))
-            .join(offsets, [FILE, "_block"])
+            .join(self._per_split(offsets), [FILE, "_block"])
             .select(FILE, "_block", "_order", number.alias(ROW_NUMBER), "value", "_odd", "_open")
         )
         alone = (F.col("_open") == 0) & (F.col("_odd") == 0)
@@ -320,16 +329,21 @@ class CsvScan:
             records = self._plain_records().unionByName(self._framed_records())
         return records.filter(F.col(ROW_NUMBER) > 0)
 
+    @cached_property
+    def _first_scan(self) -> CsvScan:
+        return replace(self, path=self.first_file)
+
     def records(self, sample_rows: int | None = None) -> DataFrame:
         """Text columns of every record, with file, row number and real field count.
 
         A record with too few or too many fields is kept: missing ones are null, surplus
-        ones are dropped, and the count tells. ``sample_rows`` keeps the first rows of
-        each file; rows beyond them are discarded before they are parsed.
+        ones are dropped, and the count tells. ``sample_rows`` asks for the first rows of
+        the first file only; no other file is read for them.
         """
-        texts = self.record_texts
-        if sample_rows is not None:
-            texts = texts.filter(F.col(ROW_NUMBER) <= sample_rows)
+        if sample_rows is None:
+            texts = self.record_texts
+        else:
+            texts = self._first_scan.record_texts.filter(F.col(ROW_NUMBER) <= sample_rows)
         fields = [f"_f{i}" for i in range(len(self.header))]
         schema = ", ".join(f"{name} string" for name in fields)
         options = {**_PARSE_OPTIONS, "maxColumns": str(max(len(fields) * 4, 20_480))}

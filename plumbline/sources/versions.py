@@ -50,17 +50,21 @@ class VersionStore:
             return f"{self.root}/data/dataset_id={dataset_id}/v={version}"
         return f"{self.root}/catalog/{table}/dataset_id={dataset_id}/version_number={version}"
 
-    def _catalog(self, table: str, schema: str) -> DataFrame:
+    def _catalog(self, table: str, schema: str, dataset_id: str | None) -> DataFrame:
+        """A catalog table, or one dataset's part of it without listing any other."""
+        base = path = f"{self.root}/catalog/{table}"
+        if dataset_id is not None:
+            path = f"{base}/dataset_id={dataset_id}"
         try:
-            return self.spark.read.schema(schema).parquet(f"{self.root}/catalog/{table}")
+            return self.spark.read.schema(schema).option("basePath", base).parquet(path)
         except AnalysisException:
             return self.spark.createDataFrame([], schema)
 
-    def versions(self) -> DataFrame:
-        return self._catalog("versions", _VERSION_SCHEMA)
+    def versions(self, dataset_id: str | None = None) -> DataFrame:
+        return self._catalog("versions", _VERSION_SCHEMA, dataset_id)
 
-    def columns(self) -> DataFrame:
-        return self._catalog("columns", _COLUMN_SCHEMA)
+    def columns(self, dataset_id: str | None = None) -> DataFrame:
+        return self._catalog("columns", _COLUMN_SCHEMA, dataset_id)
 
     def current_versions(self) -> DataFrame:
         """The version each dataset points at: its highest completed one."""
@@ -71,17 +75,11 @@ class VersionStore:
         )
 
     def current_version_number(self, dataset_id: str) -> int | None:
-        found = (
-            self.versions()
-            .filter((F.col("dataset_id") == dataset_id) & (F.col("status") == "COMPLETED"))
-            .agg(F.max("version_number").alias("n"))
-            .first()
-        )
-        return found.n
+        completed = self.versions(dataset_id).filter(F.col("status") == "COMPLETED")
+        return completed.agg(F.max("version_number").alias("n")).first().n
 
     def next_version_number(self, dataset_id: str) -> int:
-        taken = self.versions().filter(F.col("dataset_id") == dataset_id)
-        return (taken.agg(F.max("version_number").alias("n")).first().n or 0) + 1
+        return (self.versions(dataset_id).agg(F.max("version_number").alias("n")).first().n or 0) + 1
 
     def write_version(
         self,
@@ -111,9 +109,8 @@ class VersionStore:
             "nullable boolean",
         )
         current = self.current_version_number(dataset_id)
-        previous = self.columns().filter(
-            (F.col("dataset_id") == dataset_id)
-            & (F.col("version_number") == F.lit(-1 if current is None else current))
+        previous = self.columns(dataset_id).filter(
+            F.col("version_number") == F.lit(-1 if current is None else current)
         )
         resolved = column_continuity(described, previous).join(
             described.select("name", "nullable"), "name"
@@ -134,8 +131,8 @@ class VersionStore:
 
     def version_columns(self, dataset_id: str, version: int) -> list[Column]:
         rows = (
-            self.columns()
-            .filter((F.col("dataset_id") == dataset_id) & (F.col("version_number") == version))
+            self.columns(dataset_id)
+            .filter(F.col("version_number") == version)
             .orderBy("position")
             .collect()  # one row per column of one version
         )
