@@ -8,6 +8,8 @@ is null and ``error_code`` set exactly when the run failed.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,7 +66,7 @@ def latency_summary(
     earlier = F.sum("in_block").over(Window.partitionBy(*by).orderBy("block")) - F.col("in_block")
     blocks = blocks.select(*by, "block", earlier.alias("before_block"))
     inside = F.sum("n").over(Window.partitionBy(*by, "block").orderBy("cell"))
-    ranked = histogram.join(blocks, [*by, "block"]).withColumn(
+    ranked = _same(histogram, blocks, [*by, "block"]).withColumn(
         "through", F.col("before_block") + inside
     )
 
@@ -75,7 +77,7 @@ def latency_summary(
 
     ends = ["runs", "cold", "lowest", "highest"]
     summary = (
-        ranked.join(totals, by)
+        _same(ranked, totals, by)
         .groupBy(*by, *ends)
         .agg(placed(50).alias("p50"), placed(95).alias("p95"))
     )
@@ -91,6 +93,13 @@ def latency_summary(
     )
 
 
+def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on equal keys, a null being equal to a null: grouping has made it a key."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    return left.join(renamed, same).drop(*[f"_right_{k}" for k in keys])
+
+
 def modal_value(table: DataFrame, column: str) -> DataFrame:
     """The most frequent value and its count; of equally frequent ones the smallest."""
     return (

@@ -134,11 +134,12 @@ def test_latency_by_brute_force(spark):
     rng = random.Random(3)
     rows = [
         (k, i, rng.choice([round(rng.uniform(0, 500), 3), 120.0, 0.004, 29_999.999]))
-        for k, n in (("a", 1), ("b", 7), ("c", 180), ("d", 1000))
+        for k, n in (("a", 1), ("b", 7), ("c", 180), (None, 1000))
         for i in range(n)
     ]
     frame = spark.createDataFrame(rows, "k string, at int, ms double")
     summary = audit.latency_summary(frame, "ms", ["at"], ["k"]).collect()
+    assert {row.k for row in summary} == {"a", "b", "c", None}
     for row in summary:
         durations = [ms for k, _, ms in rows if k == row.k]
         ranked = sorted(durations)
@@ -152,7 +153,7 @@ def test_latency_by_brute_force(spark):
         assert tuple(row)[1:] == (
             len(ranked), hundredths(durations[0]), placed(50), placed(95), placed(0), placed(100)
         )
-    whole = audit.latency_summary(frame, "ms", ["k", "at"]).first()
+    whole = audit.latency_summary(frame, "ms", ["at"]).first()
     assert whole.runs == len(rows)
 
 
@@ -166,3 +167,26 @@ def test_counts_and_mode(spark):
     assert tuple(audit.modal_value(many, "c").first()) == ("x", 10)
     units = spark.createDataFrame([(1, "USD"), (1, "EUR"), (2, "USD"), (2, None)], "k int, unit string")
     assert [tuple(r) for r in schema.mixed_unit_groups(units, ["k"], "unit").collect()] == [(1, 2, 2)]
+
+
+def test_a_hot_key_and_missing_references(spark):
+    """A third of the rows under one key, a third under none: nothing may get lost."""
+    rows = spark.range(9000).selectExpr(
+        "id AS import_id",
+        "CASE id % 3 WHEN 0 THEN 'hot' WHEN 1 THEN CAST(id AS STRING) END AS dataset_id",
+        "'FAILED' AS status",
+        "id % 100 AS created_at",
+    )
+    latest = catalog.latest_imports(rows)
+    assert latest.count() == 3002
+    best = max((i % 100, i) for i in range(0, 9000, 3))
+    assert latest.filter("dataset_id = 'hot'").first().import_id == best[1]
+    missing = max((i % 100, i) for i in range(2, 9000, 3))
+    assert latest.filter("dataset_id IS NULL").first().import_id == missing[1]
+
+    names = spark.range(9000).selectExpr("CAST(id AS STRING) AS dataset_id", "id AS n").union(
+        spark.sql("SELECT 'hot', -1L")
+    )
+    joined = catalog.optional_lookup(rows, names, "dataset_id", "import_id")
+    assert joined.count() == 9000 and set(joined.columns) == {*rows.columns, "n"}
+    assert joined.filter("n = -1").count() == 3000 and joined.filter("n IS NULL").count() == 3000
