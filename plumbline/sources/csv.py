@@ -4,7 +4,7 @@ A quoted field may hold line breaks, so where a record starts depends on every q
 before it. Spark's multi-line mode answers that by giving each file to one task. Here
 the text is read in splits instead, and the two things that depend on what came before
 are settled from one small row per split: how many records lie before it, and whether
-it begins inside quotes. Only files that really have line breaks in quotes (or blank
+it begins inside quotes. Only splits that really hold line breaks in quotes (or blank
 lines, which count for nothing) pay for a shuffle, by split, to place their lines.
 """
 
@@ -205,12 +205,18 @@ class CsvScan:
             F.monotonically_increasing_id().alias("_order"),
         )
 
+    def _written(self, frame: DataFrame) -> DataFrame:
+        """A table of splits, written down so that it is not computed anew for each reading."""
+        target = scratch_path(self.spark, "csv-splits")
+        frame.write.parquet(target)
+        return self.spark.read.parquet(target)
+
     @cached_property
-    def _splits(self) -> DataFrame:
-        """One row per split: how many lines and open quotes lie before it in its file.
+    def _counted(self) -> DataFrame:
+        """One row per split, from the first pass over the text.
 
-        The first pass over the text. It is written down once, because every later
-        reading of the records needs it and it must not be computed anew each time.
+        A split is plain when each of its lines is one record: it begins outside quotes,
+        and has no line that leaves a quote open and no blank one.
         """
         odd = _quotes(F.col("value")) % 2
         counted = self._lines.groupBy(FILE, "_block").agg(
@@ -221,26 +227,23 @@ class CsvScan:
             F.min_by("value", "_order").alias("_first_line"),
         )
         in_file = Window.partitionBy(FILE)
-        before = in_file.orderBy("_block")
+        before = F.sum("_odd_lines").over(in_file.orderBy("_block")) - F.col("_odd_lines")
+        is_first = F.col("_block") == F.min("_block").over(in_file)
         placed = counted.select(
             FILE,
             "_block",
             "_first_order",
-            (F.sum("_line_count").over(before) - F.col("_line_count")).alias("_lines_before"),
-            ((F.sum("_odd_lines").over(before) - F.col("_odd_lines")) % 2).alias("_opens_quoted"),
-            (F.sum(F.col("_odd_lines") + F.col("_blank_lines")).over(in_file) == 0).alias("_plain"),
+            "_line_count",
+            (before % 2).alias("_opens_quoted"),
+            (F.col("_odd_lines") + F.col("_blank_lines") + before % 2 == 0).alias("_plain"),
             (F.sum("_odd_lines").over(in_file) % 2 == 0).alias("_closed"),
-            F.when(F.col("_block") == F.min("_block").over(in_file), F.col("_first_line")).alias(
-                "_header_line"
-            ),
+            F.when(is_first, F.col("_first_line")).alias("_header_line"),
         )
-        target = scratch_path(self.spark, "csv-splits")
-        placed.write.parquet(target)
-        return self.spark.read.parquet(target)
+        return self._written(placed)
 
     @cached_property
     def _shape(self):
-        shape = self._splits.agg(
+        shape = self._counted.agg(
             F.coalesce(F.bool_and("_closed"), F.lit(True)).alias("closed"),
             F.coalesce(F.bool_or("_plain"), F.lit(False)).alias("any_plain"),
             F.coalesce(F.bool_or(~F.col("_plain")), F.lit(False)).alias("any_framed"),
@@ -256,60 +259,74 @@ class CsvScan:
     def _per_split(self, splits: DataFrame) -> DataFrame:
         return F.broadcast(splits) if self._shape.splits <= BROADCAST_SPLITS else splits
 
-    def _plain_records(self) -> DataFrame:
-        """Records of files in which every line is one record. No shuffle."""
-        splits = self._splits.filter("_plain")
-        number = F.col("_lines_before") + F.col("_order") - F.col("_first_order")
-        return self._lines.join(self._per_split(splits), [FILE, "_block"]).select(
-            FILE, number.alias(ROW_NUMBER), F.col("value").alias("_record")
-        )
-
-    def _framed_records(self) -> DataFrame:
-        """Records of files with line breaks in quotes or blank lines.
+    def _placed_lines(self, *carried: str) -> DataFrame:
+        """Lines of the splits that are not plain, with whether each begins a record.
 
         Two running counts over each split, at most one read block of text: quotes left
-        open, then records begun. Only the lines of records that span several are
-        brought together.
+        open, then records begun.
         """
-        splits = self._splits.filter(~F.col("_plain")).select(FILE, "_block", "_opens_quoted")
-        lines = self._lines.join(self._per_split(splits), [FILE, "_block"])
+        framed = self._counted.filter(~F.col("_plain")).select(FILE, "_block", "_opens_quoted")
         in_split = Window.partitionBy(FILE, "_block").orderBy("_order")
-        odd = _quotes(F.col("value")) % 2
         opened = F.sum("_odd").over(in_split) - F.col("_odd") + F.col("_opens_quoted")
-        begins = (F.col("_open") == 0) & ~F.col("_blank")
-
-        def placed(frame: DataFrame, *carried: str) -> DataFrame:
-            flagged = frame.select(
+        return (
+            self._lines.join(self._per_split(framed), [FILE, "_block"])
+            .select(
                 FILE,
                 "_block",
                 "_order",
                 "_opens_quoted",
-                odd.alias("_odd"),
+                (_quotes(F.col("value")) % 2).alias("_odd"),
                 (F.col("value") == "").alias("_blank"),
                 *carried,
             )
-            return (
-                flagged.withColumn("_open", opened % 2)
-                .withColumn("_begins", begins.cast("long"))
-                .withColumn("_begun", F.sum("_begins").over(in_split))
-            )
+            .withColumn("_open", opened % 2)
+            .withColumn("_begins", ((F.col("_open") == 0) & ~F.col("_blank")).cast("long"))
+            .withColumn("_begun", F.sum("_begins").over(in_split))
+        )
 
-        per_split = placed(lines).groupBy(FILE, "_block").agg(F.sum("_begins").alias("_records"))
+    @cached_property
+    def _splits(self) -> DataFrame:
+        """The splits, with how many records of the file begin before each of them."""
+        splits = self._counted
+        records = F.col("_line_count")
+        if self._shape.any_framed:
+            begun = self._placed_lines().groupBy(FILE, "_block").agg(F.sum("_begins").alias("_begun"))
+            splits = splits.join(begun, [FILE, "_block"], "left")
+            records = F.when(F.col("_plain"), records).otherwise(F.col("_begun"))
         before = Window.partitionBy(FILE).orderBy("_block")
-        offsets = per_split.select(
-            FILE, "_block", (F.sum("_records").over(before) - F.col("_records")).alias("_records_before")
+        return self._written(
+            splits.withColumn("_records", records).select(
+                FILE,
+                "_block",
+                "_first_order",
+                "_plain",
+                (F.sum("_records").over(before) - F.col("_records")).alias("_records_before"),
+            )
+        )
+
+    def _plain_records(self) -> DataFrame:
+        """Records of plain splits. No shuffle."""
+        splits = self._per_split(self._splits.filter("_plain"))
+        number = F.col("_records_before") + F.col("_order") - F.col("_first_order")
+        return self._lines.join(splits, [FILE, "_block"]).select(
+            FILE, number.alias(ROW_NUMBER), F.col("value").alias("_record")
         )
+
+    def _framed_records(self) -> DataFrame:
+        """Records that begin or end in the other splits. Only the lines of records that
+        span several are brought together."""
+        splits = self._splits.filter(~F.col("_plain")).select(FILE, "_block", "_records_before")
         # The header is record 1, so that data rows count from 1.
         number = F.col("_records_before") + F.col("_begun") - 1
         numbered = (
-            placed(lines, "value")
+            self._placed_lines("value")
             .filter((F.col("_open") == 1) | (F.col("_begins") == 1))
-            .join(self._per_split(offsets), [FILE, "_block"])
+            .join(self._per_split(splits), [FILE, "_block"])
             .select(FILE, "_block", "_order", number.alias(ROW_NUMBER), "value", "_odd", "_open")
         )
         alone = (F.col("_open") == 0) & (F.col("_odd") == 0)
-        single = numbered.filter(alone).select(FILE, ROW_NUMBER, F.col("value").alias("_record"))
         parts = F.sort_array(F.collect_list(F.struct("_block", "_order", "value")))
+        single = numbered.filter(alone).select(FILE, ROW_NUMBER, F.col("value").alias("_record"))
         spanning = (
             numbered.filter(~alone)
             .groupBy(FILE, ROW_NUMBER)
