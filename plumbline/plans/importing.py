@@ -15,6 +15,13 @@ from ..sources.csv import FIELD_COUNT, FILE, ROW_NUMBER, UNLIMITED, Ceilings, Cs
 from ..sources.versions import VersionStore
 
 
+_PROPOSAL = (
+    "position bigint, name string, type string, nullable boolean, unparseable_count bigint, "
+    "datetime_offset string, decimal_scale bigint, original_header string, "
+    "header_renamed boolean, header_issues array<string>"
+)
+
+
 @dataclass(frozen=True)
 class ProposedImport:
     """A profiled file: what the reader may confirm or override before it is loaded."""
@@ -33,12 +40,13 @@ def profile_import(
     scan = scan_csv(spark, path, ceilings)
     scan.enforce_ceilings()
     proposed = infer_schema(column_profile(scan.cells(sample_rows), scan.names))
-    headers = spark.createDataFrame(
-        [(h.position, h.original_header, h.renamed, list(h.issues)) for h in scan.header],
-        "position bigint, original_header string, header_renamed boolean, "
-        "header_issues array<string>",
-    )
-    return ProposedImport(scan, proposed.join(headers, "position").orderBy("position"))
+    # One row per column, kept as it is: confirming must not read the file again.
+    described = [
+        (*row, header.original_header, header.renamed, list(header.issues))
+        for row, header in zip(proposed.orderBy("position").collect(), scan.header)
+    ]
+    columns = spark.createDataFrame(described, _PROPOSAL)
+    return ProposedImport(scan, columns)
 
 
 def load_import(

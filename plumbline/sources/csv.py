@@ -136,7 +136,9 @@ def scan_csv(spark: SparkSession, path: str, ceilings: Ceilings = UNLIMITED) ->
     cells = _header_cells(head)
     ceilings.check(columns=len(cells))
     header = tuple(resolve_headers(cells))
-    return CsvScan(spark, path, found.first, header, separator, found.bytes, ceilings)
+    return CsvScan(
+        spark, path, found.first, found.files, header, separator, found.bytes, ceilings
+    )
 
 
 def _head(spark: SparkSession, path: str) -> str:
@@ -186,6 +188,7 @@ class CsvScan:
     spark: SparkSession
     path: str
     first_file: str
+    file_count: int
     header: tuple[HeaderColumn, ...]
     line_separator: str
     size_bytes: int
@@ -224,7 +227,7 @@ class CsvScan:
             F.count(F.lit(1)).alias("_line_count"),
             F.sum(odd).alias("_odd_lines"),
             F.count_if(F.col("value") == "").alias("_blank_lines"),
-            F.min_by("value", "_order").alias("_first_line"),
+            F.min_by(F.xxhash64("value"), "_order").alias("_first_line"),
         )
         in_file = Window.partitionBy(FILE)
         before = F.sum("_odd_lines").over(in_file.orderBy("_block")) - F.col("_odd_lines")
@@ -348,7 +351,7 @@ class CsvScan:
 
     @cached_property
     def _first_scan(self) -> CsvScan:
-        return replace(self, path=self.first_file)
+        return self if self.file_count == 1 else replace(self, path=self.first_file, file_count=1)
 
     def records(self, sample_rows: int | None = None) -> DataFrame:
         """Text columns of every record, with file, row number and real field count.

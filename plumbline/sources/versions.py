@@ -101,23 +101,17 @@ class VersionStore:
 
         summary = load_summary(self.spark.read.parquet(data_dir)).first()
         described = self.spark.createDataFrame(
-            [
-                (dataset_id, version, i, cell.name, cell.type, cell.name in summary.nullable_columns)
-                for i, cell in enumerate(cells, start=1)
-            ],
-            "dataset_id string, version bigint, position bigint, name string, type string, "
-            "nullable boolean",
+            [(dataset_id, version, i, c.name, c.type) for i, c in enumerate(cells, start=1)],
+            "dataset_id string, version bigint, position bigint, name string, type string",
         )
         current = self.current_version_number(dataset_id)
         previous = self.columns(dataset_id).filter(
             F.col("version_number") == F.lit(-1 if current is None else current)
         )
-        resolved = column_continuity(described, previous).join(
-            described.select("name", "nullable"), "name"
-        )
-        resolved.select("column_id", "position", "name", "type", "nullable").coalesce(1).write.mode(
-            "overwrite"
-        ).parquet(self._dir("columns", dataset_id, version))
+        nullable = F.col("name").isin(*summary.nullable_columns) if summary.nullable_columns else F.lit(False)
+        column_continuity(described, previous).select(
+            "column_id", "position", "name", "type", nullable.alias("nullable")
+        ).coalesce(1).write.mode("overwrite").parquet(self._dir("columns", dataset_id, version))
         self.spark.range(1).select(
             F.lit(f"{dataset_id}-v{version}").alias("version_id"),
             F.lit("COMPLETED").alias("status"),
