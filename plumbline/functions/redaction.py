@@ -116,8 +116,10 @@ def redact_text(text: Column, spaced_secrets: bool = False) -> Column:
 
 
 def is_credential_key(key: Column) -> Column:
-    flat = F.regexp_replace(F.lower(key), "[^a-z0-9]", "")
-    return flat.rlike("|".join(CREDENTIAL_PIECES))
+    """A key that spells a credential word, whatever stands between its letters."""
+    between = "[^a-z0-9]*"
+    spelled = "|".join(between.join(piece) for piece in CREDENTIAL_PIECES)
+    return F.lower(key).rlike(spelled)
 
 
 def is_content_key(key: Column) -> Column:
