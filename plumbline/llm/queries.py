@@ -7,10 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, warc
+from plumbline.llm import bpe, decontaminate, warc
 from plumbline.llm.common import table
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("hit_words").cast("long").alias("n_hit"),
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.encode_decode(docs, bpe.public_vocabulary())
@@ -28,11 +40,45 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_decontaminate": op3_decontaminate,
     "op9_bpe": op9_bpe,
     "op10_warc": op10_warc,
 }
 
+_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+
 ORACLES: dict[str, str] = {
+    "op3_decontaminate": f"""
+        WITH d AS (
+            SELECT doc_id, {_WORDS} AS w FROM documents
+        ), i AS (
+            SELECT item_id::VARCHAR AS item, w, least(13, len(w)) AS n
+            FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0
+        ), iw AS (
+            SELECT DISTINCT item, n, array_to_string(w[s:s + n - 1], ' ') AS t
+            FROM (SELECT item, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM i)
+        ), lengths AS (
+            SELECT DISTINCT n FROM iw
+        ), dw AS (
+            SELECT doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') AS t
+            FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, lengths)
+        ), hits AS (
+            SELECT doc_id, n, s, item FROM dw JOIN iw USING (n, t)
+        ), covered AS (
+            SELECT doc_id, count(DISTINCT p) AS n_hit
+            FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM (SELECT DISTINCT doc_id, n, s FROM hits)) GROUP BY 1
+        ), named AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+            FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY 1
+        )
+        SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+            coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+            coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+    """,
     "op10_warc": """
         WITH p AS (
             SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
