@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, decontaminate, vectors, warc
+from plumbline.llm import bpe, decontaminate, near_documents, vectors, warc
 from plumbline.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op8_near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_documents.near_documents(table(spark, sf_dir, "documents"), shingle=4)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.encode_decode(docs, bpe.public_vocabulary())
@@ -46,6 +50,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op7_near_vectors": op7_near_vectors,
+    "op8_near_documents": op8_near_documents,
     "op9_bpe": op9_bpe,
     "op10_warc": op10_warc,
 }
