@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, decontaminate, near_documents, suffixes, vectors, warc
-from plumbline.llm.common import table
+from plumbline.llm import bpe, decontaminate, language, near_documents, suffixes, vectors, warc
+from plumbline.llm.common import crc32_mod, table
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,12 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", crc32_mod(F.col("doc_id"), 5) == 0)
+    model = language.learn(docs.where("not held_out").select("text", "lang"))
+    return language.identify(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
 def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -62,6 +68,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op3_decontaminate": op3_decontaminate,
+    "op4_language": op4_language,
     "op7_near_vectors": op7_near_vectors,
     "op8_near_documents": op8_near_documents,
     "op9_bpe": op9_bpe,
