@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, decontaminate, language, near_documents, suffixes, vectors, warc
+from plumbline.llm import bpe, decontaminate, language, near_documents, quality, suffixes, vectors, warc
 from plumbline.llm.common import crc32_mod, table
 
 
@@ -41,6 +41,14 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.select("doc_id", "held_out", "text"), model).drop("text")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.withColumn("held_out", crc32_mod(F.col("doc_id"), 3) == 1)
+    model = quality.learn(docs.where("not held_out"), table(spark, sf_dir, "labels"))
+    scored = quality.score(docs.select("doc_id", "held_out", "text"), model).drop("text")
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+
+
 def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -69,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op4_language": op4_language,
+    "op5_quality": op5_quality,
     "op7_near_vectors": op7_near_vectors,
     "op8_near_documents": op8_near_documents,
     "op9_bpe": op9_bpe,
