@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, decontaminate, language, near_documents, quality, suffixes, vectors, warc
+from plumbline.llm import bpe, decontaminate, language, near_documents, personal_data, quality, suffixes, vectors, warc
 from plumbline.llm.common import crc32_mod, table
 
 
@@ -49,6 +49,22 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = personal_data.find(docs, personal_data.learn(docs))
+    named = lambda spans: F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["begin"].cast("string"), s["end"].cast("string"))), ","
+    )
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"].isin(*personal_data.BASE))
+    return found.select(
+        "doc_id",
+        *[count(kind) for kind in personal_data.BASE],
+        F.sha2(named(base), 256).alias("base_sha256"),
+        named(F.col("spans")).alias("spans"),
+    )
+
+
 def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -78,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_language": op4_language,
     "op5_quality": op5_quality,
+    "op6_personal_data": op6_personal_data,
     "op7_near_vectors": op7_near_vectors,
     "op8_near_documents": op8_near_documents,
     "op9_bpe": op9_bpe,
