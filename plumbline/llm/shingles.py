@@ -14,12 +14,12 @@ ROLL = RollingHash(8)
 FACTORS = mix(np.arange(1, 65, dtype=U64) * U64(0xD6E8FEB86659FD93)) | U64(1)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word `[^\\x20\\x09-\\x0D]+` with A-Z lowered, and how many words each row has."""
-    lowered = data + ((data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32)
-    solid = ~((data == 32) | ((data >= 9) & (data <= 13)))
+def word_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte and end of each word `[^\\x20\\x09-\\x0D]+`, and how many words each row has."""
     if not len(data):
-        return np.zeros(0, U64), np.zeros(len(offsets) - 1, np.int64)
+        empty = np.zeros(0, np.int64)
+        return empty, empty, np.zeros(len(offsets) - 1, np.int64)
+    solid = ~((data == 32) | ((data >= 9) & (data <= 13)))
     # A row's first byte begins a word even where the row before ends in one.
     cut = np.zeros(len(data) + 1, bool)
     cut[offsets] = True
@@ -27,9 +27,20 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     starts = np.flatnonzero(solid & (~before | cut[:-1]))
     after = np.concatenate([solid[1:], [False]])
     ends = np.flatnonzero(solid & (~after | cut[1:])) + 1
-    words = ROLL.stretch(ROLL.sums(lowered), starts, ends)
-    counts = np.diff(np.searchsorted(starts, offsets))
-    return words, counts
+    return starts, ends, np.diff(np.searchsorted(starts, offsets))
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z lowered."""
+    return data + ((data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32)
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word with A-Z lowered, and how many words each row has."""
+    starts, ends, counts = word_places(data, offsets)
+    if not len(starts):
+        return np.zeros(0, U64), counts
+    return ROLL.stretch(ROLL.sums(lowered(data)), starts, ends), counts
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[np.ndarray]:
