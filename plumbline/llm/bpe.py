@@ -34,6 +34,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from plumbline.llm.common import all_but, schema_with
+
 SPACE = r"\t-\r \x85\xa0  -     　"
 #: Fixed value: the pre-split of byte-level tokenizers, with white space written out.
 SPLIT = (
@@ -221,15 +223,13 @@ def encode_decode(docs: DataFrame, vocabulary: str, text: str = "text") -> DataF
 
     ``vocabulary`` is a tokenizer file that every executor can read at the same path.
     """
-    kept = [c for c in docs.columns if c not in ("token_ids", "decoded")]
-    source = docs.select(*[docs[c] for c in kept])
-    schema = T.StructType([*source.schema.fields])
-    schema = schema.add("token_ids", T.ArrayType(T.IntegerType(), False), False).add("decoded", T.StringType(), False)
+    source = all_but(docs, ("token_ids", "decoded"))
+    schema = schema_with(source, token_ids=T.ArrayType(T.IntegerType()), decoded=T.StringType())
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton(vocabulary)
         for batch in stream:
-            column = batch.column(batch.schema.get_field_index(text))
+            column = batch.column(batch.schema.get_field_index(text)).cast(pa.string())
             lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
             ends = np.cumsum(lengths)
             first = 0

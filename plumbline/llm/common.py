@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.session import scratch_path
 
@@ -43,6 +44,16 @@ def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     )
 
 
+def all_but(frame: DataFrame, names: tuple[str, ...] = ()) -> DataFrame:
+    """The frame without columns of these names; names may hold any characters."""
+    quoted = ["`" + c.replace("`", "``") + "`" for c in frame.columns if c not in names]
+    return frame.select(*[frame[c] for c in quoted])
+
+
+def schema_with(frame: DataFrame, **added: T.DataType) -> T.StructType:
+    return T.StructType([*frame.schema.fields, *[T.StructField(name, kind) for name, kind in added.items()]])
+
+
 def crc32_mod(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus``; a null id counts as an empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
@@ -123,6 +134,3 @@ def signed(x: np.ndarray) -> np.ndarray:
 def crc(text: str) -> int:
     return zlib.crc32(text.encode())
 
-
-def batches(columns: Iterable[pa.Array], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(list(columns), names=names)

@@ -28,8 +28,9 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from plumbline.llm.common import groups_of_rows, string_column
+from plumbline.llm.common import all_but, groups_of_rows, schema_with, string_column
 
 BUCKETS, CLUSTERS, ROUNDS = 8192, 4, 12
 PER_LANGUAGE = 1_200
@@ -187,7 +188,7 @@ def learn(rows: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
 def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """Adds ``lang_pred``, ``score`` and ``rejected`` to each row; columns of these names are replaced."""
     added = ("lang_pred", "score", "rejected")
-    source = docs.select(*[docs[c] for c in docs.columns if c not in added])
+    source = all_but(docs, added)
     if model is None:
         return source.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "rejected": F.lit(True)})
     names = np.array([*model.languages, UNKNOWN], dtype=object)
@@ -210,5 +211,5 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
                 names=[*batch.schema.names, *added],
             )
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields)
-    return source.mapInArrow(run, f"{fields}, lang_pred string, score double, rejected boolean")
+    kinds = {"lang_pred": T.StringType(), "score": T.DoubleType(), "rejected": T.BooleanType()}
+    return source.mapInArrow(run, schema_with(source, **kinds))

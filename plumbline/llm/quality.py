@@ -26,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from plumbline.llm.common import groups_of_rows, mix, string_column, written
+from plumbline.llm.common import all_but, groups_of_rows, mix, schema_with, string_column, written
 from plumbline.llm.shingles import FACTORS, word_hashes
 
 POSITIVES, UNLABELLED = 6_000, 12_000
@@ -206,7 +207,7 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
 
 def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """Adds ``score`` to each row; a column of that name is replaced."""
-    source = docs.select(*[docs[c] for c in docs.columns if c != "score"])
+    source = all_but(docs, ("score",))
     if model is None:
         return source.withColumn("score", F.lit(0.5))
 
@@ -216,5 +217,4 @@ def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
             x = batch_features(pa.RecordBatch.from_arrays([column], names=["text"]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(x))], names=[*batch.schema.names, "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields)
-    return source.mapInArrow(run, f"{fields}, score double")
+    return source.mapInArrow(run, schema_with(source, score=T.DoubleType()))
