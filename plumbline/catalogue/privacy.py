@@ -17,6 +17,7 @@ _SECRETS = (
     "' or dv_' || n_chars || 'f, GET /a?api_key=' || source || doc_id || '&page=2 "
     "/reset-password/' || doc_id || lang || '?next=1'"
 )
+# The patterns of the library's rules in the oracle's spelling.
 _S = r"\s\x0B\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 _STEPS = (
     (rf"\b\w+://[^{_S}:@/]+:[^{_S}@]+@[^{_S}]+", "[REDACTED:connection-string]"),
@@ -78,3 +79,22 @@ ORACLES["redact_props"] = """SELECT event_id, '{"hint":"in [REDACTED:physical-id
     '","list":[{"apiKey":"[REDACTED:credential]"},' || user_id || ',null,true],"props":' ||
     replace(props, ': ', ':') || ',"rowCount":' || (event_id % 10) ||
     ',"rows":"[REDACTED:dataset-content]","token":"[REDACTED:credential]"}' AS props FROM events"""
+
+# Nested deeper than any parser follows, and longer than any column value that is parsed at once.
+_DEEP = """repeat('{"l":', 1500) || '{"password":"hunter' || event_id || '"}' || repeat('}', 1500)"""
+_LONG = """'{"note":"' || repeat('no secrets here, ', 500) || '","password":"hunter' || event_id || '","n":1.50}'"""
+_BROKEN = """'{"kind":"' || event_type || '","token":"t' || event_id || '"'"""
+
+
+def _extreme(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    columns = {"deep": _DEEP, "long": _LONG, "broken": _BROKEN}
+    return events.select("event_id", *[redact_json(F.expr(sql)).alias(n) for n, sql in columns.items()])
+
+
+QUERIES["redact_extreme_props"] = _extreme
+ORACLES["redact_extreme_props"] = """SELECT event_id,
+    repeat('{"l":', 9) || '"[REDACTED:max-depth-exceeded]"' || repeat('}', 9) AS deep,
+    '{"n":1.50,"note":"' || repeat('no secrets here, ', 500) || '","password":"[REDACTED:credential]"}' AS long,
+    '{"kind":"' || event_type || '","token":"[REDACTED:credential]"' AS broken
+    FROM events"""

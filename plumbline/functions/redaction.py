@@ -5,144 +5,55 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Markers.
-CONNECTION_STRING = "[REDACTED:connection-string]"
-BEARER_TOKEN = "[REDACTED:bearer-token]"
-TABLE_SCHEMA = "[REDACTED:analytical-schema]"
-PHYSICAL_ID = "[REDACTED:physical-id]"
-DATASET_CONTENT = "[REDACTED:dataset-content]"
-CREDENTIAL = "[REDACTED:credential]"
-DEPTH_EXCEEDED = "[REDACTED:max-depth-exceeded]"
-MAX_DEPTH = 8
-
-# The class ECMAScript calls \s, and its ASCII word boundary, spelled
-# out because Java means other characters by both.
-_S = r"\s\x0B\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
-_NOT_AFTER_WORD = "(?<![A-Za-z0-9_])"
-_NOT_BEFORE_WORD = "(?![A-Za-z0-9_])"
-
-# What is looked for, in the order it is looked for, and what replaces it.
-# A rule first looks at one character, which turns most places of a text away cheaply.
-TEXT_RULES = (
-    # any scheme with user:password@ in it
-    (rf"(?=\w){_NOT_AFTER_WORD}\w++://[^{_S}:@/]+:[^{_S}@]+@[^{_S}]+", CONNECTION_STRING),
-    # a database scheme, with or without credentials
-    (
-        rf"(?=[jpmra]){_NOT_AFTER_WORD}(?:jdbc:)?(?:postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqp|mssql"
-        rf"|mariadb)://[^{_S}]+",
-        CONNECTION_STRING,
-    ),
-    (rf"(?=b){_NOT_AFTER_WORD}Bearer[{_S}]+[A-Za-z0-9\-._~+/]+=*", BEARER_TOKEN),
-    # schema-qualified and bare physical table ids
-    (rf"(?=a){_NOT_AFTER_WORD}analytical\.[a-zA-Z_][a-zA-Z0-9_]*{_NOT_BEFORE_WORD}", TABLE_SCHEMA),
-    (rf"(?=d){_NOT_AFTER_WORD}dv_[0-9a-f]+{_NOT_BEFORE_WORD}", PHYSICAL_ID),
-    # key=value, as in a query string
-    (
-        rf"(?=[atspx]){_NOT_AFTER_WORD}(api[_-]?key|token|secret|password|access[_-]?key|x-amz-signature"
-        rf"|x-amz-credential|signature|sig)=[^&{_S}]+",
-        "$1=[REDACTED]",
-    ),
-    # a one-time token that is a path segment
-    (rf"/reset-password/[^/?#{_S}]+", "/reset-password/[REDACTED]"),
+from plumbline.functions.json_text import json_redacted, marker_of
+from plumbline.functions.redaction_rules import MAX_DEPTH, SPACED_SECRET_RULE, TEXT_RULES
+
+#: For each rule, strings of which its matches hold one, in lower case. Looking for a plain
+#: string is many times cheaper than looking for a pattern.
+_NEEDED = (
+    ("://",),
+    ("://",),
+    ("bearer",),
+    ("analytical.",),
+    ("dv_",),
+    ("key=", "token=", "secret=", "password=", "signature=", "credential=", "sig="),
+    ("/reset-password/",),
 )
-# The form documents carry: token = "..." with blanks around the sign and quotes.
-SPACED_SECRET_RULE = (
-    rf"{_NOT_AFTER_WORD}(api[_-]?key|token|secret|password|access[_-]?key|signature|sig)"
-    rf"[{_S}]*=[{_S}]*\"[^\"]*\"",
-    '$1="[REDACTED]"',
-)
-
-# Words of a key that name dataset content, words beside them that make
-# the key harmless (rowCount), and pieces of a key that name a credential.
-CONTENT_WORDS = ("row", "rows", "value", "values", "csv", "cell", "cells", "data", "payload")
-HARMLESS_WORDS = (
-    "count",
-    "index",
-    "idx",
-    "id",
-    "ids",
-    "at",
-    "timestamp",
-    "url",
-    "uri",
-    "name",
-    "label",
-    "type",
-    "kind",
-    "status",
-    "code",
-    "number",
-    "num",
-    "total",
-    "size",
-    "length",
-    "version",
-    "ms",
-    "seconds",
-    "duration",
-)
-CREDENTIAL_PIECES = (
-    "password",
-    "passwd",
-    "secret",
-    "token",
-    "apikey",
-    "cookie",
-    "authorization",
-    "dsn",
-    "bearer",
-    "accesskey",
-    "privatekey",
-    "connectionstring",
-)
-
-
-# A text without any of these, in lower case, matches no rule. Looking for a plain string
-# is many times cheaper than looking for a pattern.
-_NEEDED = ("://", "bearer", "analytical.", "dv_", "=", "/reset-password/")
 
 
 def redact_text(text: Column, spaced_secrets: bool = False) -> Column:
     """A text with every rule applied to all of it, in order."""
-    lowered = F.lower(text)
-    suspect = reduce(or_, [lowered.contains(part) for part in _NEEDED])
-    redacted = text
-    for pattern, replacement in TEXT_RULES + ((SPACED_SECRET_RULE,) if spaced_secrets else ()):
-        redacted = F.regexp_replace(redacted, f"(?i){pattern}", replacement)
-    return F.when(suspect, redacted).otherwise(text)
+    rules = list(zip(TEXT_RULES, _NEEDED, strict=True))
+    if spaced_secrets:
+        rules.append((SPACED_SECRET_RULE, ('"',)))
 
+    def applied(lowered: Column) -> Column:
+        redacted = text
+        for (pattern, replacement), needed in rules:
+            suspect = reduce(or_, [lowered.contains(part) for part in needed])
+            replaced = lambda t: F.regexp_replace(t, f"(?i){pattern}", replacement)  # noqa: B023, E731
+            redacted = _bind(redacted, lambda t: F.when(suspect, replaced(t)).otherwise(t))  # noqa: B023
+        return redacted
 
-def is_credential_key(key: Column) -> Column:
-    """A key that spells a credential word, whatever stands between its letters."""
-    between = "[^a-z0-9]*"
-    spelled = "|".join(between.join(piece) for piece in CREDENTIAL_PIECES)
-    return F.lower(key).rlike(spelled)
+    return _bind(F.lower(text), applied)
 
 
-def is_content_key(key: Column) -> Column:
-    """A key with a content word in it, unless all its other words are harmless ones.
-
-    The words of a key are joined by single blanks, so that each question is one
-    pattern. Most keys hold no such word even as part of another and end at the first.
-    """
-    spread = F.regexp_replace(key, "([a-z0-9])([A-Z])", "$1_$2")
-    words = F.concat(F.lit(" "), F.lower(F.regexp_replace(spread, "[^a-zA-Z0-9]+", " ")), F.lit(" "))
-    content, harmless = "|".join(CONTENT_WORDS), "|".join(HARMLESS_WORDS)
-    mentions = key.rlike(f"(?i){content}")
-    has_content = words.rlike(f" (?:{content}) ")
-    only_content = words.rlike(rf"\A *(?:(?:{content}) +)*\z")
-    all_known = words.rlike(rf"\A *(?:(?:{content}|{harmless}) +)*\z")
-    return mentions & has_content & (~all_known | only_content)
+def _bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated, and written into the plan, only once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def key_marker(key: Column) -> Column:
     """The marker that replaces whatever is under a key, or null to look at the value."""
-    return F.when(is_credential_key(key), F.lit(CREDENTIAL)).when(
-        is_content_key(key), F.lit(DATASET_CONTENT)
-    )
+
+    def run(keys: pd.Series) -> pd.Series:
+        return pd.Series([None if k is None else marker_of(k) for k in keys], dtype=object)
+
+    return F.pandas_udf(run, "string")(key)
 
 
 def redact_json(text: Column, max_depth: int = MAX_DEPTH) -> Column:
@@ -150,57 +61,17 @@ def redact_json(text: Column, max_depth: int = MAX_DEPTH) -> Column:
 
     A value under a credential or content key is replaced whole, whatever it is; every
     other string is treated like free text. Below ``max_depth`` levels nothing is looked
-    at, so nothing is let through. A text that is not JSON is free text. Object keys
-    come back in alphabetical order.
-    """
-    parsed = F.try_parse_json(text)
-    redacted = F.to_json(_redact_variant(parsed, 0, max_depth))
-    return F.when(parsed.isNotNull(), redacted).otherwise(redact_text(text))
-
-
-def _variant(text: Column) -> Column:
-    return text.cast("variant")
+    at, so nothing is let through, however deep or large the text is. Object keys come back in
+    alphabetical order, of a repeated key the last value; numbers keep their digits.
 
+    A text that is not JSON is free text, but closed: from the first quoted key on whose
+    value would be replaced, the rest of it goes, as nothing tells where the value ends.
+    """
 
-def _bind(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` evaluated, and written into the plan, only once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else json_redacted(t, max_depth) for t in texts], dtype=object)
 
-def _redact_variant(value: Column, depth: int, max_depth: int) -> Column:
-    if depth > max_depth:
-        return F.when(value.isNotNull(), _variant(F.lit(DEPTH_EXCEEDED)))
-
-    def entry(e: Column) -> Column:
-        def under(marker: Column) -> Column:
-            inner = _redact_variant(e["value"], depth + 1, max_depth)
-            return F.when(marker.isNotNull(), _variant(marker)).otherwise(inner)
-
-        marker = F.when(e["key"].isNotNull(), key_marker(e["key"]))
-        return F.struct(e["key"].alias("key"), _bind(marker, under).alias("value"))
-
-    def rebuilt(v: Column) -> Column:
-        members = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
-        items = F.transform(
-            F.try_variant_get(v, "$", "array<variant>"),
-            lambda x: F.struct(F.lit(None).cast("string").alias("key"), x.alias("value")),
-        )
-        entries = F.transform(F.coalesce(members, items), entry)
-        return _bind(entries, lambda es: assembled(v, es))
-
-    def assembled(v: Column, entries: Column) -> Column:
-        as_object = F.to_variant_object(F.map_from_entries(entries))
-        as_list = F.to_variant_object(F.transform(entries, lambda e: e["value"]))
-        as_text = _variant(redact_text(v.cast("string")))
-        return (
-            F.when(F.size(entries) == 0, v)
-            .when(F.get(entries, F.lit(0))["key"].isNotNull(), as_object)
-            .when(entries.isNotNull(), as_list)
-            .when(F.schema_of_variant(v) == "STRING", as_text)
-            .otherwise(v)
-        )
-
-    return _bind(value, rebuilt)
+    return F.pandas_udf(run, "string")(text)
 
 
 def redact_columns(

@@ -88,3 +88,23 @@ def test_whole_columns(spark):
     assert tuple(redact_columns(frame, text=("a",), json=("b",)).first()) == (
         "[REDACTED:physical-id]", '{"token":"[REDACTED:credential]"}', "dv_2"
     )
+
+
+@pytest.mark.parametrize(
+    "text, expected",
+    [
+        ('{"a":' * 2000 + '{"password":"hunter2"}' + "}" * 2000, None),
+        ('{"password":"hunter2","pad":"' + "x" * 20_000_000 + '"}', None),
+        ('{"password":"hunter2","cut', '{"password":"[REDACTED:credential]"'),
+        ('{"pass\\u0077ord": "hunter2", broken', '{"pass\\u0077ord":"[REDACTED:credential]"'),
+        ('[1.50, 1e400, 12345678901234567890123456789012345678901234567890, -0]', "[1.50,1e400,12345678901234567890123456789012345678901234567890,-0]"),
+        ('{"b":1,"a":"\\ud800"}', '{"a":"\\ud800","b":1}'),
+        ('[NaN, "dv_1"]', '[NaN, "[REDACTED:physical-id]"]'),
+        ("", ""),
+    ],
+)
+def test_json_fails_closed_and_keeps_the_rest(spark, text, expected):
+    redacted = applied(spark, text, redact_json)
+    assert "hunter2" not in redacted
+    if expected is not None:
+        assert redacted == expected
