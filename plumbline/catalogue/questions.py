@@ -25,9 +25,9 @@ def _ask(spec: QuerySpec):
     return query
 
 
-def _page(spec: QuerySpec):
+def _page(spec: QuerySpec, cap: int | None = None):
     def query(spark, sf_dir):
-        return portable(query_page(sales(spark, sf_dir), spec, ZONE))
+        return portable(query_page(sales(spark, sf_dir), spec, ZONE, cap=cap))
 
     return query
 
@@ -47,7 +47,7 @@ FLAGSHIP = QuerySpec(
 
 
 def structured_flagship(spark, sf_dir):
-    return render_text(query_page(sales(spark, sf_dir), FLAGSHIP, ZONE))
+    return render_text(query_page(sales(spark, sf_dir), FLAGSHIP, ZONE, cap=None))
 
 
 _month = local_grain("month", "created_at")
@@ -60,9 +60,8 @@ _register(
     SELECT created_at, CAST(value AS VARCHAR) AS value, CAST(n AS VARCHAR) AS rows,
            CAST(row_number() OVER (ORDER BY value DESC NULLS FIRST, created_at NULLS LAST) AS VARCHAR)
              AS position,
-           CASE WHEN count(*) OVER () > 10000 THEN 'true' ELSE 'false' END AS has_more,
-           CASE WHEN count(*) OVER () > 10000 THEN 'true' ELSE 'false' END AS truncated
-    FROM grouped ORDER BY value DESC NULLS FIRST, created_at LIMIT 10000""",
+           'false' AS has_more, 'false' AS truncated
+    FROM grouped""",
 )
 
 # One filter operator each.
@@ -266,8 +265,9 @@ _register(
 _paged = """, grouped AS ({grouped}),
     placed AS (SELECT *, row_number() OVER (ORDER BY {order}) AS position, count(*) OVER () AS n
                FROM grouped)
-    SELECT {columns}, position, n > {limit} AS has_more, n > {limit} AND {limit} = 10000 AS truncated
+    SELECT {columns}, position, n > {limit} AS has_more, false AS truncated
     FROM placed WHERE position <= {limit}"""
+_whole = _paged.replace("n > {limit} AS has_more", "false AS has_more").replace(" WHERE position <= {limit}", "")
 _by_plan_and_day = "SELECT plan, day, count(*) AS rows FROM sales GROUP BY plan, day"
 _register(
     "order_explicit",
@@ -283,11 +283,10 @@ _register(
             ],
         )
     ),
-    _paged.format(
+    _whole.format(
         grouped=_by_plan_and_day,
         order="plan DESC NULLS FIRST, rows ASC NULLS LAST, day ASC NULLS LAST",
         columns="plan, CAST(day AS VARCHAR) AS day, rows",
-        limit=10000,
     ),
 )
 _UNPAID_FIRST = QuerySpec(
@@ -298,17 +297,16 @@ _UNPAID_FIRST = QuerySpec(
 def order_default(spark, sf_dir):
     """First measure descending, nulls first, on a dataset without a currency column."""
     frame = sales(spark, sf_dir).drop("currency")
-    return portable(query_page(frame, _UNPAID_FIRST, ZONE))
+    return portable(query_page(frame, _UNPAID_FIRST, ZONE, cap=None))
 
 
 _register(
     "order_default",
     order_default,
-    _paged.format(
+    _whole.format(
         grouped="SELECT customer_id, sum(paid) AS value, count(*) AS rows FROM sales GROUP BY 1",
         order="value DESC NULLS FIRST, customer_id ASC NULLS LAST",
         columns="customer_id, CAST(value AS VARCHAR) AS value, rows",
-        limit=10000,
     ),
 )
 _register(

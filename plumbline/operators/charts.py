@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..model import BAR_CATEGORY_CAP, MAX_RESULT_ROWS
+from ..model import BAR_CATEGORY_CAP
 from ..plans.spec import Dimension, Filter, Measure, QuerySpec
 from ..plans.structured import effective_order, text_of
 
@@ -33,52 +30,29 @@ def chart_spec(
     )
 
 
-@dataclass(frozen=True)
-class CategoryCapping:
-    visible_count: int
-    dropped_count: int
-    note: str | None
-
-
 def ranked_by_measure(spec: QuerySpec, alias: str) -> bool:
     """Whether the rows come largest first by the charted measure."""
     first = effective_order(spec)[0]
     return first.kind == "measure" and first.ref == alias and first.direction == "desc"
 
 
-def cap_categories(total: int, truncated: bool, ranked: bool) -> CategoryCapping:
-    """How many bars are drawn and what may be said about the rest.
-
-    "top" needs the rows to be ranked by the charted measure, descending. A total
-    cut by the product cap is never given as an exact number.
-    """
-    if total <= BAR_CATEGORY_CAP:
-        return CategoryCapping(total, 0, None)
-    verb = "top" if ranked else "first"
-    shown = f"{total:,}+" if truncated else f"{total:,}"
-    return CategoryCapping(
-        BAR_CATEGORY_CAP, total - BAR_CATEGORY_CAP, f"Showing {verb} {BAR_CATEGORY_CAP} of {shown}"
-    )
-
-
 def top_categories(page: DataFrame, ranked: bool) -> DataFrame:
     """The first 50 rows of a page with what was dropped and the note to print.
 
-    ``page`` comes from :func:`plumbline.plans.structured.query_page`; it is capped at
-    10,000 rows, and the highest position in it is the number of groups.
+    ``page`` comes from :func:`plumbline.plans.structured.query_page`; the highest position in
+    it is the number of groups, of a truncated page a lower bound. "top" needs rows that
+    are ranked by the charted measure.
     """
-    whole = Window.partitionBy(F.lit(0))
-    counted = page.withColumn("total_categories", F.max("position").over(whole))
-    counted = counted.filter(F.col("position") <= BAR_CATEGORY_CAP)
-    dropped = F.greatest(F.col("total_categories") - BAR_CATEGORY_CAP, F.lit(0))
-    shown = F.format_number(F.col("total_categories"), 0)
-    shown = F.when(F.col("truncated"), F.concat(shown, F.lit("+"))).otherwise(shown)
+    total = page.agg(F.max("position")).scalar()
     verb = "top" if ranked else "first"
+    shown = F.concat(F.format_number(total, 0), F.when(F.col("truncated"), "+").otherwise(""))
     note = F.concat(F.lit(f"Showing {verb} {BAR_CATEGORY_CAP} of "), shown)
+    dropped = F.greatest(total - BAR_CATEGORY_CAP, F.lit(0))
+    first = page.filter(F.col("position") <= BAR_CATEGORY_CAP)
     return (
-        counted.withColumn("dropped_count", dropped)
+        first.withColumn("dropped_count", dropped)
         .withColumn("note", F.when(F.col("dropped_count") > 0, note))
-        .drop("total_categories", "has_more", "truncated")
+        .drop("has_more", "truncated")
     )
 
 
@@ -94,9 +68,7 @@ def bar_series(page: DataFrame, dimension: str, value: str = "value", rows: str
 
 
 def peak_row(series: DataFrame) -> DataFrame:
-    """The row with the largest value; of equal ones the first by position."""
-    return series.orderBy(F.col("value").desc_nulls_last(), F.col("position").asc()).limit(1)
-
-
-def group_count_label(row_count: int, truncated: bool) -> str:
-    return f"{MAX_RESULT_ROWS}+" if truncated else str(row_count)
+    """The row with the largest value; of equal ones the first by position. None of no rows."""
+    row = F.struct(*[f"`{name}`" for name in series.columns])
+    best = series.agg(F.max_by(row, F.struct("value", -F.col("position"))).alias("row"))
+    return best.filter("row is not null").select("row.*")

@@ -118,7 +118,7 @@ def report_pack(
 
     ``widget_position, widget, row_position, label, value, error_code``: label is the
     dimensions, value the first measure. A widget that cannot run is one row with its
-    code. Each answer is capped at the product limit before they are united.
+    code. Answers are whole, unless a question has a limit of its own.
     """
     parts = []
     for widget in sorted(widgets, key=lambda w: w.position):
@@ -132,7 +132,7 @@ def report_pack(
 def _answer(widget: Widget, resolve: Resolver, timezone: str) -> DataFrame:
     spec = widget.query.spec
     dataset = _resolved(resolve, widget.query)
-    page = query_page(dataset.frame, spec, timezone, dataset.columns)
+    page = query_page(dataset.frame, spec, timezone, dataset.columns, cap=None)
     types = {field.name: field.dataType for field in page.schema.fields}
 
     def text(name: str):

@@ -10,8 +10,9 @@ import time
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import UTC, datetime
-from decimal import Decimal
+from decimal import ROUND_FLOOR, ROUND_HALF_UP, Context, Decimal
 
+import pandas as pd
 from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,9 +29,11 @@ from ..model import (
     columns_of,
     require_timezone,
 )
+from ..session import scratch_path
 from .spec import Filter, Measure, OrderBy, QuerySpec, check_against, typed_value
 
-AVERAGE_SCALE = 10
+#: Decimal places of an average: at least ten, and six more than its column has.
+AVERAGE_SCALE, AVERAGE_EXTRA = 10, 6
 
 
 @dataclass(frozen=True)
@@ -52,40 +55,70 @@ class QueryResult:
     executed_at: datetime
 
 
-def effective_limit(limit: int | None) -> int:
-    """A limit of 0 is a legal existence probe, so only ``None`` means the cap."""
-    return MAX_RESULT_ROWS if limit is None else min(limit, MAX_RESULT_ROWS)
+def effective_limit(limit: int | None, cap: int | None = MAX_RESULT_ROWS) -> int | None:
+    """A limit of 0 is a legal existence probe, so only ``None`` means the cap; no cap, no limit."""
+    given = [n for n in (limit, cap) if n is not None]
+    return min(given) if given else None
 
 
-def filter_condition(condition: Filter, column: SparkColumn, column_type: str) -> SparkColumn:
-    """One filter as a predicate; a null cell satisfies none of them but ``is_null``."""
-
-    def literal(raw) -> SparkColumn:
-        value = typed_value(raw, column_type)
-        if isinstance(value, Decimal):
-            return _decimal_literal(value)
-        if column_type == INTEGER:
-            return F.lit(value).cast("bigint")
-        return F.lit(value)
+def filter_condition(
+    condition: Filter, column: SparkColumn, column_type: str, scale: int | None = None
+) -> SparkColumn:
+    """One filter as a predicate; a null cell satisfies none of them but ``is_null``.
 
+    ``scale`` is that of a decimal column, when it is known. Values of any number of
+    digits can then be compared: cells lie on a grid, so a value between two grid points
+    parts the cells as the one below it does.
+    """
     if condition.operator == "is_null":
         return column.isNull()
     if condition.operator == "is_not_null":
         return column.isNotNull()
     if condition.operator == "between":
-        low, high = condition.value
-        return column.between(literal(low), literal(high))
+        low, high = (typed_value(raw, column_type) for raw in condition.value)
+        return _compared("gte", column, low, column_type, scale) & _compared("lte", column, high, column_type, scale)
     if condition.operator == "in":
-        return column.isin(*[literal(value) for value in condition.value])
-    value = literal(condition.value)
+        values = [typed_value(raw, column_type) for raw in condition.value]
+        stored = [v for v in values if not isinstance(v, Decimal) or scale is None or _on_grid(v, scale)]
+        return column.isin(*[_literal(v, column_type) for v in stored]) if stored else _always(False, column)
+    return _compared(condition.operator, column, typed_value(condition.value, column_type), column_type, scale)
+
+
+def _compared(
+    operator: str, column: SparkColumn, value, column_type: str, scale: int | None
+) -> SparkColumn:
+    if isinstance(value, Decimal) and scale is not None and not _on_grid(value, scale):
+        if operator in ("eq", "neq"):
+            return _always(operator == "neq", column)
+        if abs(value) >= Decimal(10) ** (38 - scale):
+            return _always((value > 0) == (operator in ("lt", "lte")), column)
+        value = value.quantize(Decimal(1).scaleb(-scale), context=Context(prec=400, rounding=ROUND_FLOOR))
+        operator = "lte" if operator in ("lt", "lte") else "gt"
+    literal = _literal(value, column_type)
     return {
-        "eq": column == value,
-        "neq": column != value,
-        "gt": column > value,
-        "gte": column >= value,
-        "lt": column < value,
-        "lte": column <= value,
-    }[condition.operator]
+        "eq": column == literal,
+        "neq": column != literal,
+        "gt": column > literal,
+        "gte": column >= literal,
+        "lt": column < literal,
+        "lte": column <= literal,
+    }[operator]
+
+
+def _always(holds: bool, column: SparkColumn) -> SparkColumn:
+    """The same answer for every cell that is not null."""
+    return column.isNotNull() if holds else F.lit(False)
+
+
+def _on_grid(value: Decimal, scale: int) -> bool:
+    """Whether a decimal(38, scale) column can hold the value."""
+    return value.normalize(Context(prec=400)).as_tuple().exponent >= -scale and abs(value) < Decimal(10) ** (38 - scale)
+
+
+def _literal(value, column_type: str) -> SparkColumn:
+    if isinstance(value, Decimal):
+        return _decimal_literal(value)
+    return F.lit(value).cast("bigint") if column_type == INTEGER else F.lit(value)
 
 
 def _decimal_literal(value: Decimal) -> SparkColumn:
@@ -97,22 +130,42 @@ def _decimal_literal(value: Decimal) -> SparkColumn:
     return F.lit(f"{value:f}").cast(T.DecimalType(precision, min(scale, precision)))
 
 
-def measure_expression(measure: Measure, column: SparkColumn | None, column_type: str | None):
-    """One aggregate. Integer sums widen to decimal; averages never pass through a double."""
+def measure_expression(
+    measure: Measure, column: SparkColumn | None, column_type: str | None
+) -> SparkColumn:
+    """One aggregate, averages apart. Integer sums widen to decimal."""
     if measure.aggregation == "count":
         return F.count(F.lit(1)) if column is None else F.count(column)
     if measure.aggregation == "count_distinct":
         return F.count_distinct(column)
     if measure.aggregation in ("min", "max"):
         return (F.min if measure.aggregation == "min" else F.max)(column)
-    exact = column.cast("decimal(38,0)") if column_type == INTEGER else column
-    total = F.sum(exact)
-    return total if measure.aggregation == "sum" else exact_average(total, F.count(column))
+    return F.sum(column.cast("decimal(38,0)") if column_type == INTEGER else column)
+
 
+def average_scale(scale: int) -> int:
+    return min(max(AVERAGE_SCALE, scale + AVERAGE_EXTRA), 38)
 
-def exact_average(total: SparkColumn, count: SparkColumn) -> SparkColumn:
-    """``total / count`` to ten decimal places, rounded half up."""
-    return (total.cast("decimal(38,10)") / count.cast("decimal(20,0)")).cast("decimal(38,10)")
+
+def exact_average(total: SparkColumn, count: SparkColumn, scale: int = 0) -> SparkColumn:
+    """``total / count``, rounded half up once, to ten places or six more than ``total`` has.
+
+    Decimal division keeps no more than ten places beside 28 digits before the point, so
+    averages with more are divided in batches over the grouped rows.
+    """
+    places = average_scale(scale)
+    if places == AVERAGE_SCALE:
+        return (total.cast("decimal(38,10)") / count.cast("decimal(20,0)")).cast("decimal(38,10)")
+
+    def divided(totals: pd.Series, counts: pd.Series) -> pd.Series:
+        context, unit = Context(prec=120, rounding=ROUND_HALF_UP), Decimal(1).scaleb(-places)
+        whole = zip(totals, counts, strict=True)
+        return pd.Series(
+            [None if t is None else context.divide(t, Decimal(int(n))).quantize(unit, context=context) for t, n in whole],
+            dtype=object,
+        )
+
+    return F.pandas_udf(divided, T.DecimalType(38, places))(total, count)
 
 
 def structured_query(
@@ -142,8 +195,9 @@ def _grouped(df: DataFrame, spec: QuerySpec, timezone: str, by_id: dict[str, Col
         return F.col(f"`{by_id[column_id].name}`")
 
     for condition in spec.filters:
-        column_type = by_id[condition.column_id].type
-        df = df.filter(filter_condition(condition, source(condition.column_id), column_type))
+        named = by_id[condition.column_id]
+        scale = _scale_of(df, named.name)
+        df = df.filter(filter_condition(condition, source(condition.column_id), named.type, scale))
 
     keys = []
     for i, dimension in enumerate(spec.dimensions):
@@ -153,15 +207,23 @@ def _grouped(df: DataFrame, spec: QuerySpec, timezone: str, by_id: dict[str, Col
         keys.append(key.alias(f"_key_{i}"))
     if not spec.measures:
         return df.select(*keys).distinct()
-    measures = [
-        measure_expression(
-            m,
-            None if m.field is None else source(m.field),
-            None if m.field is None else by_id[m.field].type,
-        ).alias(f"_measure_{i}")
-        for i, m in enumerate(spec.measures)
-    ]
-    return df.groupBy(*keys).agg(*measures) if keys else df.agg(*measures)
+    measures, averages = [], {}
+    for i, m in enumerate(spec.measures):
+        name = f"_measure_{i}"
+        column = None if m.field is None else source(m.field)
+        column_type = None if m.field is None else by_id[m.field].type
+        measures.append(measure_expression(m, column, column_type).alias(name))
+        if m.aggregation == "avg":
+            scale = _scale_of(df, by_id[m.field].name) or 0
+            measures.append(F.count(column).alias(f"_count_{i}"))
+            averages[name] = exact_average(F.col(name), F.col(f"_count_{i}"), scale)
+    grouped = df.groupBy(*keys).agg(*measures) if keys else df.agg(*measures)
+    return grouped.withColumns(averages) if averages else grouped
+
+
+def _scale_of(df: DataFrame, name: str) -> int | None:
+    data_type = df.schema[name].dataType
+    return data_type.scale if isinstance(data_type, T.DecimalType) else None
 
 
 def _positions(spec: QuerySpec) -> tuple[dict[str, str], dict[str, str]]:
@@ -224,37 +286,66 @@ def result_columns(spec: QuerySpec, columns: Sequence[Column]) -> tuple[ResultCo
     return tuple(ResultColumn(name, column_type) for name, column_type in shape.items())
 
 
-def limited_page(ordered: DataFrame, limit: int | None, order: Sequence[SparkColumn]) -> DataFrame:
+def limited_page(
+    ordered: DataFrame,
+    limit: int | None,
+    order: Sequence[SparkColumn],
+    cap: int | None = MAX_RESULT_ROWS,
+) -> DataFrame:
     """The first rows of an order, each with its ``position`` and what lies beyond.
 
     One row more than the limit is fetched as a probe: ``has_more`` says that it was
     there, ``truncated`` that the product cap, not the caller, cut it off. The
-    windows run over the probed page only, at most 10,001 rows.
+    windows run over the probed page only, at most one row more than the limit. Without
+    limit and cap all rows are the page, numbered by ``ranked``.
     """
-    size = effective_limit(limit)
+    size = effective_limit(limit, cap)
+    if size is None:
+        nothing = F.lit(False)
+        return ranked(ordered, order).withColumn("has_more", nothing).withColumn("truncated", nothing)
     probed = ordered.orderBy(*order).limit(size + 1)
     everything = Window.partitionBy(F.lit(0))
     more = F.count(F.lit(1)).over(everything) > size
     return (
         probed.withColumn("position", F.row_number().over(everything.orderBy(*order)))
         .withColumn("has_more", more)
-        .withColumn("truncated", more & F.lit(size == MAX_RESULT_ROWS))
+        .withColumn("truncated", more & F.lit(size == cap))
         .filter(F.col("position") <= size)
     )
 
 
+def ranked(df: DataFrame, order: Sequence[SparkColumn]) -> DataFrame:
+    """Every row with its ``position`` in an order, without bringing the rows into one task.
+
+    The sorted rows are written with their range and their place in it; what the ranges
+    before hold is summed over one row per range.
+    """
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    stored = scratch_path(df.sparkSession, "ranked")
+    sorted_rows = df.orderBy(*order).withColumns({"_range": F.spark_partition_id(), "_place": place})
+    sorted_rows.write.parquet(stored)
+    rows = df.sparkSession.read.schema(sorted_rows.schema).parquet(stored)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    ahead = sizes.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_ahead"))
+    # One row for each partition of the sort, so it is small whatever the data.
+    placed = rows.join(F.broadcast(ahead), "_range")
+    return placed.withColumn("position", F.col("_ahead") + F.col("_place") + 1).drop("_range", "_place", "_ahead")
+
+
 def query_page(
     df: DataFrame,
     spec: QuerySpec,
     timezone: str = "UTC",
     columns: Sequence[Column] | None = None,
+    cap: int | None = MAX_RESULT_ROWS,
 ) -> DataFrame:
-    """A question's page as a lazy frame with ``position``, ``has_more`` and ``truncated``."""
+    """A question's page with ``position``, ``has_more`` and ``truncated``; ``cap=None`` for all rows."""
     columns = columns_of(df.schema) if columns is None else list(columns)
     require_timezone(timezone)
     check_against(spec, columns)
     grouped = _grouped(df, spec, timezone, {c.id: c for c in columns})
-    page = limited_page(grouped, spec.limit, _ordering(spec))
+    page = limited_page(grouped, spec.limit, _ordering(spec), cap)
     return page.select(*_projection(spec), "position", "has_more", "truncated")
 
 

@@ -285,3 +285,31 @@ ONE = [{"columnId": "c1"}]
 def test_bad_shapes_are_refused(changes):
     with pytest.raises(ValidationError):
         QuerySpec.from_dict(payload(**changes))
+
+
+def test_averages_keep_six_places_more_than_their_column(spark):
+    rows = [("0.000000000000123",), ("0.000000000000125",), (None,)]
+    frame = spark.createDataFrame(rows, "v string").selectExpr("CAST(v AS DECIMAL(38,15)) AS v")
+    spec = QuerySpec("d", [], [Measure("avg", "value", "v"), Measure("sum", "total", "v")])
+    row = structured_query(frame, spec).first()
+    assert (f"{row.value:f}", f"{row.total:f}") == ("0.000000000000124000000", "0.000000000000248")
+    thirds = spark.createDataFrame([("1",), ("0",), ("1",)], "v string").selectExpr("CAST(v AS DECIMAL(38,5)) AS v")
+    assert f"{structured_query(thirds, QuerySpec('d', [], [Measure('avg', 'value', 'v')])).first().value:f}" == "0.66666666667"
+    none = structured_query(frame.where("v is null"), QuerySpec("d", [], [Measure("avg", "value", "v")])).first()
+    assert none.value is None
+
+
+@pytest.mark.parametrize(
+    "operator, value, kept",
+    [
+        ("gt", "1e40", 0), ("lt", "1e40", 3), ("neq", "1e40", 3), ("eq", "1e40", 0), ("gte", "-1e40", 3),
+        ("gt", "1.50000000000000000000000000000000000000001", 1), ("lte", "1.50000000000000000000000000000000000000001", 2),
+        ("eq", "1.50000000000000000000000000000000000000001", 0), ("gte", "1.5", 2), ("lt", "1.4999999999999", 1),
+        ("in", ["1e40", "1.5"], 1), ("in", ["1e40"], 0), ("between", ["-1e40", "1.50000000000000001"], 2),
+    ],
+)
+def test_values_of_any_number_of_digits(spark, operator, value, kept):
+    rows = [("-3",), ("1.5",), ("2",), (None,)]
+    frame = spark.createDataFrame(rows, "v string").selectExpr("CAST(v AS DECIMAL(38,10)) AS v")
+    spec = QuerySpec("d", [], [Measure("count", "rows")], [Filter("v", operator, value)])
+    assert structured_query(frame, spec).first().rows == kept

@@ -6,9 +6,7 @@ from pyspark.sql import functions as F
 from plumbline.errors import SchemaIncompatibleError
 from plumbline.operators.charts import (
     bar_series,
-    cap_categories,
     chart_spec,
-    group_count_label,
     peak_row,
     ranked_by_measure,
     top_categories,
@@ -24,18 +22,37 @@ from plumbline.plans.report import (
     run_saved_query,
 )
 from plumbline.plans.spec import Dimension, Measure, OrderBy, QuerySpec
-from plumbline.plans.structured import query_page
+from plumbline.plans.structured import limited_page, query_page
 
 COUNT = Measure("count", "rows")
 
 
-def test_capping_wording():
-    assert cap_categories(50, False, True).note is None
-    assert cap_categories(1234, False, True).note == "Showing top 50 of 1,234"
-    assert cap_categories(51, False, False).note == "Showing first 50 of 51"
-    capped = cap_categories(10_000, True, True)
-    assert (capped.visible_count, capped.dropped_count, capped.note) == (50, 9_950, "Showing top 50 of 10,000+")
-    assert (group_count_label(7, False), group_count_label(10_000, True)) == ("7", "10000+")
+def grouped(spark, rows):
+    return spark.createDataFrame(rows, "k long, value long, rows long")
+
+
+def test_wording_of_what_is_left_out(spark):
+    order = [F.col("value").desc_nulls_first(), F.col("k").asc()]
+    many = grouped(spark, [(i, i, 1) for i in range(10_100)])
+    for page, verb, total, dropped in (
+        (limited_page(many, None, order, None), "top", "10,100", 10_050),
+        (limited_page(many, None, order), "first", "10,000+", 9_950),
+    ):
+        shown = top_categories(page, verb == "top").orderBy("position").collect()
+        assert [r.k for r in shown] == list(range(10_099, 10_049, -1))
+        assert {(r.note, r.dropped_count) for r in shown} == {(f"Showing {verb} 50 of {total}", dropped)}
+    few = top_categories(limited_page(many.limit(50), None, order, None), True).collect()
+    assert {(r.note, r.dropped_count) for r in few} == {(None, 0)}
+
+
+def test_the_peak_is_found_behind_ten_thousand_groups_without_value(spark):
+    rows = [(i, None if i < 11_000 else i, 1) for i in range(12_000)]
+    order = [F.col("value").desc_nulls_first(), F.col("k").asc()]
+    page = limited_page(grouped(spark, rows), None, order, None)
+    best = peak_row(bar_series(page, "k")).collect()
+    assert [(r.label, r.value, r.position) for r in best] == [("11999", 11_999, 11_001)]
+    assert page.agg(F.min("position"), F.max("position"), F.count_distinct("position")).first()[:] == (1, 12_000, 12_000)
+    assert peak_row(bar_series(limited_page(grouped(spark, []), None, order, None), "k")).count() == 0
 
 
 def test_only_a_descending_order_of_the_charted_measure_is_top():
