@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.fence import fence
+
 SUCCESS = "success"
 FAILED = "failed"
 
@@ -48,20 +50,23 @@ def latency_summary(
     """
     by, wanted = list(by) or ["_all"], list(by)
     if not wanted:
-        runs = runs.withColumn("_all", F.lit(0))
+        # Fenced, as Catalyst would fold a constant key and join without one.
+        runs = runs.withColumn("_all", fence(F.lit(0)))
     hundredths = F.floor(F.col(duration).cast("double") * 100 + 0.5).cast("bigint")
     measured = runs.filter(F.col(duration).isNotNull()).select(
         *by, hundredths.alias("cell"), *[F.col(c) for c in started if c not in by]
     )
-    totals = measured.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("runs"),
-        F.min_by("cell", F.struct(*started)).alias("cold"),
+    block = F.floor(F.col("cell") / _CELLS_PER_BLOCK)
+    # Everything else is derived from the histogram, so the runs are read once.
+    first = F.min(F.struct(*started)).alias("first")
+    histogram = measured.groupBy(*by, "cell").agg(F.count(F.lit(1)).alias("n"), first)
+    histogram = histogram.withColumn("block", block)
+    totals = histogram.groupBy(*by).agg(
+        F.sum("n").alias("runs"),
+        F.min_by("cell", "first").alias("cold"),
         F.min("cell").alias("lowest"),
         F.max("cell").alias("highest"),
     )
-    block = F.floor(F.col("cell") / _CELLS_PER_BLOCK)
-    histogram = measured.groupBy(*by, "cell").agg(F.count(F.lit(1)).alias("n"))
-    histogram = histogram.withColumn("block", block)
     blocks = histogram.groupBy(*by, "block").agg(F.sum("n").alias("in_block"))
     earlier = F.sum("in_block").over(Window.partitionBy(*by).orderBy("block")) - F.col("in_block")
     blocks = blocks.select(*by, "block", earlier.alias("before_block"))

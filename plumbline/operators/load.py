@@ -33,12 +33,12 @@ def typed_rows(loaded: DataFrame) -> DataFrame:
     return loaded.drop(ISSUES)
 
 
-def import_errors(loaded: DataFrame) -> DataFrame:
-    """One row per issue. Rows without one are skipped before anything is unnested."""
+def import_errors(loaded: DataFrame, kept: Sequence[str] = ()) -> DataFrame:
+    """One row per issue, after the columns ``kept``. Rows without one are skipped before anything is unnested."""
     return (
         loaded.filter(F.col(ISSUES).isNotNull())
-        .select(F.explode(ISSUES).alias("issue"))
-        .select("issue.*")
+        .select(*kept, F.explode(ISSUES).alias("issue"))
+        .select(*kept, "issue.*")
     )
 
 

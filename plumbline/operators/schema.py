@@ -65,8 +65,14 @@ def broken_queries(references: DataFrame, columns: DataFrame) -> DataFrame:
     ask = ["dataset_id", "column_id", "usage", "detail"]
     current = columns.select("dataset_id", "column_id", F.col("type").alias("_type"))
     asked = references.groupBy(*ask).agg(F.count(F.lit(1)).alias("_uses"))
-    code = F.when(F.col("_type").isNull(), F.lit("COLUMN_REMOVED")).when(
-        ~_supported(), F.lit("TYPE_INCOMPATIBLE")
+    # A count of all rows names no column; an order names something that the question itself has.
+    counts_all = (F.col("usage") == "measure") & (F.col("detail") == "count") & F.col("column_id").isNull()
+    ordering = F.col("usage") == "order"
+    code = (
+        F.when(counts_all, None)
+        .when(ordering, F.when(F.col("detail") == UNRESOLVED, F.lit("ORDER_BY_UNRESOLVED")))
+        .when(F.col("_type").isNull(), F.lit("COLUMN_REMOVED"))
+        .when(~_supported(), F.lit("TYPE_INCOMPATIBLE"))
     )
     verdicts = (
         asked.join(current, ["dataset_id", "column_id"], "left")
@@ -80,6 +86,49 @@ def broken_queries(references: DataFrame, columns: DataFrame) -> DataFrame:
     return references.join(verdicts, same, "inner").select("saved_query_id", *ask, "issue_code")
 
 
+_SPEC = (
+    "struct<datasetId: string, dimensions: array<struct<columnId: string, granularity: string>>, "
+    "measures: array<struct<field: string, aggregation: string, alias: string>>, "
+    "filters: array<struct<columnId: string, operator: string>>, "
+    "orderBy: array<struct<kind: string, ref: string>>>"
+)
+
+
+def references_of(saved_queries: DataFrame) -> DataFrame:
+    """What each saved question asks of which column, as ``broken_queries`` wants it.
+
+    ``saved_queries`` has ``saved_query_id`` and ``spec``, the question as JSON. An order whose
+    ``ref`` is neither a grouped column nor a measure's alias has the detail ``unresolved``.
+    """
+    asked = saved_queries.select("saved_query_id", F.from_json("spec", _SPEC).alias("q")).select("saved_query_id", "q.*")
+
+    def entry(usage: str, column_id: Column, detail: Column) -> Column:
+        return F.struct(column_id.alias("column_id"), F.lit(usage).alias("usage"), detail.alias("detail"))
+
+    def listed(items: str, each) -> Column:
+        return F.coalesce(F.transform(items, each), F.array().cast(ENTRIES))
+
+    groups = F.transform(F.coalesce("dimensions", F.array().cast("array<struct<columnId:string,granularity:string>>")), lambda d: d["columnId"])
+    measures = F.coalesce("measures", F.array().cast("array<struct<field:string,aggregation:string,alias:string>>"))
+    aliases = F.transform(measures, lambda m: m["alias"])
+
+    def resolved(order: Column) -> Column:
+        known = F.when(order["kind"] == "measure", F.array_contains(aliases, order["ref"])).otherwise(
+            F.array_contains(groups, order["ref"])
+        )
+        return F.when(~F.coalesce(known, F.lit(False)), F.lit(UNRESOLVED))
+
+    entries = F.concat(
+        listed("dimensions", lambda d: entry("dimension", d["columnId"], d["granularity"])),
+        listed("measures", lambda m: entry("measure", m["field"], m["aggregation"])),
+        listed("filters", lambda f: entry("filter", f["columnId"], f["operator"])),
+        listed("orderBy", lambda o: entry("order", o["ref"], resolved(o))),
+    )
+    return asked.select("saved_query_id", F.col("datasetId").alias("dataset_id"), F.explode(entries).alias("e")).select(
+        "saved_query_id", "dataset_id", "e.*"
+    )
+
+
 def _supported() -> Column:
     """Whether the joined column type supports what the reference asks of it."""
     usage, detail, column_type = F.col("usage"), F.col("detail"), F.col("_type")
@@ -95,6 +144,11 @@ def _supported() -> Column:
     )
 
 
+#: The detail of an order by something that the question does not have.
+UNRESOLVED = "unresolved"
+ENTRIES = "array<struct<column_id:string,usage:string,detail:string>>"
+
+
 def mixed_unit_groups(table: DataFrame, keys: list[str], unit: str) -> DataFrame:
     """Groups whose rows are in more than one unit, so that no total over them holds.
 

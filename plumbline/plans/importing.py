@@ -8,10 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import PROFILE_SAMPLE_ROWS, require_timezone
+from ..model import require_timezone
 from ..operators.load import typed_load
 from ..operators.profile import column_profile, confirm_schema, infer_schema
-from ..sources.csv import FIELD_COUNT, FILE, ROW_NUMBER, UNLIMITED, Ceilings, CsvScan, scan_csv
+from ..sources.csv import FIELD_COUNT, ROW_NUMBER, UNLIMITED, Ceilings, CsvScan, scan_csv
 from ..sources.versions import VersionStore
 
 
@@ -34,12 +34,21 @@ def profile_import(
     spark: SparkSession,
     path: str,
     ceilings: Ceilings = UNLIMITED,
-    sample_rows: int | None = PROFILE_SAMPLE_ROWS,
+    sample_rows: int | None = None,
 ) -> ProposedImport:
-    """Propose a schema from the first rows; ``sample_rows=None`` looks at all of them."""
+    """Propose a schema from all rows of all files.
+
+    With ``sample_rows`` the first rows of the first file decide the types, but never how many
+    decimal places are kept: these are those of all rows.
+    """
     scan = scan_csv(spark, path, ceilings)
     scan.enforce_ceilings()
     proposed = infer_schema(column_profile(scan.cells(sample_rows), scan.names))
+    if sample_rows is not None:
+        whole = infer_schema(column_profile(scan.cells(), scan.names))
+        scales = whole.select("position", F.col("decimal_scale").alias("_scale"))
+        widest = F.greatest("decimal_scale", "_scale")
+        proposed = proposed.join(scales, "position", "left").withColumn("decimal_scale", widest).drop("_scale")
     # One row per column, kept as it is: confirming must not read the file again.
     described = [
         (*row, header.original_header, header.renamed, list(header.issues))
@@ -59,13 +68,15 @@ def load_import(
 ) -> int:
     """Load every record under the confirmed schema. Returns the version number.
 
-    Name the ``version`` to repeat a load that was interrupted; it ends in the same rows.
+    Name the ``version`` to repeat a load; it ends in the same rows, and readers see the version
+    as it was until the new attempt is whole.
     """
     require_timezone(timezone)
     cells = confirm_schema(proposed.columns, overrides)
-    version = store.next_version_number(dataset_id) if version is None else version
+    repeated = version is not None
+    version = version if repeated else store.next_version_number(dataset_id)
     loaded = typed_load(
         proposed.scan.records(), cells, timezone, F.col(ROW_NUMBER), F.col(FIELD_COUNT)
-    ).drop(FILE, ROW_NUMBER, FIELD_COUNT)
-    store.write_version(dataset_id, version, loaded, cells, timezone)
+    ).drop(FIELD_COUNT)
+    store.write_version(dataset_id, version, loaded, cells, timezone, replace=repeated)
     return version

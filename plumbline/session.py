@@ -10,6 +10,8 @@ from functools import cache
 
 from pyspark.sql import SparkSession
 
+from .errors import ValidationError
+
 # Runtime settings only, so they can be applied to a session somebody else built.
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -41,10 +43,15 @@ def configure(spark: SparkSession) -> SparkSession:
 def scratch_path(spark: SparkSession, purpose: str) -> str:
     """A fresh path for a table written between two stages.
 
-    It lies in the shared folder the cluster names in ``spark.checkpoint.dir``;
-    only where that is unset, as in tests, is a local folder used.
+    It lies in the shared folder the cluster names in ``spark.checkpoint.dir``, or the one
+    set as checkpoint folder of the session. Only a session that runs in one process, as
+    tests do, falls back to a local folder; elsewhere that would scatter the table.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or _local_scratch()
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValidationError("Name a folder that all executors share in spark.checkpoint.dir.")
+        root = _local_scratch()
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

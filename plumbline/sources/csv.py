@@ -12,9 +12,10 @@ from __future__ import annotations
 
 import csv
 import io
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 from functools import cached_property
+from itertools import count
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,7 +35,7 @@ BOM = "\ufeff"
 # A row per split is small; up to this many are sent to every executor (some 100 MB).
 # Beyond it the splits are joined like any other table.
 BROADCAST_SPLITS = 500_000
-# The header must end within the first part of a file; it is all the driver ever reads.
+# What the driver reads of a file at first; it reads on while the header goes on.
 HEAD_BYTES = 1 << 20
 
 _PARSE_OPTIONS = {
@@ -94,28 +95,29 @@ def resolve_headers(cells: Sequence[str]) -> list[HeaderColumn]:
     ``column_{position}``. A later duplicate gets ``_{position}`` and, should that name
     be taken as well, ``_2``, ``_3`` and so on.
     """
+    wanted = [_clean_header(cell, position) for position, cell in enumerate(cells, start=1)]
     taken: set[str] = set()
-    resolved = []
-    for position, original in enumerate(cells, start=1):
-        issues = []
-        text = original
-        if position == 1 and text.startswith(BOM):
-            text = text[1:]
-            issues.append("bom_stripped")
-        name = text.strip(WHITESPACE)
-        if not name:
-            name = f"column_{position}"
-            issues.append("blank_header")
-        if name in taken:
-            base = name = f"{name}_{position}"
-            attempt = 2
-            while name in taken:
-                name = f"{base}_{attempt}"
-                attempt += 1
-            issues.append("duplicate_header")
-        taken.add(name)
-        resolved.append(HeaderColumn(position, name, original, tuple(issues)))
-    return resolved
+    columns = []
+    for position, (name, issues) in enumerate(wanted, start=1):
+        free = next(candidate for candidate in _header_names(name, position) if candidate not in taken)
+        taken.add(free)
+        renamed = () if free == name else ("duplicate_header",)
+        columns.append(HeaderColumn(position, free, cells[position - 1], issues + renamed))
+    return columns
+
+
+def _clean_header(cell: str, position: int) -> tuple[str, tuple[str, ...]]:
+    marked = position == 1 and cell.startswith(BOM)
+    name = cell.removeprefix(BOM if marked else "").strip(WHITESPACE)
+    issues = ("bom_stripped",) * marked + ("blank_header",) * (not name)
+    return name or f"column_{position}", issues
+
+
+def _header_names(name: str, position: int) -> Iterator[str]:
+    yield name
+    yield f"{name}_{position}"
+    for attempt in count(2):
+        yield f"{name}_{position}_{attempt}"
 
 
 def scan_csv(spark: SparkSession, path: str, ceilings: Ceilings = UNLIMITED) -> CsvScan:
@@ -123,7 +125,9 @@ def scan_csv(spark: SparkSession, path: str, ceilings: Ceilings = UNLIMITED) ->
     configure(spark)
     try:
         files = spark.read.format("binaryFile").load(path).select("path", "length")
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         raise NotFoundError("The uploaded file could not be found in storage.") from None
     found = files.agg(
         F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"), F.min("path").alias("first")
@@ -142,16 +146,39 @@ def scan_csv(spark: SparkSession, path: str, ceilings: Ceilings = UNLIMITED) ->
 
 
 def _head(spark: SparkSession, path: str) -> str:
-    """The first part of one file. Spark's readers drop a byte order mark unseen."""
+    """The first part of one file, to the end of its header at least."""
+    size = HEAD_BYTES
+    while True:
+        data = _first_bytes(spark, path, size)
+        head = data.decode("utf-8", errors="replace")
+        if len(data) < size or _header_ends(head):
+            return head
+        size *= 8
+
+
+def _first_bytes(spark: SparkSession, path: str, size: int) -> bytes:
+    """Spark's own readers drop a byte order mark unseen."""
     jvm = spark.sparkContext._jvm
     location = jvm.org.apache.hadoop.fs.Path(path)
     stream = location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(location)
     try:
-        bounded = jvm.org.apache.commons.io.input.BoundedInputStream(stream, HEAD_BYTES)
-        data = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(bounded))
+        bounded = jvm.org.apache.commons.io.input.BoundedInputStream(stream, size)
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(bounded))
     finally:
         stream.close()
-    return data.decode("utf-8", errors="replace")
+
+
+def _header_ends(head: str) -> bool:
+    """Whether a line break outside quotes follows the first line with anything in it."""
+    quoted = begun = False
+    for char in head.removeprefix(BOM):
+        if char in "\r\n":
+            if begun and not quoted:
+                return True
+        else:
+            begun = True
+            quoted ^= char == '"'
+    return False
 
 
 def _line_separator(head: str) -> str:
@@ -366,12 +393,13 @@ class CsvScan:
             texts = self._first_scan.record_texts.filter(F.col(ROW_NUMBER) <= sample_rows)
         fields = [f"_f{i}" for i in range(len(self.header))]
         schema = ", ".join(f"{name} string" for name in fields)
-        options = {**_PARSE_OPTIONS, "maxColumns": str(max(len(fields) * 4, 20_480))}
+        most = max(len(fields) * 4, 20_480)
+        options = {**_PARSE_OPTIONS, "maxColumns": str(most)}
         parsed = texts.select(
             FILE,
             ROW_NUMBER,
             _checked_field_count(F.col("_record")).alias(FIELD_COUNT),
-            F.from_csv("_record", schema, options).alias("_fields"),
+            F.from_csv(_cut_to(F.col("_record"), len(fields), most), schema, options).alias("_fields"),
         )
         return parsed.select(
             FILE,
@@ -426,6 +454,16 @@ def _checked_field_count(record: Column) -> Column:
     return F.when(record.contains('"'), quoted).otherwise(plain).cast("bigint")
 
 
+def _cut_to(record: Column, wanted: int, most: int) -> Column:
+    """A record of more than ``most`` fields without those beyond the wanted ones."""
+    field = r'(?:"(?:[^"]|"")*+"|[^,"]*+)'
+    quoted = F.regexp_extract(record, f"^(?:{field},){{{wanted - 1}}}{field}", 0)
+    plain = F.substring_index(record, ",", wanted)
+    cut = F.when(record.contains('"'), quoted).otherwise(plain)
+    separators = F.length(record) - F.length(F.translate(record, ",", ""))
+    return F.when(separators >= most, cut).otherwise(record)
+
+
 def preview_rows(df: DataFrame, rows: int = 50) -> DataFrame:
     """The first rows of a version as it is stored; out of range is refused, never clamped."""
     if isinstance(rows, bool) or not isinstance(rows, int) or not 1 <= rows <= MAX_PREVIEW_ROWS:

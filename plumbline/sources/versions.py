@@ -2,17 +2,20 @@
 
 ::
 
-    <root>/data/dataset_id=<id>/v=<n>/                        typed rows, issues beside them
-    <root>/catalog/columns/dataset_id=<id>/version_number=<n>/
-    <root>/catalog/versions/dataset_id=<id>/version_number=<n>/   written last
-
-Every directory belongs to one version and is overwritten as a whole, so a load that
-is tried again ends in the same rows. A version exists once its catalog row does.
+    <root>/data/dataset_id=<id>/v=<n>/attempt=<a>/            typed rows, issues and source beside them
+    <root>/catalog/columns/dataset_id=<id>/version_number=<n>/attempt=<a>/
+    <root>/catalog/versions/dataset_id=<id>/version_number=<n>/attempt=<a>/   written last
+
+Every attempt to write a version has directories of its own, which are never written
+again. A version exists once a catalog row names its attempt; until then, and while it is
+written anew, readers see what was there before. Of several rows the latest counts. A
+completed version is not written again unless that is asked for.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -25,16 +28,20 @@ from ..functions.casting import ISSUES, CellType
 from ..model import Column
 from ..operators.load import import_errors, load_summary
 from ..operators.schema import column_continuity
+from .csv import FILE, ROW_NUMBER
 
 _VERSION_SCHEMA = (
     "version_id string, status string, row_count bigint, rows_rejected bigint, "
     "column_count bigint, timezone string, created_at timestamp, "
-    "dataset_id string, version_number bigint"
+    "dataset_id string, version_number bigint, attempt string"
 )
 _COLUMN_SCHEMA = (
     "column_id string, position bigint, name string, type string, nullable boolean, "
-    "dataset_id string, version_number bigint"
+    "dataset_id string, version_number bigint, attempt string"
 )
+_KEY = ("dataset_id", "version_number")
+#: Columns that tell where a row comes from.
+SOURCE = (FILE, ROW_NUMBER)
 _SAFE_ID = re.compile(r"[A-Za-z0-9_-]+")
 
 
@@ -57,14 +64,27 @@ class VersionStore:
             path = f"{base}/dataset_id={dataset_id}"
         try:
             return self.spark.read.schema(schema).option("basePath", base).parquet(path)
-        except AnalysisException:
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], schema)
 
+    def _attempts(self, dataset_id: str | None) -> DataFrame:
+        """The catalog row of each version's latest attempt."""
+        rows = self._catalog("versions", _VERSION_SCHEMA, dataset_id)
+        fields = [c for c in rows.columns if c not in _KEY]
+        latest = F.max_by(F.struct(*fields), F.struct("created_at", "attempt")).alias("latest")
+        named = rows.groupBy(*_KEY).agg(latest).select(*_KEY, "latest.*")
+        return named.select(*rows.columns)
+
     def versions(self, dataset_id: str | None = None) -> DataFrame:
-        return self._catalog("versions", _VERSION_SCHEMA, dataset_id)
+        return self._attempts(dataset_id).drop("attempt")
 
     def columns(self, dataset_id: str | None = None) -> DataFrame:
-        return self._catalog("columns", _COLUMN_SCHEMA, dataset_id)
+        """Columns of every version, as its latest attempt left them."""
+        written = self._catalog("columns", _COLUMN_SCHEMA, dataset_id)
+        counted = self._attempts(dataset_id).select(*_KEY, "attempt")
+        return written.join(counted, [*_KEY, "attempt"], "left_semi").drop("attempt")
 
     def current_versions(self) -> DataFrame:
         """The version each dataset points at: its highest completed one."""
@@ -88,18 +108,25 @@ class VersionStore:
         loaded: DataFrame,
         cells: Sequence[CellType],
         timezone: str,
+        replace: bool = False,
     ) -> int:
         """Store typed rows with their issues, then the catalog rows. Returns the row count.
 
         The text is read and typed exactly once: summary and issue table are read back
-        from the columns just written.
+        from the columns just written. Where ``loaded`` tells the file and number of a row,
+        both are stored too. A completed version is refused, unless it is to be replaced.
         """
+        if not replace and self._is_completed(dataset_id, version):
+            raise ValidationError(f"Version {version} of this dataset is complete.")
         names = [cell.name for cell in cells]
-        data_dir = self._dir("data", dataset_id, version)
-        kept = [F.col(f"`{n}`") for n in (*names, ISSUES)]
-        loaded.select(*kept).write.mode("overwrite").parquet(data_dir)
-
-        summary = load_summary(self.spark.read.parquet(data_dir)).first()
+        attempt = f"attempt={uuid.uuid4().hex}"
+        data_dir = f"{self._dir('data', dataset_id, version)}/{attempt}"
+        source = [n for n in SOURCE if n in loaded.columns and n not in names]
+        kept = [F.col(f"`{n}`") for n in (*names, ISSUES, *source)]
+        loaded.select(*kept).write.parquet(data_dir)
+
+        stored = self.spark.read.parquet(data_dir)
+        summary = load_summary(stored.select(*kept[: len(names) + 1])).first()
         described = self.spark.createDataFrame(
             [(dataset_id, version, i, c.name, c.type) for i, c in enumerate(cells, start=1)],
             "dataset_id string, version bigint, position bigint, name string, type string",
@@ -111,7 +138,9 @@ class VersionStore:
         nullable = F.col("name").isin(*summary.nullable_columns) if summary.nullable_columns else F.lit(False)
         column_continuity(described, previous).select(
             "column_id", "position", "name", "type", nullable.alias("nullable")
-        ).coalesce(1).write.mode("overwrite").parquet(self._dir("columns", dataset_id, version))
+        ).coalesce(1).write.parquet(f"{self._dir('columns', dataset_id, version)}/{attempt}")
+        if not replace and self._is_completed(dataset_id, version):
+            raise ValidationError(f"Version {version} of this dataset was completed meanwhile.")
         self.spark.range(1).select(
             F.lit(f"{dataset_id}-v{version}").alias("version_id"),
             F.lit("COMPLETED").alias("status"),
@@ -120,9 +149,20 @@ class VersionStore:
             F.lit(len(cells)).cast("bigint").alias("column_count"),
             F.lit(timezone).alias("timezone"),
             F.current_timestamp().alias("created_at"),
-        ).write.mode("overwrite").parquet(self._dir("versions", dataset_id, version))
+        ).coalesce(1).write.parquet(f"{self._dir('versions', dataset_id, version)}/{attempt}")
         return summary.rows_imported
 
+    def _is_completed(self, dataset_id: str, version: int) -> bool:
+        same = (F.col("version_number") == version) & (F.col("status") == "COMPLETED")
+        return not self.versions(dataset_id).filter(same).isEmpty()
+
+    def _stored(self, dataset_id: str, version: int) -> DataFrame:
+        """What the latest attempt at a version has written."""
+        found = self._attempts(dataset_id).filter(F.col("version_number") == version).first()
+        if found is None:
+            raise NotFoundError("This dataset version has no loaded data.")
+        return self.spark.read.parquet(f"{self._dir('data', dataset_id, version)}/attempt={found.attempt}")
+
     def version_columns(self, dataset_id: str, version: int) -> list[Column]:
         rows = (
             self.columns(dataset_id)
@@ -134,25 +174,35 @@ class VersionStore:
             raise NotFoundError("This dataset version has no loaded data.")
         return [Column(r.column_id, r.name, r.type, r.nullable, r.position) for r in rows]
 
-    def read_version(self, dataset_id: str, version: int | None = None) -> DataFrame:
-        """Typed rows of a version, the current one by default; ids are in the field metadata."""
+    def read_version(
+        self, dataset_id: str, version: int | None = None, with_source: bool = False
+    ) -> DataFrame:
+        """Typed rows of a version, the current one by default; ids are in the field metadata.
+
+        ``with_source`` adds the file and row number that a row was read from, where stored.
+        """
         version = self._existing(dataset_id, version)
         columns = self.version_columns(dataset_id, version)
-        stored = self.spark.read.parquet(self._dir("data", dataset_id, version))
+        stored = self._stored(dataset_id, version)
+        names = {c.name for c in columns}
+        source = [n for n in SOURCE if with_source and n in stored.columns and n not in names]
         return stored.select(
             *[
                 F.col(f"`{c.name}`").alias(
                     c.name, metadata={"column_id": c.id, "nullable": c.nullable}
                 )
                 for c in columns
-            ]
+            ],
+            *source,
         )
 
     def import_errors(self, dataset_id: str, version: int | None = None) -> DataFrame:
-        """Issues of a version. Only the issue column is read from storage."""
+        """Issues of a version, with the file of the row where stored. No cell is read from storage."""
         version = self._existing(dataset_id, version)
-        stored = self.spark.read.parquet(self._dir("data", dataset_id, version))
-        return import_errors(stored.select(ISSUES))
+        stored = self._stored(dataset_id, version)
+        source = [n for n in SOURCE[:1] if n in stored.columns]
+        issues = import_errors(stored.select(ISSUES, *source), source)
+        return issues.withColumnsRenamed({n: n.lstrip("_") for n in source})
 
     def _existing(self, dataset_id: str, version: int | None) -> int:
         version = self.current_version_number(dataset_id) if version is None else version

@@ -1,9 +1,11 @@
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import audit, catalog, schema
+from plumbline.operators.schema import broken_queries, references_of
 
 
 @pytest.fixture(scope="module")
@@ -190,3 +192,23 @@ def test_a_hot_key_and_missing_references(spark):
     joined = catalog.optional_lookup(rows, names, "dataset_id", "import_id")
     assert joined.count() == 9000 and set(joined.columns) == {*rows.columns, "n"}
     assert joined.filter("n = -1").count() == 3000 and joined.filter("n IS NULL").count() == 3000
+
+
+def test_references_of_saved_questions(spark):
+    spec = {
+        "datasetId": "d",
+        "dimensions": [{"columnId": "at", "granularity": "month"}, {"columnId": "gone"}],
+        "measures": [{"field": None, "aggregation": "count", "alias": "n"}, {"field": "name", "aggregation": "sum", "alias": "s"}],
+        "filters": [{"columnId": "name", "operator": "eq", "value": 1}],
+        "orderBy": [{"kind": "measure", "ref": "n"}, {"kind": "measure", "ref": "other"}, {"kind": "dimension", "ref": "at"}],
+    }
+    saved = spark.createDataFrame([("q", json.dumps(spec)), ("empty", '{"datasetId":"d"}'), ("bad", "{"), ("null", None)], "saved_query_id string, spec string")
+    references = references_of(saved)
+    assert references.count() == 8
+    columns = spark.createDataFrame([("d", "at", "timestamptz"), ("d", "name", "string")], "dataset_id string, column_id string, type string")
+    found = {(r.column_id, r.usage, r.issue_code) for r in broken_queries(references, columns).collect()}
+    assert found == {
+        ("gone", "dimension", "COLUMN_REMOVED"),
+        ("name", "measure", "TYPE_INCOMPATIBLE"),
+        ("other", "order", "ORDER_BY_UNRESOLVED"),
+    }

@@ -171,3 +171,19 @@ def test_preview_is_refused_out_of_range(spark):
     for rows in (0, 201, -1, True, 1.5):
         with pytest.raises(ValidationError):
             preview_rows(spark.range(5), rows)
+
+
+def test_a_header_of_any_length_is_read_to_its_end(spark, tmp_path):
+    path = tmp_path / "wide.csv"
+    path.write_text(",".join(f"column_number_{i}" for i in range(80_000)) + "\n")
+    header = scan_csv(spark, str(path)).header
+    assert (len(header), header[-1].name) == (80_000, "column_number_79999")
+
+
+@pytest.mark.parametrize("first", ["1", '"a ""quoted"", cell"'])
+def test_rows_with_very_many_surplus_fields_are_kept(spark, tmp_path, first):
+    path = tmp_path / "surplus.csv"
+    path.write_text("a,b\n" + first + ",2" + ",x" * 30_000 + "\n3,4\n")
+    rows = scan_csv(spark, str(path)).records().orderBy("_row_number").collect()
+    cell = first.strip('"').replace('""', '"')
+    assert [(r.a, r.b, r["_field_count"]) for r in rows] == [(cell, "2", 30_002), ("3", "4", 2)]

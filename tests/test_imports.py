@@ -1,3 +1,5 @@
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,3 +144,48 @@ def test_refusals(spark, store, tmp_path):
     with pytest.raises(NotFoundError):
         store.read_version("x")
     assert store.versions().count() == 0
+
+
+def test_late_and_long_decimals_of_all_files_are_kept(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.csv").write_text("id,v\n" + "1,1.5\n" * 300)
+    (folder / "b.csv").write_text("id,v\n" + "x2,0.111111111111\n" * 300)
+    store = VersionStore(spark, str(tmp_path / "store"))
+    proposed = profile_import(spark, str(folder))
+    assert load_import(store, proposed, "d", ZONE) == 1
+    rows = store.read_version("d", with_source=True)
+    assert {r.v for r in rows.select("v").distinct().collect()} == {Decimal("1.5"), Decimal("0.111111111111")}
+    assert dict(rows.dtypes)["id"] == "string"
+    assert rows.select("_file", "_row_number").distinct().count() == 600
+    assert store.import_errors("d").count() == 0
+    # The first rows may decide the types, but no decimal place is lost by it.
+    sampled = profile_import(spark, str(folder), sample_rows=5)
+    assert sampled.columns.where("name = 'v'").first().decimal_scale >= 12
+
+
+def test_a_complete_version_stays_until_its_successor_is_whole(spark, tmp_path):
+    path = tmp_path / "a.csv"
+    path.write_text("v\n1\nx\n")
+    store = VersionStore(spark, str(tmp_path / "store"))
+    proposed = profile_import(spark, str(path))
+    load_import(store, proposed, "d", ZONE, overrides={1: "integer"})
+    with pytest.raises(ValidationError, match="complete"):
+        store.write_version("d", 1, store.read_version("d"), [], ZONE)
+    # Data and columns of an attempt that never got its catalog row are not seen.
+    orphan = store._dir("data", "d", 1) + "/attempt=lost"
+    spark.range(3).selectExpr("id AS v").write.parquet(orphan)
+    assert [r.v for r in store.read_version("d").orderBy("v").collect()] == [None, 1]
+    assert store.next_version_number("d") == 2
+    errors = store.import_errors("d").collect()
+    assert [(e.row_number, e.file.endswith("a.csv")) for e in errors] == [(2, True)]
+
+
+def test_other_failures_to_read_the_catalog_are_not_an_empty_catalog(spark, tmp_path):
+    store = VersionStore(spark, str(tmp_path / "store"))
+    assert store.next_version_number("d") == 1
+    bad = tmp_path / "store" / "catalog" / "versions" / "dataset_id=d" / "version_number=1"
+    bad.mkdir(parents=True)
+    (bad / "part-0.parquet").write_bytes(b"no parquet")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        store.next_version_number("d")
