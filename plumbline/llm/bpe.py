@@ -34,7 +34,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from plumbline.llm.common import all_but, schema_with
+from plumbline.llm.common import all_but, mapped, schema_with
 
 SPACE = r"\t-\r \x85\xa0  -     　"
 #: Fixed value: the pre-split of byte-level tokenizers, with white space written out.
@@ -250,4 +250,4 @@ def encode_decode(docs: DataFrame, vocabulary: str, text: str = "text") -> DataF
                 )
                 first = last
 
-    return source.mapInArrow(run, schema)
+    return mapped(source, run, schema)

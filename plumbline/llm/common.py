@@ -13,14 +13,17 @@ from pyspark.sql import types as T
 
 from plumbline.session import scratch_path
 
-ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Batches for Python workers are bounded in rows and bytes, as texts can be long.
+BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(1 << 20),
+}
 U64 = np.uint64
 FULL = (1 << 64) - 1
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables. Batches for Python workers are kept small, as texts can be long."""
-    spark.conf.set(ARROW_ROWS, "512")
+    """One of the given tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -44,6 +47,20 @@ def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     )
 
 
+def mapped(frame: DataFrame, run, schema: T.StructType | str) -> DataFrame:
+    """``mapInArrow`` over batches of bounded size; column names may hold any characters."""
+    for name, value in BATCHES.items():
+        frame.sparkSession.conf.set(name, value)
+    odd = {c: f"_odd{i}" for i, c in enumerate(frame.columns) if "." in c or "`" in c}
+    if not odd:
+        return frame.mapInArrow(run, schema)
+    named = frame.toDF(*[odd.get(c, c) for c in frame.columns])
+    if isinstance(schema, str):
+        return named.mapInArrow(run, schema)
+    fields = [T.StructField(odd.get(f.name, f.name), f.dataType, f.nullable) for f in schema.fields]
+    return named.mapInArrow(run, T.StructType(fields)).toDF(*schema.names)
+
+
 def all_but(frame: DataFrame, names: tuple[str, ...] = ()) -> DataFrame:
     """The frame without columns of these names; names may hold any characters."""
     quoted = ["`" + c.replace("`", "``") + "`" for c in frame.columns if c not in names]

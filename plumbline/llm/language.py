@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import all_but, groups_of_rows, schema_with, string_column
+from plumbline.llm.common import all_but, groups_of_rows, mapped, schema_with, string_column
 
 BUCKETS, CLUSTERS, ROUNDS = 8192, 4, 12
 PER_LANGUAGE = 1_200
@@ -102,7 +102,7 @@ def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
         names = ["bucket", "n"]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, BUCKETS)), pa.array(np.concatenate([[rows], total]))], names=names)
 
-    found = texts.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    found = mapped(texts.select("text"), run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     frequencies = np.zeros(BUCKETS + 1)
     for bucket, n in found.collect():
         frequencies[bucket + 1] = n
@@ -124,7 +124,7 @@ def sample_counts(sample: DataFrame) -> list[tuple[str, np.ndarray, np.ndarray]]
                 [batch.column("lang"), pa.array(cells, pa.binary()), pa.array(values, pa.binary())], names=["lang", "cells", "counts"]
             )
 
-    rows = sample.select("lang", "text").mapInArrow(run, "lang string, cells binary, counts binary").collect()
+    rows = mapped(sample.select("lang", "text"), run, "lang string, cells binary, counts binary").collect()
     return [
         (r[0], np.frombuffer(bytes(r[1]), np.int16), np.frombuffer(bytes(r[2]), np.float32))
         for r in sorted(rows, key=lambda r: (r[0], bytes(r[1]), bytes(r[2])))
@@ -212,4 +212,4 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
             )
 
     kinds = {"lang_pred": T.StringType(), "score": T.DoubleType(), "rejected": T.BooleanType()}
-    return source.mapInArrow(run, schema_with(source, **kinds))
+    return mapped(source, run, schema_with(source, **kinds))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import U64, groups_of_rows, mix, string_column
+from plumbline.llm.common import U64, groups_of_rows, mapped, mix, string_column
 from plumbline.llm.shingles import FACTORS, word_hashes, word_places
 from plumbline.llm.suffixes import least_of_windows
 
@@ -223,7 +223,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
     source = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].cast("string").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
     parts = [
-        source.mapInArrow(_scanner(shard, coverage), f"doc_id {kind}, {RESULT}")
+        mapped(source, _scanner(shard, coverage), f"doc_id {kind}, {RESULT}")
         for shard in shards(TEMPLATES if templates is None else templates, shard_words)
     ]
     found = parts[0]

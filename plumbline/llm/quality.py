@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import all_but, groups_of_rows, mix, schema_with, string_column, written
+from plumbline.llm.common import all_but, groups_of_rows, mapped, mix, schema_with, string_column, written
 from plumbline.llm.shingles import FACTORS, word_hashes
 
 POSITIVES, UNLABELLED = 6_000, 12_000
@@ -178,7 +178,7 @@ def _sampled_features(texts: DataFrame) -> np.ndarray:
             rows = pa.array([x.tobytes() for x in batch_features(batch)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("positive"), rows], names=["positive", "x"])
 
-    rows = texts.select("positive", "text").mapInArrow(run, "positive boolean, x binary").collect()
+    rows = mapped(texts.select("positive", "text"), run, "positive boolean, x binary").collect()
     found = sorted((r[0], bytes(r[1])) for r in rows)
     split = [np.array([np.frombuffer(x) for kind, x in found if kind == wanted]).reshape(-1, FEATURES) for wanted in (True, False)]
     # Sorted, so that the fit is the same each time; shuffled, as the order must not mean anything.
@@ -217,4 +217,4 @@ def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
             x = batch_features(pa.RecordBatch.from_arrays([column], names=["text"]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(x))], names=[*batch.schema.names, "score"])
 
-    return source.mapInArrow(run, schema_with(source, score=T.DoubleType()))
+    return mapped(source, run, schema_with(source, score=T.DoubleType()))

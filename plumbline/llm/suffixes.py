@@ -41,10 +41,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import U64, RollingHash, groups_of_rows, keyed, mix, signed, string_column, written
+from plumbline.llm.common import U64, RollingHash, groups_of_rows, keyed, mapped, mix, signed, string_column, written
 
 LENGTH = 400
-PIECE = 2 << 20
+PIECE = 1 << 20
 SAMPLE, PREFIX = 4_000, 64
 HOT = 50_000
 BATCH = 40_000
@@ -118,7 +118,8 @@ def anchor_table(docs: DataFrame, length: int) -> DataFrame:
                     names=["doc_id", "text_key", "gram", "around", "start", "anchor", "finish"],
                 )
 
-    return docs.mapInArrow(
+    return mapped(
+        docs,
         run,
         f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key long, gram long, around long, "
         "start long, anchor long, finish long",
@@ -158,7 +159,8 @@ def surroundings(docs: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return joined.mapInArrow(
+    return mapped(
+        joined,
         run,
         f"doc_id {kind}, text_key long, start long, anchor long, finish long, gram long, single boolean, "
         "suffix binary, left binary",
@@ -288,7 +290,7 @@ def front_coded_runs(around: DataFrame, cuts: list[bytes], prefix: int) -> DataF
             table = pa.Table.from_batches(held)
             yield from coded(table, _run_name(table))
 
-    return around.mapInArrow(run, f"doc_id {kind}, {RUN}")
+    return mapped(around, run, f"doc_id {kind}, {RUN}")
 
 
 def _run_name(table: pa.Table) -> int:
@@ -396,7 +398,7 @@ def merged_spans(runs: DataFrame, length: int) -> DataFrame:
         if sources:
             yield from merge(sources, ids)
 
-    return runs.mapInArrow(run, f"doc_id {kind}, text_key long, begin long, end long")
+    return mapped(runs, run, f"doc_id {kind}, text_key long, begin long, end long")
 
 
 def counted_spans(around: DataFrame, length: int) -> DataFrame:
@@ -419,7 +421,7 @@ def counted_spans(around: DataFrame, length: int) -> DataFrame:
                     names=["one", "two", "doc_id", "text_key", "begin", "single"],
                 )
 
-    windows = around.mapInArrow(run, f"one long, two long, doc_id {kind}, text_key long, begin long, single boolean")
+    windows = mapped(around, run, f"one long, two long, doc_id {kind}, text_key long, begin long, single boolean")
     twice = windows.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("one", "two")
     return windows.where("single").join(twice, ["one", "two"]).select(
         "doc_id", "text_key", "begin", (F.col("begin") + length).alias("end")
@@ -487,4 +489,4 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Da
             )
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary")
+    return mapped(joined, run, f"doc_id {kind}, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary")

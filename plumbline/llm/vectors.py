@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import written
+from plumbline.llm.common import mapped, written
 from plumbline.llm.components import components
 
 COSINE = 0.95
@@ -111,7 +111,7 @@ def dealt(distinct: DataFrame, cosine: float, with_vectors: bool) -> DataFrame:
                                 names=[x.split(" ")[0] for x in ROWS.split(", ")],
                             )
 
-    return distinct.mapInArrow(run, ROWS)
+    return mapped(distinct, run, ROWS)
 
 
 def local_roots(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -37,7 +37,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import written
+from plumbline.llm.common import mapped, written
 from plumbline.session import scratch_path
 
 CHUNK = 256 << 10
@@ -144,7 +144,7 @@ def write_archives(pages: DataFrame, folder: str, level: int = 1, least: int = L
             yield pa.RecordBatch.from_pylist(done, schema=schema)
         yield pa.RecordBatch.from_pylist(writer.close(), schema=schema)
 
-    return written(with_record_types(pages, least).mapInArrow(run, FILES), "warc-files")
+    return written(mapped(with_record_types(pages, least), run, FILES), "warc-files")
 
 
 class Members:
@@ -250,7 +250,7 @@ def read_chunks(files: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
     # One file at least a task: archives are of bounded size, and rows are nothing to move.
     spread = files.select("path").repartition(max(2, files.sparkSession.sparkContext.defaultParallelism * 4), "path")
-    return spread.mapInArrow(run, CHUNKS)
+    return mapped(spread, run, CHUNKS)
 
 
 def record_table(chunks: DataFrame) -> DataFrame:
