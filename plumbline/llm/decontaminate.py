@@ -91,7 +91,7 @@ def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, text_key, n_words, hit_words (places of words in windows), item_ids (sorted), contaminated."""
+    """doc_id, text_key, n_words, hit_words (places, from 0, of words in windows), item_ids (sorted), contaminated."""
     windows = written(item_windows(benchmark, window), "item-windows")
     lengths = [r[0] for r in windows.where(F.col("length") < window).select("length").distinct().collect()]
     kinds = families(lengths, window)
@@ -132,7 +132,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
             candidates = part if candidates is None else candidates.unionByName(part)
 
     hits = candidates.join(windows, ["length", "window"])
-    covered = F.flatten(F.collect_list(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)))
+    covered = F.flatten(F.collect_list(F.sequence(F.col("start") - 1, F.col("start") + F.col("length") - 2)))
     found = hits.groupBy("doc_id", "text_key").agg(
         F.array_sort(F.array_distinct(covered)).alias("hit_words"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_ids"),
