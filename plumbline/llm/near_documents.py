@@ -8,13 +8,16 @@ their value there names, which makes 1.25 = 1 / 0.8 children on average. Two set
 similarity 0.8 or more thus stay together on some path with a probability that falls
 slowly with the depth, and unrelated sets part at once. Nodes of one set are dropped,
 nodes of up to ``SMALL`` sets are compared exhaustively, others branch on, ``DEPTH`` times at
-most. Nodes that are large even then are compared in blocks of bounded size, all of them.
+most and as long as that parts them. Nodes that are large even then, such as many near copies
+of one text, are compared in blocks of bounded size, all of them.
 
-A pair whose sketches agree enough is a candidate, and candidates are confirmed on the full
-sets. To keep pairs from growing with the square of a group, a node first proposes for
-each set only its smallest partner. What these links leave in one class needs no
-further proof; then all candidates between different classes follow. So no link
-that could join two classes is left out.
+A pair whose sketches agree enough is a candidate, and links are confirmed on the full sets.
+No pairs of a group are ever listed: a node first proposes for each set its smallest
+partner only, and what the confirmed ones put in one class needs no further proof. Sets with
+candidates of another class then meet in their node with their full sets; each pair is due in
+one node only, all intersections of a block come from a matrix product, and a node
+returns no more links than join its classes. So no link that could join two classes is
+left out.
 
 Recall: a pair of similarity 0.8 is lost by a tree with probability 0.16 at depth 1, 0.43
 at depth 4 and 0.5 at depth 6, by all twelve in 0.03 % of cases at the worst; its sketches
@@ -35,13 +38,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import U64, groups_of_rows, mix, signed, string_column, written
+from plumbline.llm.common import U64, groups_of_rows, mapped, mix, signed, string_column, written
 from plumbline.llm.components import components
 from plumbline.llm.shingles import shingle_sets
 
 SIMILARITY = 80
 COORDINATES, AGREE = 128, 87
 TREES, DEPTH, SMALL, BLOCK = 12, 6, 48, 1024
+#: A child with more than this share of its parent's sets shows that branching does not part them.
+TOGETHER = 0.5
 SETS = "doc_id long, n_shingles long, key1 long, key2 long, sketch binary"
 
 
@@ -86,7 +91,7 @@ def described(docs: DataFrame, shingle: int) -> DataFrame:
             )
 
     source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return source.mapInArrow(run, SETS)
+    return mapped(source, run, SETS)
 
 
 def children(nodes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,27 +124,32 @@ def branch(rows: DataFrame, at_root: bool) -> DataFrame:
             values, ids = values_of(batch), np.asarray(batch.column(batch.schema.get_field_index("id")))
             if at_root:
                 starts = [np.full(len(batch), root, U64) for root in roots]
+                sizes = np.full(len(batch), np.iinfo(np.int64).max)
             else:
                 starts = [np.asarray(batch.column(batch.schema.get_field_index("node"))).view(U64)]
+                sizes = np.asarray(batch.column(batch.schema.get_field_index("size")))
             for nodes in starts:
                 chosen, child = children(nodes, values)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(child)), pa.array(ids[chosen])], names=["node", "id"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(signed(child)), pa.array(ids[chosen]), pa.array(sizes[chosen])], names=["node", "id", "above"]
+                )
 
-    return rows.mapInArrow(run, "node long, id long")
+    return mapped(rows, run, "node long, id long, above long")
 
 
 def leaves(sets: DataFrame) -> DataFrame:
-    """(node, id, size) of the nodes to compare: the small ones, and what is left at the last depth."""
+    """(node, id, size) of the nodes to compare: small ones, ones that stay together, and those at the last depth."""
     found = None
     frontier = branch(sets.select("id", "sketch"), True)
     for depth in range(1, DEPTH + 1):
         frontier = written(frontier, "frontier")
         sizes = frontier.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         sized = written(frontier.join(sizes, "node"), "nodes")
-        done = sized if depth == DEPTH else sized.where(F.col("size") <= SMALL)
+        leaf = (F.col("size") <= SMALL) | (F.col("size") > TOGETHER * F.col("above")) | F.lit(depth == DEPTH)
+        done = sized.where(leaf).select("node", "id", "size")
         found = done if found is None else found.unionByName(done)
         if depth < DEPTH:
-            large = sized.where(F.col("size") > SMALL).select("node", "id")
+            large = sized.where(~leaf).select("node", "id", "size")
             if large.isEmpty():
                 break
             frontier = branch(large.join(sets.select("id", "sketch"), "id"), False)
@@ -165,51 +175,143 @@ def _grouped(stream: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pending
 
 
-def candidates(rows: DataFrame, all_pairs: bool) -> DataFrame:
-    """Pairs (a, b) of sets with similar sketches in the nodes ``rows`` (node, id, size, sketch, class).
+def dealt(rows: DataFrame, every_block: bool) -> DataFrame:
+    """Members of nodes with the pair of blocks (low, high) that they are compared in.
 
-    For each set its smallest partner only, or with ``all_pairs`` all between different classes.
+    Blocks are compared within and with the first one, or each with each.
     """
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    # At first, blocks are compared within and with the first one, which is enough to find most classes.
-    others = F.sequence(F.lit(0), blocks - 1) if all_pairs else F.array_distinct(F.array(F.lit(0), mine))
+    others = F.sequence(F.lit(0), blocks - 1) if every_block else F.array_distinct(F.array(F.lit(0), mine))
     others = F.when((mine == 0) & (blocks > 1), F.sequence(F.lit(0), blocks - 1)).otherwise(others)
-    dealt = rows.withColumn("mine", mine).withColumn("other", F.explode(others)).select(
-        "node", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "id", "class", "sketch"
+    return (
+        rows.withColumn("mine", mine)
+        .withColumn("other", F.explode(others))
+        .withColumns({"low": F.least("mine", "other"), "high": F.greatest("mine", "other")})
+        .drop("other", "size")
     )
-    keys = ["node", "low", "high"]
+
+
+KEYS = ["node", "low", "high"]
+
+
+def _together(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*KEYS).sortWithinPartitions(*KEYS)
+
+
+def _similar(values: np.ndarray, blocks: np.ndarray, across: bool, i: int) -> np.ndarray:
+    """Whether each member before ``i`` has a sketch like that of ``i``, and is to be compared with it here."""
+    near = np.count_nonzero(values[:i] == values[i], axis=1) >= AGREE
+    return near & (blocks[:i] != blocks[i]) if across else near
+
+
+def smallest_partners(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b): each set with the smallest of a similar sketch in each node (node, id, size, sketch)."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out_a, out_b, held = [], [], 0
-        for group in _grouped(stream, keys):
-            if len(group) < 2:
-                continue
-            ids, classes, block = (np.asarray(group.column(c)) for c in ("id", "class", "mine"))
+        for group in _grouped(stream, KEYS):
+            ids, block = (np.asarray(group.column(c)) for c in ("id", "mine"))
             order = np.argsort(ids)
-            ids, classes, block = ids[order], classes[order], block[order]
+            ids, block = ids[order], block[order]
             values = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint32).reshape(-1, COORDINATES)[order]
             across = group.column("low")[0] != group.column("high")[0]
+            found = []
             for i in range(1, len(ids)):
-                near = np.count_nonzero(values[:i] == values[i], axis=1) >= AGREE
-                near &= ids[:i] != ids[i]
-                if across:
-                    near &= block[:i] != block[i]
-                if all_pairs:
-                    near &= classes[:i] != classes[i]
-                partners = ids[:i][near] if all_pairs else ids[:i][near][:1]
-                if len(partners):
-                    out_a.append(np.full(len(partners), ids[i]))
-                    out_b.append(partners)
-                    held += len(partners)
-            if held > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
-                out_a, out_b, held = [], [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
-
-    together = dealt.repartition(*keys).sortWithinPartitions(*keys)
-    return together.mapInArrow(run, "a long, b long").distinct()
+                near = _similar(values, block, across, i)
+                if near.any():
+                    found.append((i, int(np.argmax(near))))
+            if found:
+                a, b = np.array(found).T
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
+
+    return mapped(_together(dealt(rows, False)), run, "a long, b long").distinct()
+
+
+OPEN = "node long, low int, high int, mine int, id long, class long"
+
+
+def open_members(rows: DataFrame) -> DataFrame:
+    """Members of nodes that have a similar sketch of another class there, where that pair is due.
+
+    ``rows`` have node, id, size, sketch, class and ``leaves``, all nodes of the set. A pair is due
+    in the first of the nodes that its sets share, so trees do not repeat each other's work.
+    """
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _grouped(stream, KEYS):
+            ids, classes, block = (np.asarray(group.column(c)) for c in ("id", "class", "mine"))
+            if len(ids) < 2 or classes.min() == classes.max():
+                continue
+            values = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint32).reshape(-1, COORDINATES)
+            across = group.column("low")[0] != group.column("high")[0]
+            node = group.column("node")[0].as_py()
+            before = [[x for x in leaves if x < node] for leaves in group.column("leaves").to_pylist()]
+            width = max(map(len, before))
+            # Fillers differ from row to row, so that they never agree.
+            earlier = np.array([x + [~k] * (width - len(x)) for k, x in enumerate(before)], np.int64).reshape(len(ids), width)
+            real = np.arange(width) < np.array([len(x) for x in before])[:, None]
+            wanted = np.zeros(len(ids), bool)
+            for i in range(1, len(ids)):
+                due = np.flatnonzero(_similar(values, block, across, i) & (classes[:i] != classes[i]))
+                for leaf in earlier[i][real[i]]:
+                    due = due[~((earlier[due] == leaf) & real[due]).any(axis=1)]
+                if len(due):
+                    wanted[due] = wanted[i] = True
+            kept = group.filter(pa.array(wanted)).combine_chunks()
+            for batch in kept.select([x.split(" ")[0] for x in OPEN.split(", ")]).to_batches():
+                yield batch
+
+    return mapped(_together(dealt(rows, True)), run, OPEN)
+
+
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two sets have in common. Elements of one set only are left out first."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[place] > 1
+    owner, place = owner[shared], place[shared]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    if len(place):
+        _, place = np.unique(place, return_inverse=True)
+        order = np.argsort(place, kind="stable")
+        owner, place = owner[order], place[order]
+        for start in range(0, int(place[-1]) + 1, 2048):
+            a, b = np.searchsorted(place, [start, start + 2048])
+            held = np.zeros((len(sets), 2048), np.float32)
+            held[owner[a:b], place[a:b] - start] = 1
+            common += held @ held.T
+    return common
+
+
+def links_between_classes(rows: DataFrame) -> DataFrame:
+    """Links (a, b) that join classes in nodes, judged on the full sets ``items``; no more than join them."""
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _grouped(stream, KEYS):
+            ids, classes, block = (np.asarray(group.column(c)) for c in ("id", "class", "mine"))
+            if len(ids) < 2:
+                continue
+            sets = [x.values.to_numpy(zero_copy_only=False) for x in group.column("items")]
+            size = np.array([len(x) for x in sets], np.float64)
+            common = intersections(sets).astype(np.float64)
+            linked = 100 * common >= SIMILARITY * (size[:, None] + size[None, :] - common)
+            linked &= classes[:, None] != classes[None, :]
+            if group.column("low")[0] != group.column("high")[0]:
+                linked &= block[:, None] != block[None, :]
+            root = {int(c): int(c) for c in np.unique(classes)}
+            found = []
+            for i in np.flatnonzero(linked.any(axis=1)):
+                others = np.flatnonzero(linked[i, :i])
+                _, first = np.unique(classes[others], return_index=True)
+                for j in others[first]:
+                    x, y = root[int(classes[i])], root[int(classes[j])]
+                    if x != y:
+                        root = {c: min(x, y) if r in (x, y) else r for c, r in root.items()}
+                        found.append((int(ids[i]), int(ids[j])))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found]), pa.array([f[1] for f in found])], names=["a", "b"])
+
+    return mapped(_together(rows), run, "a long, b long")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -228,7 +330,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
 
     source = docs.select(docs["doc_id"].cast("long").alias("id"), docs["text"].cast("string").alias("text"))
     texts = source.join(wanted.select("id", F.col("n_shingles").alias("size")), "id")
-    sets = texts.mapInArrow(run, "id long, size long, items array<long>")
+    sets = mapped(texts, run, "id long, size long, items array<long>")
     # Where several texts bear the id, the one with the set's size is meant, and any such will do but one.
     return sets.where(F.size("items") == F.col("size")).groupBy("id").agg(F.first("items").alias("items"))
 
@@ -251,9 +353,11 @@ def near_documents(docs: DataFrame, shingle: int) -> DataFrame:
     named = written(named, "distinct-sets")
     nodes = leaves(named)
 
-    sketched = nodes.join(named.select("id", "sketch"), "id").withColumn("class", F.col("id"))
-    first = written(candidates(sketched, False), "candidates")
-    links = written(_confirmed_by_text(docs, named, first, shingle), "links")
+    nodes = written(nodes, "leaves")
+    sketches = named.select("id", "sketch")
+    first = written(smallest_partners(nodes.join(sketches, "id")), "candidates")
+    wanted = first.select(F.col("a").alias("id")).union(first.select("b")).distinct()
+    links = written(confirmed(first, _sets_of(docs, named, wanted, shingle)), "links")
     classes = written(components(links), "classes")
 
     labelled = nodes.join(classes.withColumnRenamed("node", "id"), "id", "left").select(
@@ -261,9 +365,11 @@ def near_documents(docs: DataFrame, shingle: int) -> DataFrame:
     )
     labelled = written(labelled, "labelled")
     open_nodes = labelled.groupBy("node").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
-    still = labelled.join(open_nodes.select("node"), "node").join(named.select("id", "sketch"), "id")
-    second = candidates(still, True).join(first, ["a", "b"], "left_anti")
-    more = written(_confirmed_by_text(docs, named, written(second, "candidates"), shingle), "links")
+    lists = nodes.groupBy("id").agg(F.collect_list("node").alias("leaves"))
+    still = labelled.join(open_nodes.select("node"), "node").join(sketches, "id").join(lists, "id")
+    members = written(open_members(still), "open-members")
+    sets = _sets_of(docs, named, members.select("id").distinct(), shingle)
+    more = written(links_between_classes(members.join(sets, "id")), "links")
     if not more.isEmpty():
         classes = components(links.union(more))
 
@@ -276,7 +382,6 @@ def near_documents(docs: DataFrame, shingle: int) -> DataFrame:
     return both.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _confirmed_by_text(docs: DataFrame, named: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+def _sets_of(docs: DataFrame, named: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     wanted = written(named.select("id", "n_shingles").join(wanted, "id", "left_semi"), "wanted")
-    return confirmed(pairs, written(full_sets(docs, wanted, shingle), "full-sets"))
+    return written(full_sets(docs, wanted, shingle), "full-sets")
