@@ -465,7 +465,11 @@ def _cut_to(record: Column, wanted: int, most: int) -> Column:
 
 
 def preview_rows(df: DataFrame, rows: int = 50) -> DataFrame:
-    """The first rows of a version as it is stored; out of range is refused, never clamped."""
+    """The first rows of a version; a number out of range is refused, never clamped.
+
+    Rows that tell their file and row number come in that order, without these columns.
+    """
     if isinstance(rows, bool) or not isinstance(rows, int) or not 1 <= rows <= MAX_PREVIEW_ROWS:
         raise ValidationError(f"Preview limit must be between 1 and {MAX_PREVIEW_ROWS}.")
-    return df.limit(rows)
+    source = [name for name in (FILE, ROW_NUMBER) if name in df.columns]
+    return df.orderBy(*source).limit(rows).drop(*source) if len(source) == 2 else df.limit(rows)
