@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from contextlib import suppress
+
 from pyspark.sql import functions as F
 
+from ..errors import PlumblineError
 from ..functions.casting import CellType
 from ..operators.load import typed_load
+from ..plans.importing import load_import, profile_import, stored_imports
+from ..plans.report import SavedQuery, run_stored_query, stored_executions
+from ..plans.spec import Dimension, Measure, QuerySpec
 from ..session import scratch_path
 from ..sources.csv import FIELD_COUNT, ROW_NUMBER, preview_rows, scan_csv
 from ..sources.versions import VersionStore
@@ -122,3 +128,51 @@ def _preview(spark, sf_dir):
 
 QUERIES["preview_rows"] = _preview
 ORACLES["preview_rows"] = f"{ORACLES['version_write']} ORDER BY c_custkey LIMIT 200"
+
+# Events in two files: late ones have decimals of twelve places and ids that are no numbers.
+_VALUE = "CASE WHEN event_id % 2 = 0 THEN CAST(CAST(value AS DECIMAL(18,2)) AS STRING) ELSE '0.111111111111' END"
+
+
+def _end_to_end(spark, sf_dir):
+    """Two CSV files, profiled, confirmed with an override, loaded, asked; and what the logs say."""
+    rows = table(spark, sf_dir, "events").selectExpr(
+        "CASE WHEN event_id % 2 = 0 THEN CAST(user_id AS STRING) ELSE 'u' || user_id END AS user",
+        "event_type AS kind", f"{_VALUE} AS amount", "event_id % 2 AS half",
+    )
+    folder = scratch_path(spark, "events-csv")
+    for half in (0, 1):
+        part = rows.where(f"half = {half}").drop("half")
+        part.coalesce(1).write.mode("append").csv(folder, header=True)
+    store = VersionStore(spark, scratch_path(spark, "store"))
+    proposed = profile_import(spark, folder)
+    load_import(store, proposed, "events", ZONE, overrides={1: "string"})
+    measures = [Measure("sum", "total", "amount"), Measure("count_distinct", "users", "user"), Measure("count", "rows")]
+    ids = {f.name: f.metadata["column_id"] for f in store.read_version("events").schema}
+    asked = [Measure(m.aggregation, m.alias, ids[m.field] if m.field else None) for m in measures]
+    good = SavedQuery("q1", "By kind", QuerySpec("events", [Dimension(ids["kind"])], asked))
+    bad = SavedQuery("q2", "Gone", QuerySpec("events", [Dimension("gone")], asked[2:]))
+    answer = spark.createDataFrame(
+        [(r[ids["kind"]], r["total"], int(r["users"]), int(r["rows"])) for r in run_stored_query(good, store, ZONE).rows],
+        "kind string, total string, users bigint, rows bigint",
+    )  # a handful of kinds of event
+    with suppress(PlumblineError):
+        run_stored_query(bad, store, ZONE)
+    runs = stored_executions(store).select("saved_query_id", "status", "dataset_version", "row_count", "error_code")
+    loads = stored_imports(store).select(F.lit("import"), "status", "version_number", "row_count", "error_code")
+    logged = runs.union(loads).select(
+        F.concat_ws(":", "saved_query_id", "status", "error_code").alias("kind"), F.lit(None).cast("string").alias("total"),
+        F.col("dataset_version").alias("users"), F.col("row_count").alias("rows"),
+    )
+    return answer.unionByName(logged)
+
+
+QUERIES["import_end_to_end"] = _end_to_end
+ORACLES["import_end_to_end"] = """WITH e AS (
+      SELECT CASE WHEN event_id % 2 = 0 THEN CAST(user_id AS VARCHAR) ELSE 'u' || user_id END AS user,
+        event_type AS kind, CASE WHEN event_id % 2 = 0 THEN CAST(CAST(value AS DECIMAL(18,2)) AS DECIMAL(38,12))
+          ELSE 0.111111111111 END AS amount
+      FROM events)
+    SELECT kind, CAST(sum(amount) AS VARCHAR) AS total, count(DISTINCT user) AS users, count(*) AS rows FROM e GROUP BY kind
+    UNION ALL SELECT 'q1:success', NULL, 1, count(DISTINCT kind) FROM e
+    UNION ALL SELECT 'q2:failed:SCHEMA_INCOMPATIBLE', NULL, 1, NULL
+    UNION ALL SELECT 'import:success', NULL, 1, count(*) FROM e"""

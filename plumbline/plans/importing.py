@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import error_code
 from ..model import require_timezone
+from ..operators.audit import FAILED, SUCCESS
 from ..operators.load import typed_load
 from ..operators.profile import column_profile, confirm_schema, infer_schema
 from ..sources.csv import FIELD_COUNT, ROW_NUMBER, UNLIMITED, Ceilings, CsvScan, scan_csv
@@ -22,6 +26,12 @@ _PROPOSAL = (
 )
 
 
+IMPORT_SCHEMA = (
+    "import_id string, dataset_id string, version_number bigint, path string, status string, "
+    "started_at timestamp, completed_at timestamp, row_count bigint, error_code string"
+)
+
+
 @dataclass(frozen=True)
 class ProposedImport:
     """A profiled file: what the reader may confirm or override before it is loaded."""
@@ -72,11 +82,27 @@ def load_import(
     as it was until the new attempt is whole.
     """
     require_timezone(timezone)
-    cells = confirm_schema(proposed.columns, overrides)
     repeated = version is not None
     version = version if repeated else store.next_version_number(dataset_id)
-    loaded = typed_load(
-        proposed.scan.records(), cells, timezone, F.col(ROW_NUMBER), F.col(FIELD_COUNT)
-    ).drop(FIELD_COUNT)
-    store.write_version(dataset_id, version, loaded, cells, timezone, replace=repeated)
+    started = datetime.now(UTC)
+
+    def note(status: str, rows: int | None, code: str | None) -> None:
+        row = (str(uuid.uuid4()), dataset_id, version, proposed.scan.path, status, started, datetime.now(UTC), rows, code)
+        store.append("imports", store.spark.createDataFrame([row], IMPORT_SCHEMA))
+
+    try:
+        cells = confirm_schema(proposed.columns, overrides)
+        loaded = typed_load(
+            proposed.scan.records(), cells, timezone, F.col(ROW_NUMBER), F.col(FIELD_COUNT)
+        ).drop(FIELD_COUNT)
+        rows = store.write_version(dataset_id, version, loaded, cells, timezone, replace=repeated)
+    except Exception as error:
+        note(FAILED, None, error_code(error))
+        raise
+    note(SUCCESS, rows, None)
     return version
+
+
+def stored_imports(store: VersionStore) -> DataFrame:
+    """One row for each load that was tried: outcome, rows loaded, and why it failed."""
+    return store.log("imports", IMPORT_SCHEMA)

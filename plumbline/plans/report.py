@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..errors import PlumblineError, SchemaIncompatibleError, error_code
 from ..model import Column, columns_of
 from ..operators.audit import EXECUTION_SCHEMA, FAILED, SUCCESS
+from ..sources.versions import VersionStore
 from .spec import QuerySpec, SchemaIssue
 from .structured import QueryResult, execute, query_page, text_of
 
@@ -107,6 +108,32 @@ def run_report(
     return outcomes
 
 
+def store_resolver(store: VersionStore) -> Resolver:
+    """Datasets of a version store, each as its current version."""
+
+    def resolve(dataset_id: str) -> Dataset:
+        version = store.current_version_number(dataset_id)
+        if version is None:
+            return Dataset(None)
+        return Dataset(store.read_version(dataset_id, version), version, store.version_columns(dataset_id, version))
+
+    return resolve
+
+
+def run_stored_query(query: SavedQuery, store: VersionStore, timezone: str) -> QueryResult:
+    """Run a saved question on the store; its audit row is stored whether it succeeds or not."""
+    log: list[tuple] = []
+    try:
+        return run_saved_query(query, store_resolver(store), timezone, log)
+    finally:
+        if log:
+            store.append("executions", executions_frame(store.spark, log))
+
+
+def stored_executions(store: VersionStore) -> DataFrame:
+    return store.log("executions", EXECUTION_SCHEMA)
+
+
 def executions_frame(spark: SparkSession, log: Sequence[tuple]) -> DataFrame:
     return spark.createDataFrame(list(log), EXECUTION_SCHEMA)
 

@@ -152,6 +152,19 @@ class VersionStore:
         ).coalesce(1).write.parquet(f"{self._dir('versions', dataset_id, version)}/{attempt}")
         return summary.rows_imported
 
+    def append(self, log: str, rows: DataFrame) -> None:
+        """Add rows to one of the store's logs; what is there is never touched."""
+        rows.write.mode("append").parquet(f"{self.root}/log/{log}")
+
+    def log(self, log: str, schema: str) -> DataFrame:
+        """The rows of a log, none while nothing was added."""
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.root}/log/{log}")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
+
     def _is_completed(self, dataset_id: str, version: int) -> bool:
         same = (F.col("version_number") == version) & (F.col("status") == "COMPLETED")
         return not self.versions(dataset_id).filter(same).isEmpty()

@@ -23,14 +23,16 @@ def typed_stream(
     return typed_load(records, cells, timezone, number)
 
 
-def append_to_version(
+def append_typed(
     records: DataFrame,
     cells: Sequence[CellType],
     timezone: str,
     data_dir: str,
     checkpoint_dir: str,
 ) -> StreamingQuery:
-    """Write arriving records into a version's directory, each exactly once.
+    """Write arriving records as typed rows into a folder of their own, each exactly once.
+
+    The folder is no dataset version; load it as one when it is to be asked.
 
     Processes what is there and stops; run it again for what came since. The checkpoint
     belongs in the shared storage of the cluster, next to the data.

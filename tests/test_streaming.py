@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.casting import CellType
 from plumbline.operators.load import import_errors
-from plumbline.streaming.ingest import append_to_version
+from plumbline.streaming.ingest import append_typed
 
 CELLS = [CellType("n", "integer"), CellType("at", "timestamptz")]
 
@@ -13,7 +13,7 @@ def test_arriving_records_are_typed_once(spark, tmp_path):
     def arrive(rows):
         spark.createDataFrame(rows, "n string, at string").coalesce(1).write.mode("append").json(inbox)
         stream = spark.readStream.schema("n string, at string").json(inbox)
-        append_to_version(stream, CELLS, "America/New_York", data, marks).awaitTermination(120)
+        append_typed(stream, CELLS, "America/New_York", data, marks).awaitTermination(120)
 
     arrive([("1", "2026-03-08 02:30:00"), ("x", "2026-03-09T00:00:00Z")])
     arrive([("3", "2026-11-01 01:30:00")])
