@@ -293,6 +293,32 @@ ORACLES["broken_queries"] = f"""WITH {_CONTINUED}, refs AS (SELECT l_orderkey AS
     SELECT * FROM judged WHERE issue_code IS NOT NULL"""
 
 
+# Every order stands for a saved question, kept as JSON.
+_SPEC = """'{"datasetId":"sales","dimensions":[{"columnId":"' ||
+    CASE o_orderstatus WHEN 'F' THEN 'plan' WHEN 'O' THEN 'gone' ELSE 'at' END ||
+    '"}],"measures":[{"field":null,"aggregation":"count","alias":"n"},{"field":"' ||
+    CASE WHEN o_orderkey % 2 = 0 THEN 'amount' ELSE 'plan' END ||
+    '","aggregation":"sum","alias":"s"}],"filters":[{"columnId":"at","operator":"gt","value":"1996-01-01"}],' ||
+    '"orderBy":[{"kind":"measure","ref":"' || CASE WHEN o_orderkey % 3 = 0 THEN 'n' ELSE 'x' END || '"}]}'"""
+
+
+def _broken_saved(spark, sf_dir):
+    saved = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("saved_query_id"), F.expr(_SPEC).alias("spec"))
+    columns = spark.createDataFrame(
+        [("sales", "plan", "string"), ("sales", "amount", "decimal"), ("sales", "at", "timestamptz")],
+        "dataset_id string, column_id string, type string",
+    )
+    return schema.broken_queries(schema.references_of(saved), columns)
+
+
+QUERIES["broken_saved_queries"] = _broken_saved
+ORACLES["broken_saved_queries"] = """
+    SELECT o_orderkey AS saved_query_id, 'sales' AS dataset_id, 'gone' AS column_id, 'dimension' AS usage,
+      NULL AS detail, 'COLUMN_REMOVED' AS issue_code FROM orders WHERE o_orderstatus = 'O'
+    UNION ALL SELECT o_orderkey, 'sales', 'plan', 'measure', 'sum', 'TYPE_INCOMPATIBLE' FROM orders WHERE o_orderkey % 2 <> 0
+    UNION ALL SELECT o_orderkey, 'sales', 'x', 'order', 'unresolved', 'ORDER_BY_UNRESOLVED' FROM orders WHERE o_orderkey % 3 <> 0"""
+
+
 def _mixed(spark, sf_dir):
     return schema.mixed_unit_groups(sales(spark, sf_dir), ["customer_id"], "currency")
 
