@@ -313,3 +313,25 @@ def test_values_of_any_number_of_digits(spark, operator, value, kept):
     frame = spark.createDataFrame(rows, "v string").selectExpr("CAST(v AS DECIMAL(38,10)) AS v")
     spec = QuerySpec("d", [], [Measure("count", "rows")], [Filter("v", operator, value)])
     assert structured_query(frame, spec).first().rows == kept
+
+
+def test_filters_and_columns_reach_the_scan_of_a_stored_version(spark, tmp_path):
+    path = str(tmp_path / "typed")
+    rows = [(i, f"p{i % 3}", f"{i}.25", "2026-01-02 03:04:05") for i in range(50)]
+    typed = spark.createDataFrame(rows, "n long, plan string, amount string, at string").selectExpr(
+        "n", "plan", "CAST(amount AS DECIMAL(38,10)) AS amount", "CAST(at AS TIMESTAMP) AS at"
+    )
+    typed.write.parquet(path)
+    stored = spark.read.parquet(path)
+    conditions = [
+        Filter("amount", "gte", "10.5"), Filter("amount", "lt", "1e45"), Filter("plan", "in", ["p0", "p1"]),
+        Filter("at", "between", ["2026-01-01T00:00:00Z", "2026-02-01T00:00:00Z"]), Filter("n", "is_not_null", None),
+    ]
+    answer = structured_query(stored, QuerySpec("d", [Dimension("plan")], [Measure("count", "rows")], conditions))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = answer._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    pushed = plan[plan.index("PushedFilters") :]
+    for part in ("GreaterThanOrEqual(amount,", "In(plan,", "GreaterThanOrEqual(at,", "LessThanOrEqual(at,", "IsNotNull(n)"):
+        assert part in pushed, pushed
+    assert sum(r.rows for r in answer.collect()) == len([i for i in range(11, 50) if i % 3 < 2])
