@@ -52,7 +52,8 @@ def scratch_path(spark: SparkSession, purpose: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValidationError("Name a folder that all executors share in spark.checkpoint.dir.")
         root = _local_scratch()
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    # One folder for each application, which can be removed whole once it has ended.
+    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/{purpose}-{uuid.uuid4().hex}"
 
 
 @cache
