@@ -43,7 +43,7 @@ SPLIT = (
     rf"| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 )
 #: Words whose encoding a worker remembers, and the longest word that it does remember.
-MEMORY, LONGEST = 400_000, 200
+MEMORY, LONGEST = 250_000, 200
 SLICE_BYTES = 2 << 20
 
 
@@ -83,7 +83,11 @@ class TokenAutomaton:
         self.words = regex.compile(SPLIT)
         names = sorted(self.specials, key=len, reverse=True)
         self.special_pattern = regex.compile("|".join(map(regex.escape, names))) if names else None
-        self.remembered: dict[str, tuple[bytes, bytes]] = {}
+        ordered = [self.labels.get(token, b"") for token in range(max(self.labels) + 1)]
+        self.label_bytes = np.frombuffer(b"".join(ordered), np.uint8)
+        self.label_sizes = np.array([len(label) for label in ordered], np.int64)
+        self.label_starts = np.cumsum(self.label_sizes) - self.label_sizes
+        self.remembered: dict[str, bytes] = {}
 
     def _add_gadget(self, rank: int, u: int, v: int, w: int, reachable: set[int]) -> None:
         self.rank.setdefault((u, v), rank)
@@ -171,39 +175,39 @@ class TokenAutomaton:
                 at -= lengths[path.pop()]
         return path
 
-    def _word(self, word: str) -> tuple[bytes, bytes]:
+    def _word(self, word: str) -> bytes:
         found = self.remembered.get(word)
         if found is None:
-            tokens = self.encode_word(word.encode("utf-8", "surrogatepass"))
-            found = np.array(tokens, np.int32).tobytes(), b"".join(map(self.labels.__getitem__, tokens))
+            found = np.array(self.encode_word(word.encode("utf-8", "surrogatepass")), np.int32).tobytes()
             if len(word) <= LONGEST:
                 if len(self.remembered) >= MEMORY:
                     self.remembered.clear()
                 self.remembered[word] = found
         return found
 
-    def _parts(self, text: str) -> list[tuple[bytes, bytes]]:
+    def _plain(self, text: str) -> list[bytes]:
+        remembered = self.remembered
+        return [remembered.get(word) or self._word(word) for word in self.words.findall(text)]
+
+    def encode(self, text: str) -> np.ndarray:
+        """Token ids of the text."""
         if self.special_pattern is None or not self.special_pattern.search(text):
-            return self._plain(text)
+            return np.frombuffer(b"".join(self._plain(text)), np.int32)
         parts, at = [], 0
         for match in self.special_pattern.finditer(text):
-            token = self.specials[match.group()]
             parts += self._plain(text[at : match.start()])
-            parts.append((np.array([token], np.int32).tobytes(), self.labels[token]))
+            parts.append(np.array([self.specials[match.group()]], np.int32).tobytes())
             at = match.end()
-        return parts + self._plain(text[at:])
-
-    def _plain(self, text: str) -> list[tuple[bytes, bytes]]:
-        remembered = self.remembered
-        return [remembered.get(word) or self._word(word) for word in self.words.findall(text)]
-
-    def encode(self, text: str) -> tuple[np.ndarray, bytes]:
-        """Token ids of the text, and the labels along its path."""
-        parts = self._parts(text)
-        return np.frombuffer(b"".join([p[0] for p in parts]), np.int32), b"".join([p[1] for p in parts])
+        return np.frombuffer(b"".join(parts + self._plain(text[at:])), np.int32)
 
-    def decode(self, tokens) -> str:
-        return b"".join([self.labels[t] for t in tokens]).decode("utf-8", "replace")
+    def decode(self, tokens: np.ndarray) -> str:
+        """The labels of the tokens, one after the other."""
+        size = self.label_sizes[tokens]
+        ends = np.cumsum(size)
+        if not len(ends):
+            return ""
+        place = np.repeat(self.label_starts[tokens] - (ends - size), size) + np.arange(ends[-1])
+        return self.label_bytes[place].tobytes().decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
@@ -239,9 +243,9 @@ def encode_decode(docs: DataFrame, vocabulary: str, text: str = "text") -> DataF
                 part = batch.slice(first, last - first)
                 ids, decoded = [], []
                 for value in column.slice(first, last - first).to_pylist():
-                    tokens, label = machine.encode(value) if value else (np.zeros(0, np.int32), b"")
+                    tokens = machine.encode(value) if value else np.zeros(0, np.int32)
                     ids.append(tokens)
-                    decoded.append(label.decode("utf-8", "replace"))
+                    decoded.append(machine.decode(tokens))
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 values = np.concatenate(ids) if ids else np.zeros(0, np.int32)
                 yield pa.RecordBatch.from_arrays(
