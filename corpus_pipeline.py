@@ -41,7 +41,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = near_documents.near_documents(docs.select("doc_id", "text"), shingle=5)
     kept = written(found.where("kept and doc_id is not null").groupBy("doc_id").count(), "kept")
-    once = docs.join(kept.where("count = 1").select("doc_id"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    # Merged at every size: the ids kept are never few for long.
+    single = kept.where("count = 1").select("doc_id").hint("merge")
+    once = docs.join(single, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
     repeated = kept.where("count > 1").select("doc_id")
     if repeated.isEmpty():
         return once

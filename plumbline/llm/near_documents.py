@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import U64, groups_of_rows, mapped, mix, signed, string_column, written
+from plumbline.llm.common import U64, Scratch, groups_of_rows, mapped, mix, signed, string_column, written
 from plumbline.llm.components import components
 from plumbline.llm.shingles import shingle_sets
 
@@ -137,14 +137,14 @@ def branch(rows: DataFrame, at_root: bool) -> DataFrame:
     return mapped(rows, run, "node long, id long, above long")
 
 
-def leaves(sets: DataFrame) -> DataFrame:
+def leaves(sets: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, id, size) of the nodes to compare: small ones, ones that stay together, and those at the last depth."""
     found = None
     frontier = branch(sets.select("id", "sketch"), True)
     for depth in range(1, DEPTH + 1):
-        frontier = written(frontier, "frontier")
+        frontier = scratch.written(frontier, "frontier")
         sizes = frontier.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        sized = written(frontier.join(sizes, "node"), "nodes")
+        sized = scratch.written(frontier.join(sizes, "node"), "nodes")
         leaf = (F.col("size") <= SMALL) | (F.col("size") > TOGETHER * F.col("above")) | F.lit(depth == DEPTH)
         done = sized.where(leaf).select("node", "id", "size")
         found = done if found is None else found.unionByName(done)
@@ -346,32 +346,33 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def near_documents(docs: DataFrame, shingle: int) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of ``docs``."""
-    rows = written(described(docs, shingle), "sets")
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.written(described(docs, shingle), "sets")
     named = rows.where("key1 is not null and doc_id is not null").groupBy("key1", "key2").agg(
         F.min("doc_id").alias("id"), F.max("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")
     )
-    named = written(named, "distinct-sets")
-    nodes = leaves(named)
+    named = scratch.written(named, "distinct-sets")
+    nodes = leaves(named, scratch)
 
-    nodes = written(nodes, "leaves")
+    nodes = scratch.written(nodes, "leaves")
     sketches = named.select("id", "sketch")
-    first = written(smallest_partners(nodes.join(sketches, "id")), "candidates")
+    first = scratch.written(smallest_partners(nodes.join(sketches, "id")), "candidates")
     wanted = first.select(F.col("a").alias("id")).union(first.select("b")).distinct()
-    links = written(confirmed(first, _sets_of(docs, named, wanted, shingle)), "links")
-    classes = written(components(links), "classes")
+    links = scratch.written(confirmed(first, _sets_of(docs, named, wanted, shingle, scratch)), "links")
+    classes = scratch.written(components(links, scratch), "classes")
 
     labelled = nodes.join(classes.withColumnRenamed("node", "id"), "id", "left").select(
         "node", "id", "size", F.coalesce("component", "id").alias("class")
     )
-    labelled = written(labelled, "labelled")
+    labelled = scratch.written(labelled, "labelled")
     open_nodes = labelled.groupBy("node").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
     lists = nodes.groupBy("id").agg(F.collect_list("node").alias("leaves"))
     still = labelled.join(open_nodes.select("node"), "node").join(sketches, "id").join(lists, "id")
-    members = written(open_members(still), "open-members")
-    sets = _sets_of(docs, named, members.select("id").distinct(), shingle)
-    more = written(links_between_classes(members.join(sets, "id")), "links")
+    members = scratch.written(open_members(still), "open-members")
+    sets = _sets_of(docs, named, members.select("id").distinct(), shingle, scratch)
+    more = scratch.written(links_between_classes(members.join(sets, "id")), "links")
     if not more.isEmpty():
-        classes = components(links.union(more))
+        classes = components(links.union(more), scratch)
 
     label = named.select("key1", "key2", "id").join(classes.withColumnRenamed("node", "id"), "id", "left")
     label = label.select("key1", "key2", F.coalesce("component", "id").alias("component_id"))
@@ -379,9 +380,13 @@ def near_documents(docs: DataFrame, shingle: int) -> DataFrame:
     alone = rows.where("key1 is null").withColumn("component_id", F.col("doc_id"))
     columns = ["doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")]
     both = linked.select(*columns).union(alone.select(*columns))
-    return both.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    judged = both.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    # A narrow table; what it was made from is larger than the texts and goes at once.
+    result = written(judged, "near-documents")
+    scratch.remove()
+    return result
 
 
-def _sets_of(docs: DataFrame, named: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    wanted = written(named.select("id", "n_shingles").join(wanted, "id", "left_semi"), "wanted")
-    return written(full_sets(docs, wanted, shingle), "full-sets")
+def _sets_of(docs: DataFrame, named: DataFrame, wanted: DataFrame, shingle: int, scratch: Scratch) -> DataFrame:
+    wanted = scratch.written(named.select("id", "n_shingles").join(wanted, "id", "left_semi"), "wanted")
+    return scratch.written(full_sets(docs, wanted, shingle), "full-sets")
