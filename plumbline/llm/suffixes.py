@@ -135,9 +135,8 @@ def surroundings(docs: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
     entry = F.struct("start", "anchor", "finish", "gram", "single")
     listed = chosen.groupBy("doc_id", "text_key").agg(F.collect_list(entry).alias("anchors"))
     listed = listed.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "anchors")
+    # Repeated rows bring their anchors along more than once. They are copies of each other, so none is single.
     joined = docs.join(listed, same_document(docs, listed)).select("doc_id", "text_key", "text", "anchors")
-    # Repeated rows would bring their anchors along more than once.
-    joined = joined.dropDuplicates(["doc_id", "text_key"])
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
@@ -450,7 +449,7 @@ def repeated_spans(docs: DataFrame, length: int, hot: int) -> DataFrame:
     # Cuts are no longer than a k-gram, so that no range parts the suffixes of one.
     prefix = min(PREFIX, length // 2)
     total, nbytes = around.agg(F.count(F.lit(1)), F.sum(F.octet_length("suffix"))).first()
-    parts = max(1, min(total or 0, max(docs.sparkSession.sparkContext.defaultParallelism * 2, (nbytes or 0) // (32 << 20))))
+    parts = max(1, min(total or 0, max(docs.sparkSession.sparkContext.defaultParallelism * 2, (nbytes or 0) // (8 << 20))))
     sample = around.where(F.rand(7) < min(1.0, SAMPLE / max(total, 1))).select(F.substring("suffix", 1, prefix)).limit(4 * SAMPLE)
     prefixes = sorted(bytes(r[0]) for r in sample.collect())
     cuts = sorted({prefixes[len(prefixes) * i // parts] for i in range(1, parts)}) if prefixes else []
