@@ -134,6 +134,30 @@ def test_personal_data_of_documents(spark):
     assert secrets and set(added) == secrets
 
 
+RARE = {
+    20: ("mail me: jane (at) host (dot) com please", "contact", "jane (at) host (dot) com"),
+    21: ("set password=x7Kq92mVbT4w now", "secret", "x7Kq92mVbT4w"),
+}
+
+
+def found_in(rows):
+    return {(r.doc_id, s.kind, r.text[s.begin : s.end]) for r in rows for s in r.spans if s.kind not in FORMATS}
+
+
+def test_rare_kinds_are_found_in_any_table(spark):
+    rare = [(i, t) for i, (t, _, _) in RARE.items()]
+    wanted = {(i, kind, value) for i, (_, kind, value) in RARE.items()}
+    common = [(i, f"{i} items, order 57310803{i:08d} was sent on day {i}") for i in range(1000, 9000)]
+    for texts in (rare, rare + common):
+        docs = documents(spark, texts)
+        model = personal_data.learn(docs)
+        assert set(model.judges) == set(personal_data.GENERATORS)
+        assert found_in(personal_data.find(docs.where("doc_id < 100"), model).collect()) == wanted
+    # One text in many copies neither fills the sample nor leaves it.
+    docs = documents(spark, rare + common[:50] + [(5, common[0][1])] * 4000)
+    assert found_in(personal_data.find(docs.where("doc_id < 100"), personal_data.learn(docs, sample=20)).collect()) == wanted
+
+
 def test_redaction_of_odd_documents(spark):
     texts = ODD + [(7, "é a.b@c.de é +1 (415) 555-0134, 4532015112830366 end"), (8, "b@c.de")]
     found = personal_data.find(documents(spark, texts), None)
