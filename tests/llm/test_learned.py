@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 from helpers import documents, near_classes
@@ -158,6 +159,29 @@ def test_rare_kinds_are_found_in_any_table(spark):
     assert found_in(personal_data.find(docs.where("doc_id < 100"), personal_data.learn(docs, sample=20)).collect()) == wanted
 
 
+def test_long_values_are_covered_whole(spark):
+    pick = random.Random(8)
+    some = lambda letters, n: "".join(pick.choice(letters) for _ in range(n))
+    code = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    signature, key, late = some(code, 342), some(code + "+/", 2400) + "==", some("abcdef", 90) + some(code, 5000) + "7"
+    texts = [f"go password={some(code, 300)}7a end", f"with token: {signature} end", f'api_key = "{key}" end', f"secret: {late} end"]
+    for text, value in zip(texts[1:], (signature, key, late), strict=True):
+        assert ("random", text.index(value), text.index(value) + len(value)) in personal_data.candidates(text)
+    digits = "12 " * 30 + "7"
+    assert ("digits", 2, 2 + len(digits)) in personal_data.candidates(f"a {digits} b")
+    local = some("abc", 90)
+    assert ("spelled", 2, 2 + len(local) + 17) in personal_data.candidates(f"a {local} (at) de (dot) fr b")
+    docs = documents(spark, list(enumerate(texts)))
+    found = personal_data.find(docs, personal_data.learn(docs))
+    clean = [r.c for r in found.orderBy("doc_id").select(personal_data.redacted(F.col("text"), F.col("spans")).alias("c")).collect()]
+    assert clean == ["go password=[SECRET] end", "with token: [SECRET] end", 'api_key = "[SECRET]" end', "secret: [SECRET] end"]
+    # Read in time that grows with the text.
+    for text in ("token=" * 50_000, "1 " * 200_000 + "x", "1" + " " * 300_000, "a" * 300_000 + "!", "(1" * 100_000, "a-" * 200_000):
+        start = time.monotonic()
+        personal_data.candidates(text)
+        assert time.monotonic() - start < 5
+
+
 def test_redaction_of_odd_documents(spark):
     texts = ODD + [(7, "é a.b@c.de é +1 (415) 555-0134, 4532015112830366 end"), (8, "b@c.de")]
     found = personal_data.find(documents(spark, texts), None)
