@@ -182,6 +182,22 @@ def test_long_values_are_covered_whole(spark):
         assert time.monotonic() - start < 5
 
 
+def test_national_numbers_are_found_and_counts_are_not(spark):
+    numbers = {
+        1: ("call (212) 555-0187 today", "(212) 555-0187"), 2: ("his ssn 078-05-1120 leaked", "078-05-1120"),
+        3: ("or try 415-555-0134, they said", "415-555-0134"), 4: ("tel: 2125550187 and more", "2125550187"),
+        5: ("account number 8812 004417 is closed", "8812 004417"), 6: ("reach us at 646.555.0199 or not", "646.555.0199"),
+    }
+    other = ["years 1999-2004 were", "on 2023-04-15 it", "version 10.0.19045 of", "about 10 000 000 people", "value 3.14159265 is", "number 5731080387325255 here"]
+    texts = [(i, t) for i, (t, _) in numbers.items()] + [(50 + i, t) for i, t in enumerate(other)]
+    docs = documents(spark, texts)
+    for model in (personal_data.learn(docs), personal_data.learn(spark.read.parquet(f"{SF}/documents.parquet"))):
+        found = found_in(personal_data.find(docs, model).collect())
+        assert found == {(i, "number", value) for i, (_, value) in numbers.items()}
+    two = "ring 212-555-0187 415-555-0134 now"
+    assert {two[a:b] for _, a, b in personal_data.candidates(two)} >= {"212-555-0187", "415-555-0134"}
+
+
 def test_redaction_of_odd_documents(spark):
     texts = ODD + [(7, "é a.b@c.de é +1 (415) 555-0134, 4532015112830366 end"), (8, "b@c.de")]
     found = personal_data.find(documents(spark, texts), None)
