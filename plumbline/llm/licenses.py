@@ -8,12 +8,16 @@ matched words. Reported are the share of the template's words that match (covera
 span in the text from the first matched word to the last, from ``COVERAGE`` on. Any
 k + stretch - 1 words in common make a hit.
 
+Templates below ``SHORT`` words are found by single words instead: a match of m of n words
+holds one of any n - m + 1, so the words that are rarest in the templates are their fingerprints. Around each, a text with
+enough of the template's words is aligned whole. So every match from ``coverage`` on is a candidate,
+wherever words are changed and with up to ``EXTRA`` more between them.
+
 The index lives in each task. It is cut into shards of at most ``SHARD_WORDS`` words, each of
 which is a pass over the texts, so its size is bounded however many templates there are; a
 template is never cut.
 
-Defined results: null and empty texts, and templates without words, match nothing. A
-template of fewer words than k is one k-gram of its own length. Of overlapping spans of a
+Defined results: null and empty texts, and templates without words, match nothing. Of overlapping spans of a
 template the one with more matches stays, then the first. Repeated rows give repeated
 results, and texts are scanned whole. Offsets are code points, ends not included.
 """
@@ -32,6 +36,7 @@ from plumbline.llm.shingles import FACTORS, word_hashes, word_places
 from plumbline.llm.suffixes import least_of_windows
 
 GRAM, STRETCH = 3, 3
+SHORT, EXTRA = 20, 8
 COVERAGE = 0.7
 SHARD_WORDS = 200_000
 SLICE_BYTES = 1 << 20
@@ -99,17 +104,29 @@ def text_words(text: str) -> np.ndarray:
     return word_hashes(data, np.array([0, len(data)]))[0]
 
 
+def needed(template: np.ndarray, coverage: float) -> int:
+    """The least number of matched words that is enough; one at least."""
+    return next((m for m in range(1, len(template)) if m >= coverage * len(template)), len(template))
+
+
 class Index:
     """The fingerprints of some templates, sorted by hash, with the places where they stand."""
 
-    def __init__(self, templates: list[tuple[str, str]]):
+    def __init__(self, templates: list[tuple[str, str]], coverage: float = COVERAGE):
         found = [(name, text_words(text)) for name, text in templates]
         self.names = [name for name, words in found if len(words)]
         self.words = [words for _, words in found if len(words)]
-        hashes, of, place = [], [], []
+        hashes, of, place, sizes = [], [], [], set()
+        known, often = np.unique(np.concatenate(self.words), return_counts=True) if self.words else (np.zeros(0, U64), np.zeros(0, np.int64))
         for number, words in enumerate(self.words):
-            grams = gram_hashes(words, min(GRAM, len(words)))
-            kept = winnowed(grams, STRETCH)
+            size = 1 if len(words) < SHORT else GRAM
+            grams = gram_hashes(words, size)
+            if size == 1:
+                rarest = np.argsort(often[np.searchsorted(known, words)], kind="stable")
+                kept = np.sort(rarest[: len(words) - needed(words, coverage) + 1])
+            else:
+                kept = winnowed(grams, STRETCH)
+            sizes.add(size)
             hashes.append(grams[kept])
             of.append(np.full(len(kept), number))
             place.append(kept)
@@ -118,7 +135,7 @@ class Index:
         self.hashes = hashed[order]
         self.of = (np.concatenate(of) if of else np.zeros(0, np.int64))[order]
         self.place = (np.concatenate(place) if place else np.zeros(0, np.int64))[order]
-        self.sizes = sorted({min(GRAM, len(words)) for words in self.words})
+        self.sizes = sorted(sizes)
 
     def hits(self, words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place among the words, template, place in it) of all shared fingerprints inside rows."""
@@ -176,10 +193,34 @@ def aligned(template: np.ndarray, text: np.ndarray, diagonal: int, band: int) ->
     return matched, int(first), int(last)
 
 
+def around(template: np.ndarray, words: np.ndarray, at: int, need: int) -> list[tuple[int, int, int]]:
+    """(matched words, first word, last word) of all matches of a short template near a word of it."""
+    reach = len(template) - 1 + EXTRA
+    found, parts = [], [(max(0, at - reach), min(len(words), at + reach + 1))]
+    different = np.unique(template)
+    while parts:
+        a, b = parts.pop()
+        part = words[a:b]
+        # Words that the template repeats may be one in the text.
+        if np.isin(different, part).sum() < need - (len(template) - len(different)):
+            continue
+        band = (len(part) + len(template)) // 2 + 1
+        matched, first, last = aligned(template, part, (len(part) - len(template)) // 2, band)
+        if matched >= need:
+            found.append((matched, a + first, a + last))
+            parts += [(a, a + first), (a + last + 1, b)]
+    return found
+
+
 def matches(index: Index, words: np.ndarray, hits: list[tuple[int, int, int]], least: float) -> list[tuple[int, int, int, int]]:
     """(template, matched words, first word, last word) of one text, given its hits (template, diagonal, place)."""
     found = []
-    hits.sort()
+    short = [h for h in hits if len(index.words[h[0]]) < SHORT]
+    hits = sorted(h for h in hits if len(index.words[h[0]]) >= SHORT)
+    for t, _, at in sorted(short, key=lambda h: (h[0], h[2])):
+        template = index.words[t]
+        found += [(t, *m) for m in around(template, words, at, needed(template, least))]
+    found = list(dict.fromkeys(found))
     start = 0
     for i in range(1, len(hits) + 1):
         template = index.words[hits[start][0]]
@@ -234,7 +275,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
 
 def _scanner(shard: list[tuple[str, str]], coverage: float):
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(shard)
+        index = Index(shard, coverage)
         for batch in stream:
             data, offsets = string_column(batch, "text")
             rows = []

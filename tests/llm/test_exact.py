@@ -129,6 +129,26 @@ def test_licenses_are_found_changed_and_at_their_place(spark):
     assert licenses.scan(documents(spark, texts), {"none": "!!", "one": "permission"}).count() == 3
 
 
+def test_short_notices_with_one_word_changed(spark):
+    texts, wanted = [], set()
+    for name, text in licenses.TEMPLATES.items():
+        words = text.split()
+        if len(licenses.text_words(text)) >= licenses.SHORT:
+            continue
+        for i in range(len(words)):
+            # One word of the text may be two of the scan ("2.0").
+            if len(licenses.text_words(words[i])) == 1:
+                for changed in ([*words[:i], "strange", *words[i + 1 :]], [*words[:i], *words[i + 1 :]], [*words[:i], "strange", *words[i:]]):
+                    wanted.add((len(texts), name))
+                    texts.append("mit der the under " * 3 + " ".join(changed) + " and more of the text")
+        wanted.add((len(texts), name))
+        texts.append(" xx ".join(words))
+    found = {(r.doc_id, r.license) for r in licenses.scan(documents(spark, enumerate(texts))).collect()}
+    assert len(wanted) > 100 and wanted <= found
+    assert licenses.scan(documents(spark, [(1, "under the mit license of the word")])).count() == 1
+    assert licenses.scan(documents(spark, [(1, "under the license, the mit and under the sun")])).count() == 0
+
+
 # op3
 
 
