@@ -11,7 +11,8 @@ and kept.
 
 For every prefix of a word exactly one path leads from the start over arcs whose labels
 spell the prefix. Encoding follows the byte table of the token labels from each place and
-takes a token that an arc allows, so that it never reconsiders a merge. Decoding emits the
+takes a token that an arc allows, the longest first; it goes back from a place that leads nowhere
+and never tries it again. Decoding emits the
 labels of the tokens.
 
 Defined results: a null or empty text has no tokens and decodes to the empty text. Special
