@@ -142,7 +142,7 @@ def _end_to_end(spark, sf_dir):
     folder = scratch_path(spark, "events-csv")
     for half in (0, 1):
         part = rows.where(f"half = {half}").drop("half")
-        part.coalesce(1).write.mode("append").csv(folder, header=True)
+        part.write.mode("append").csv(folder, header=True)
     store = VersionStore(spark, scratch_path(spark, "store"))
     proposed = profile_import(spark, folder)
     load_import(store, proposed, "events", ZONE, overrides={1: "string"})

@@ -189,3 +189,15 @@ def test_other_failures_to_read_the_catalog_are_not_an_empty_catalog(spark, tmp_
     (bad / "part-0.parquet").write_bytes(b"no parquet")
     with pytest.raises(Exception, match="(?i)parquet"):
         store.next_version_number("d")
+
+
+def test_the_import_query_writes_its_files_in_parts(spark, tmp_path, monkeypatch):
+    from plumbline.catalogue import files
+
+    source = spark.range(400).selectExpr("id AS event_id", "id % 7 AS user_id", "'k' || id % 3 AS event_type", "CAST(id AS DOUBLE) AS value")
+    source.repartition(4).write.parquet(f"{tmp_path}/sf/events.parquet")
+    monkeypatch.setattr(files, "scratch_path", lambda _, purpose: f"{tmp_path}/{purpose}")
+    monkeypatch.setattr(files, "table", lambda *_: spark.read.parquet(f"{tmp_path}/sf/events.parquet").repartition(4))
+    answer = {r.kind: r.rows for r in files.QUERIES["import_end_to_end"](spark, str(tmp_path)).collect()}
+    assert [answer[f"k{i}"] for i in range(3)] == [134, 133, 133]
+    assert len(list((tmp_path / "events-csv").glob("*.csv"))) == 8
