@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, decontaminate, language, licenses, near_documents, personal_data, quality, suffixes, vectors, warc
-from plumbline.llm.common import crc32_mod, table
+from plumbline.llm import bpe, conversations, decontaminate, language, licenses, near_documents, personal_data, quality, suffixes, vectors, warc
+from plumbline.llm.common import Scratch, crc32_mod, table, written
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,6 +93,22 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.record_table(warc.read_chunks(files))
 
 
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    scratch = Scratch(spark)
+    found = conversations.repair(conversations.damaged(source), scratch)
+    digest = conversations.digests(found.turns).select(F.col("conv_id").alias("_digest_id"), "sha256")
+    repaired = found.conversations.join(digest, F.col("conv_id").eqNullSafe(F.col("_digest_id")), "left").withColumnRenamed("conv_id", "_id")
+    ids = source.select("conv_id").distinct()
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    rows = ids.join(repaired, ids["conv_id"].eqNullSafe(F.col("_id")), "left").select(
+        "conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")
+    )
+    result = written(rows, "repaired")
+    scratch.remove()
+    return result
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_licenses": op2_licenses,
@@ -104,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_documents": op8_near_documents,
     "op9_bpe": op9_bpe,
     "op10_warc": op10_warc,
+    "op13_conversations": op13_conversations,
 }
 
 _WORDS = (
@@ -111,7 +128,100 @@ _WORDS = (
     r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 )
 
+_CRC = (
+    "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda c: ord(c)::BIGINT)), "
+    "lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), "
+    "lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+)
+_KEYED = "coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')"
+
+
+def _then(state: str, cost: str, edit: str, when: str = "true") -> str:
+    """A state of the repair after an edit; without a way it costs a billion."""
+    return f"CASE WHEN {when} THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{edit}'}} ELSE {{'c': 1000000000, 'a': ''}} END"
+
+
+def _cheapest(*ways: str) -> str:
+    return f"list_min([{', '.join(ways)}])"
+
+
+def _inserted(s: str) -> tuple[str, ...]:
+    return (
+        f"{s}0", f"{s}1",
+        _cheapest(f"{s}2", *[_then(f"{s}{p}", "3", "I") for p in (0, 1, 3)]),
+        _cheapest(f"{s}3", _then(f"{s}2", "3", "I"), *[_then(f"{s}{p}", "6", "II") for p in (0, 1)]),
+    )
+
+
+def _written_by(state: str, who: str) -> list[str]:
+    return [_then(state, "late", "K", f"alive AND who = '{who}'"), _then(state, "3 + late", "R", "alive")]
+
+
+_NOTHING = "{'c': 1000000000, 'a': ''}"
+_REPAIR = f"""
+        WITH RECURSIVE d AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC.format(_KEYED)} % 20 AS k FROM conversations
+        ), c AS (
+            SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+                CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                unnest(CASE WHEN k = 3 THEN [0, 1] ELSE [0] END) AS copy
+            FROM d WHERE k <> 0
+        ), n AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i, left(role, 1) AS who,
+                rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t
+            FROM c
+        ), f AS (
+            SELECT *, CASE WHEN t = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+                WHEN right(t, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+                lag(who) OVER (PARTITION BY conv_id ORDER BY i) || who AS pair
+            FROM n
+        ), g AS (
+            SELECT *, fault NOT IN ('b', 'd') AS alive, CASE fault WHEN 't' THEN 3 ELSE 0 END AS late FROM f
+        ), r AS (
+            SELECT conv_id, 0::BIGINT AS i, {{'c': 0, 'a': ''}} AS s0, {_NOTHING} AS s1, {_NOTHING} AS s2, {_NOTHING} AS s3
+            FROM (SELECT DISTINCT conv_id FROM g)
+            UNION ALL
+            SELECT conv_id, i, {_then("i0", "4", "D")}, {_cheapest(_then("i1", "4", "D"), _then("i0", "late", "K", "alive AND who = 's'"))},
+                {_cheapest(_then("i2", "4", "D"), *[w for p in (0, 1, 3) for w in _written_by(f"i{p}", "u")])},
+                {_cheapest(_then("i3", "4", "D"), *_written_by("i2", "a"))}
+            FROM (
+                SELECT g.conv_id, g.i, g.who, g.alive, g.late, {", ".join(f"{x} AS i{p}" for p, x in enumerate(_inserted("r.s")))}
+                FROM r JOIN g ON g.conv_id IS NOT DISTINCT FROM r.conv_id AND g.i = r.i + 1
+            )
+        ), e AS (
+            SELECT conv_id, {_cheapest("i0", "i3")} AS best
+            FROM (SELECT conv_id, {", ".join(f"{x} AS i{p}" for p, x in enumerate(_inserted("s")))}
+                FROM r QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1)
+        ), p AS (
+            SELECT conv_id, p, x, count(*) FILTER (x <> 'I') OVER w AS i, count(*) FILTER (x <> 'D') OVER w AS o
+            FROM (SELECT conv_id, unnest(string_split(best.a, '')) AS x, unnest(range(1, len(best.a) + 1)) AS p FROM e WHERE best.a <> '')
+            WINDOW w AS (PARTITION BY conv_id ORDER BY p)
+        ), q AS (
+            SELECT p.conv_id, p.p, p.x, o, CASE WHEN x = 'I' THEN '' ELSE g.text END AS text, g.role, g.who,
+                bool_or(x = 'K' AND o = 1 AND g.who = 's') OVER (PARTITION BY p.conv_id) AS system
+            FROM p LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM p.conv_id AND g.i = p.i
+        ), h AS (
+            SELECT conv_id, sha256(string_agg(
+                CASE WHEN x = 'K' THEN role WHEN (o - system::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text,
+                chr(10) ORDER BY p)) AS repaired_sha256
+            FROM q WHERE x <> 'D' GROUP BY conv_id
+        ), s AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+                count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+                count(*) FILTER (i > 1 AND coalesce(pair, '') NOT IN ('su', 'ua', 'au')) AS illegal
+            FROM g GROUP BY conv_id
+        )
+        SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+            coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.c, 0)::BIGINT AS cost,
+            coalesce(best.a, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) a
+        LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM a.conv_id
+        LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM a.conv_id
+        LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM a.conv_id
+    """
+
 ORACLES: dict[str, str] = {
+    "op13_conversations": _REPAIR,
     "op3_decontaminate": f"""
         WITH d AS (
             SELECT doc_id, {_WORDS} AS w FROM documents
