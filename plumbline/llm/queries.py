@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, conversations, decontaminate, language, licenses, near_documents, personal_data, quality, suffixes, vectors, warc
+from plumbline.llm import alignment, bpe, conversations, decontaminate, language, licenses, near_documents, personal_data, quality, suffixes, vectors, warc
 from plumbline.llm.common import Scratch, crc32_mod, table, written
 
 
@@ -93,6 +93,19 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.record_table(warc.read_chunks(files))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scratch = Scratch(spark)
+    found = alignment.align(docs, *alignment.public_vocabularies(), scratch)
+    rows = found.select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
+        F.when(F.col("n_a") == 0, "").otherwise(F.sha2("groups", 256)).alias("groups_sha256"),
+    )
+    result = written(rows, "aligned")
+    scratch.remove()
+    return result
+
+
 def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     scratch = Scratch(spark)
@@ -120,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_documents": op8_near_documents,
     "op9_bpe": op9_bpe,
     "op10_warc": op10_warc,
+    "op11_alignment": op11_alignment,
     "op13_conversations": op13_conversations,
 }
 
