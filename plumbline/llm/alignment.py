@@ -31,6 +31,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,37 +42,28 @@ from plumbline.llm.common import Scratch, all_but, mapped
 
 #: Fixed value: the pre-split of byte-level tokenizers.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters encoded at once, bytes of a block of texts, pairs a task holds before it lets them go.
-STRETCH, BLOCK_BYTES, PAIRS = 1 << 17, 4 << 20, 1 << 20
-#: Words whose pieces a worker remembers, and the longest word that it does remember.
-MEMORY, LONGEST = 300_000, 64
-BETWEEN_WORDS = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
-WORDS = re.compile(r" +[^ ]*")
+#: Bytes of a block of texts; characters encoded and tokens aligned at once.
+BLOCK_BYTES, SLICE, AT_ONCE = 4 << 20, 1 << 19, 1 << 19
+#: Words whose tokens a worker remembers, and the longest word that it does remember.
+MEMORY, LONGEST = 150_000, 64
+#: Before a blank after anything but white space neither tokenizer can join anything to what follows.
+BETWEEN_WORDS = re.compile(r"(?<=\S) ")
 LONG_RUN = regex.compile(r"\s{2000,}|[^\s\p{L}\p{N}]{20000,}")
-OUTPUT = ("a_ids", "b_ids", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups")
-
-
-def stretches(text: str, limit: int = STRETCH) -> Iterator[str]:
-    """``text`` in stretches that begin with a blank between two Latin letters, of ``limit`` characters if there is one."""
-    start = 0
-    while len(text) - start > limit:
-        cut = BETWEEN_WORDS.search(text, start + limit)
-        if cut is None:
-            break
-        yield text[start : cut.start()]
-        start = cut.start()
-    yield text[start:]
+OUTPUT = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups")
 
 
 class _Side:
-    """Bytes of every token, joined, and where each begins."""
+    """The bytes of every token."""
 
     def __init__(self, labels: list[bytes]):
         self.length = np.array([len(x) for x in labels], np.int64)
-        self.labels = np.array([*labels, None], object)[:-1]
+        self.labels = pa.array(labels, pa.binary())
+        self.kind = np.uint16 if len(labels) <= 1 << 16 else np.uint32
 
     def spells(self, ids: np.ndarray, data: bytes) -> bool:
-        return int(self.length[ids].sum()) == len(data) and b"".join(self.labels[ids].tolist()) == data
+        if int(self.length[ids].sum()) != len(data):
+            return False
+        return not data or self.labels.take(pa.array(ids)).buffers()[2].to_pybytes()[: len(data)] == data
 
 
 class ByteLevel(_Side):
@@ -105,35 +97,78 @@ class ByteLevel(_Side):
 
 
 class Pieces(_Side):
-    """Tokenizer B, from its model file. No piece holds a blank after another character, so words are encoded alone."""
+    """Tokenizer B, from its model file. No piece holds a blank after another character."""
 
     def __init__(self, path: str):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        count = self.model.get_piece_size()
         labels = []
-        for i in range(count):
+        for i in range(self.model.get_piece_size()):
             piece = self.model.id_to_piece(i)
             byte = re.fullmatch("<0x([0-9A-F]{2})>", piece)
             labels.append(bytes([int(byte[1], 16)]) if byte else piece.replace("▁", " ").encode())
         super().__init__(labels)
         self.blank = [self.model.piece_to_id("▁")]
-        self.known: dict[str, list[int]] = {}
 
     def encode(self, text: str) -> list[int]:
         """Of a text that begins with the blank that the model would add."""
-        out: list[int] = []
-        for word in WORDS.findall(text):
-            ids = self.known.get(word)
-            if ids is None:
-                ids = self.model.encode(word[1:]) if len(word) > 1 else self.blank
-                if len(word) <= LONGEST:
-                    if len(self.known) >= MEMORY:
-                        self.known.clear()
-                    self.known[word] = ids
-            out += ids
-        return out
+        return self.model.encode(text[1:]) if len(text) > 1 else self.blank
+
+
+class Both:
+    """The two tokenizers, and the tokens of words met before."""
+
+    def __init__(self, a_path: str, b_path: str):
+        self.a, self.b = ByteLevel(a_path), Pieces(b_path)
+        self.known: dict[str, tuple[bytes, bytes]] = {}
+
+    def _one(self, word: str) -> tuple[bytes, bytes]:
+        return tuple(np.array(side.encode(" " + word), side.kind).tobytes() for side in (self.a, self.b))
+
+    def _learn(self, words: set[str]) -> dict[str, tuple[bytes, bytes]]:
+        """Tokens of words: of many at once, cut where their bytes end, if both tokenizers spell them."""
+        plain = [w for w in words if w and len(w) <= LONGEST and not w[-1].isspace() and "▁" not in w]
+        found = {}
+        if plain:
+            line = " " + " ".join(plain)
+            size = np.cumsum([1 + len(w.encode()) for w in plain])
+            cut = []
+            for side in (self.a, self.b):
+                ids = np.array(side.encode(line), side.kind)
+                ends = np.cumsum(side.length[ids])
+                at = np.searchsorted(ends, size)
+                if len(ids) == 0 or ends[-1] != size[-1] or not np.array_equal(ends[at], size):
+                    break
+                cut.append([x.tobytes() for x in np.split(ids, at[:-1] + 1)])
+            if len(cut) == 2:
+                found = dict(zip(plain, zip(*cut, strict=True), strict=True))
+        for word in words - found.keys():
+            found[word] = self._one(word)
+        return found
+
+    def encoded(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of A and B of space + text; none if the text is empty or either does not spell it."""
+        split = [BETWEEN_WORDS.split(t) if t else [] for t in texts]
+        new = {w for words in split for w in words} - self.known.keys()
+        extra = {}
+        if new:
+            if len(self.known) + len(new) > MEMORY:
+                self.known.clear()
+                new = {w for words in split for w in words}
+            extra = self._learn(new)
+            self.known.update((w, x) for w, x in extra.items() if len(w) <= LONGEST)
+        kinds = self.a.kind, self.b.kind
+        out = []
+        for words in split:
+            found = [self.known.get(w) or extra[w] for w in words]
+            out.append(tuple(np.frombuffer(b"".join([f[k] for f in found]), kinds[k]) for k in (0, 1)))
+        data = [(" " + t).encode() if t else b"" for t in texts]
+        whole = b"".join(data)
+        if all(side.spells(np.concatenate([x[k] for x in out]), whole) for k, side in enumerate((self.a, self.b))) if out else True:
+            return out
+        none = np.zeros(0, kinds[0]), np.zeros(0, kinds[1])
+        return [x if self.a.spells(x[0], d) and self.b.spells(x[1], d) else none for x, d in zip(out, data, strict=True)]
 
 
 def public_vocabularies() -> tuple[str, str]:
@@ -144,94 +179,83 @@ def public_vocabularies() -> tuple[str, str]:
 
 
 @lru_cache(maxsize=2)
-def sides(a_path: str, b_path: str) -> tuple[ByteLevel, Pieces]:
-    return ByteLevel(a_path), Pieces(b_path)
-
-
-def encoded(text: str | None, a: ByteLevel, b: Pieces) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of A and B of space + text; none if either does not spell it."""
-    none = np.zeros(0, np.int32)
-    if not text:
-        return none, none
-    ids_a, ids_b = [], []
-    for part in stretches(" " + text):
-        ids_a.append(np.array(a.encode(part), np.int32))
-        ids_b.append(np.array(b.encode(part), np.int32))
-    found = np.concatenate(ids_a), np.concatenate(ids_b)
-    data = (" " + text).encode()
-    return found if a.spells(found[0], data) and b.spells(found[1], data) else (none, none)
+def both(a_path: str, b_path: str) -> Both:
+    return Both(a_path, b_path)
 
 
 class Aligned:
     """Groups and links of many texts, whose ids follow each other."""
 
-    def __init__(self, ids_a: list[np.ndarray], ids_b: list[np.ndarray], a: _Side, b: _Side):
-        self.n_a, self.n_b = np.array([len(x) for x in ids_a], np.int64), np.array([len(x) for x in ids_b], np.int64)
-        none = np.zeros(0, np.int32)
-        self.a, self.b = np.concatenate([none, *ids_a]), np.concatenate([none, *ids_b])
+    def __init__(self, ids_a: np.ndarray, ids_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, a: _Side, b: _Side):
+        self.a, self.b, self.n_a, self.n_b = ids_a, ids_b, n_a, n_b
         # Places in the texts laid end to end: no token crosses from one to the next.
-        self.end_a, self.end_b = np.cumsum(a.length[self.a]), np.cumsum(b.length[self.b])
-        self.doc_a, self.doc_b = np.repeat(np.arange(len(self.n_a)), self.n_a), np.repeat(np.arange(len(self.n_b)), self.n_b)
+        self.end_a, self.end_b = np.cumsum(a.length[ids_a]), np.cumsum(b.length[ids_b])
+        size = int(self.end_a[-1]) if len(ids_a) else 0
+        self.cut = np.zeros((2, size + 1), bool)
+        self.cut[0, self.end_a] = self.cut[1, self.end_b] = True
+        # How many tokens end at or before a byte: the place of the token that holds the next one.
+        self.ended_a, self.ended_b = np.cumsum(self.cut[0], dtype=np.int32), np.cumsum(self.cut[1], dtype=np.int32)
         self.last = self._terminals()
 
     def _terminals(self) -> np.ndarray:
         """For each token of A, then of B, the last token of its group."""
-        size = len(self.a)
-        right_of_a = np.searchsorted(self.end_b, self.end_a)
-        right_of_b = np.searchsorted(self.end_a, self.end_b)
-        own = np.arange(size, size + len(self.b))
-        closes = self.end_a[right_of_b] == self.end_b if size else np.zeros(len(self.b), bool)
-        pointer = np.concatenate([right_of_a + size, np.where(closes, own, right_of_b)])
+        size = np.int32(len(self.a))
+        own = np.arange(size, size + len(self.b), dtype=np.int32)
+        closes = self.cut[0, self.end_b]
+        pointer = np.concatenate([self.ended_b[self.end_a - 1] + size, np.where(closes, own, self.ended_a[self.end_b - 1])])
         while True:
             doubled = pointer[pointer]
             if np.array_equal(doubled, pointer):
                 return pointer
             pointer = doubled
 
-    def links(self) -> tuple[np.ndarray, np.ndarray]:
-        """Places in A and B of every pair of overlapping tokens: one for each stretch without a cut of either."""
-        cuts = np.union1d(self.end_a, self.end_b)
-        return np.searchsorted(self.end_a, cuts), np.searchsorted(self.end_b, cuts)
+    def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, and places in A and B, of every pair of overlapping tokens: one for each stretch without a cut of either."""
+        cuts = np.flatnonzero(self.cut[0] | self.cut[1])
+        at_a, at_b = self.ended_a[cuts - 1], self.ended_b[cuts - 1]
+        return np.repeat(np.arange(len(self.n_a)), self.n_a)[at_a], at_a, at_b
 
     def groups(self) -> np.ndarray:
         """How many groups each text has."""
+        return np.diff(np.concatenate([[0], np.cumsum(self._closing())])[np.concatenate([[0], np.cumsum(self.n_b)])])
+
+    def _closing(self) -> np.ndarray:
         size = len(self.a)
-        closing = self.last[size:] == np.arange(size, size + len(self.b))
-        return np.bincount(self.doc_b[closing], minlength=len(self.n_a))
+        return self.last[size:] == np.arange(size, size + len(self.b))
 
-    def written(self) -> list[str]:
+    def written(self) -> pa.Array:
         """`a1,a2|b1;a3|b2` of each text: ids in order, by group."""
-        size = len(self.a)
-        if not size:
-            return [""] * len(self.n_a)
-        ends_group = np.zeros(len(self.last), bool)
-        ends_group[:size] = np.concatenate([self.last[1:size] != self.last[: size - 1], [True]])
-        ends_group[size:] = self.last[size:] == np.arange(size, len(self.last))
-        # Tokens of a group: those of A, then those of B. Terminals rise from group to group.
-        order = np.argsort(self.last, kind="stable")
-        text_end = np.zeros(len(self.last), bool)
-        text_end[size + np.cumsum(self.n_b)[self.n_b > 0] - 1] = True
-        mark = np.where(ends_group, np.where(np.arange(len(self.last)) < size, 1, 2), 0)
-        mark[text_end] = 3
-        ids = np.concatenate([self.a, self.b])
-        parts = _names(int(ids.max()) + 1)[mark[order], ids[order]]
-        ends = np.cumsum(self.n_a + self.n_b)
-        flat = parts.tolist()
-        return ["".join(flat[e - n : e]) for e, n in zip(ends.tolist(), (self.n_a + self.n_b).tolist(), strict=True)]
+        closing = self._closing()
+        rank = np.cumsum(closing) - closing
+        terminal = np.flatnonzero(closing)
+        group_a, group_b = rank[self.last[: len(self.a)] - len(self.a)], rank
+        first_b = np.concatenate([[0], terminal[:-1] + 1]).astype(np.int64)
+        upto_a = np.cumsum(np.bincount(group_a, minlength=len(terminal)))
+        # A group's tokens of A follow all tokens of groups before it, then come those of B.
+        place = np.concatenate([np.arange(len(self.a)) + first_b[group_a], np.arange(len(self.b)) + upto_a[group_b]]) if len(terminal) else np.zeros(0, np.int64)
+        mark = np.zeros(len(place), np.int64)
+        mark[: len(self.a)][upto_a - 1] = 1
+        mark[len(self.a) :][closing] = 2
+        mark[len(self.a) + np.cumsum(self.n_b)[self.n_b > 0] - 1] = 3
+        ids = np.concatenate([self.a, self.b]).astype(np.int64)
+        width, names = _names(int(ids.max(initial=0)) + 1)
+        order = np.empty(len(place), np.int64)
+        order[place] = mark * width + ids
+        spelled = names.take(pa.array(order))
+        offsets = np.frombuffer(spelled.buffers()[1], np.int32)[: len(order) + 1] if len(order) else np.zeros(1, np.int32)
+        ends = offsets[np.concatenate([[0], np.cumsum(self.n_a + self.n_b)])]
+        return pa.StringArray.from_buffers(len(self.n_a), pa.py_buffer(ends.astype(np.int32).tobytes()), spelled.buffers()[2] or pa.py_buffer(b""))
 
 
 @lru_cache(maxsize=2)
-def _names_of(size: int) -> np.ndarray:
-    return np.array([[f"{i}{mark}" for i in range(size)] for mark in (",", "|", ";", "")], object)
-
+def _names_of(size: int) -> pa.Array:
+    return pa.array([f"{i}{mark}" for mark in (",", "|", ";", "") for i in range(size)], pa.string())
 
-def _names(vocabulary: int) -> np.ndarray:
-    """Every id as text, before each of the marks that may follow it."""
-    return _names_of(1 << max(vocabulary - 1, 1).bit_length())
 
-
-def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return a.astype(np.int64) << 32 | b
+def _names(vocabulary: int) -> tuple[int, pa.Array]:
+    """Every id as text, before each of the marks that may follow it; and the number of ids."""
+    size = 1 << max(vocabulary - 1, 1).bit_length()
+    return size, _names_of(size)
 
 
 def _packed(docs: DataFrame, text: str) -> DataFrame:
@@ -241,69 +265,86 @@ def _packed(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(row.alias("_row"), docs[text].cast("string").alias("_text"))
 
 
-def _ids(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.int32) for x in column.to_pylist()]
+BLOCK_FIELDS = ("a", "b", "n_a", "n_b")
+
+
+def _pressed(values: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(values.tobytes())
 
 
 def _encoded_blocks(docs: DataFrame, a_path: str, b_path: str, block_bytes: int) -> DataFrame:
-    """(block, _row, a_ids, b_ids); a block holds about ``block_bytes`` of text, or one longer text."""
-    schema = T.StructType([T.StructField("block", T.LongType()), docs.schema["_row"], T.StructField("a_ids", T.BinaryType()), T.StructField("b_ids", T.BinaryType())])
+    """A row for each block of about ``block_bytes`` of text, or of one longer text: its rows, their ids one after another, and how many."""
+    rows_type = T.ArrayType(docs.schema["_row"].dataType)
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("_rows", rows_type), *[T.StructField(n, T.BinaryType()) for n in BLOCK_FIELDS]])
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = sides(a_path, b_path)
-        block, held = TaskContext.get().partitionId() << 32, 0
+        sides = both(a_path, b_path)
+        block = TaskContext.get().partitionId() << 32
+        rows, ids, held = [], [], 0
+
+        def block_row() -> pa.RecordBatch:
+            together = pa.concat_arrays(rows)
+            numbers = [np.concatenate([x[k] for x in ids]) for k in (0, 1)] + [np.array([len(x[k]) for x in ids], np.int32) for k in (0, 1)]
+            columns = [pa.array([block]), pa.ListArray.from_arrays(pa.array([0, len(together)], pa.int32()), together)]
+            return pa.RecordBatch.from_arrays(columns + [pa.array([_pressed(x)], pa.binary()) for x in numbers], names=["block", "_rows", *BLOCK_FIELDS])
+
         for batch in stream:
-            blocks, a_ids, b_ids = [], [], []
-            for text in batch.column("_text").to_pylist():
+            texts = batch.column("_text").to_pylist()
+            upto = np.cumsum([len(t or "") for t in texts])
+            start = 0
+            while start < len(texts):
+                # No more at once than SLICE characters, or one text, and no more than the block still takes.
+                room = (upto[start - 1] if start else 0) + min(SLICE, max(block_bytes - held, 1))
+                end = min(max(int(np.searchsorted(upto, room, side="right")), start + 1), len(texts))
+                ids += sides.encoded(texts[start:end])
+                rows.append(batch.column("_row").slice(start, end - start))
+                held += int(upto[end - 1] - (upto[start - 1] if start else 0)) + 100 * (end - start)
+                start = end
                 if held >= block_bytes:
-                    block, held = block + 1, 0
-                held += 100 + len(text or "")
-                found = encoded(text, a, b)
-                blocks.append(block)
-                a_ids.append(found[0].tobytes())
-                b_ids.append(found[1].tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(blocks, pa.int64()), batch.column("_row"), pa.array(a_ids, pa.binary()), pa.array(b_ids, pa.binary())],
-                names=["block", "_row", "a_ids", "b_ids"],
-            )
+                    yield block_row()
+                    block, rows, ids, held = block + 1, [], [], 0
+        if rows:
+            yield block_row()
 
     return mapped(docs, run, schema)
 
 
-def _pairs_of_blocks(blocks: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """(block, pair, n): how many documents of a block hold each pair of ids linked."""
+def _read_block(fields: dict[str, bytes], sides: Both) -> tuple[np.ndarray, ...]:
+    kinds = (sides.a.kind, sides.b.kind, np.int32, np.int32)
+    return tuple(np.frombuffer(zstandard.decompress(fields[n]), kind) for n, kind in zip(BLOCK_FIELDS, kinds, strict=True))
 
-    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = sides(a_path, b_path)
-        held: list[tuple[int, np.ndarray, np.ndarray]] = []
 
-        def summed() -> Iterator[pa.RecordBatch]:
-            for block in sorted({x[0] for x in held}):
-                pairs, of = np.unique(np.concatenate([x[1] for x in held if x[0] == block]), return_inverse=True)
-                n = np.bincount(of, np.concatenate([x[2] for x in held if x[0] == block])).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), block)), pa.array(pairs), pa.array(n)], names=["block", "pair", "n"])
-            held.clear()
+def _slices_of_block(fields: dict[str, bytes], sides: Both) -> Iterator[Aligned]:
+    """The texts of a block, aligned so many at once as have ``AT_ONCE`` tokens, or one."""
+    a, b, n_a, n_b = _read_block(fields, sides)
+    upto_a, upto_b = (np.concatenate([[0], np.cumsum(n, dtype=np.int64)]) for n in (n_a, n_b))
+    upto = upto_a + upto_b
+    start = 0
+    while start < len(n_a):
+        end = min(max(int(np.searchsorted(upto, upto[start] + AT_ONCE, side="right")) - 1, start + 1), len(n_a))
+        yield Aligned(a[upto_a[start] : upto_a[end]], b[upto_b[start] : upto_b[end]], n_a[start:end], n_b[start:end], sides.a, sides.b)
+        start = end
 
+
+def _pairs_of_blocks(blocks: DataFrame, a_path: str, b_path: str) -> DataFrame:
+    """(block, pair, n): how many documents of a block hold each pair of ids linked. A pair is A's id, then 32 bits of B's."""
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides = both(a_path, b_path)
         for batch in stream:
-            blocks_of = batch.column("block").to_numpy()
-            aligned = Aligned(_ids(batch.column("a_ids")), _ids(batch.column("b_ids")), a, b)
-            at_a, at_b = aligned.links()
-            if not len(at_a):
-                continue
-            pairs, doc = _pair(aligned.a[at_a], aligned.b[at_b]), aligned.doc_a[at_a]
-            order = np.lexsort((pairs, doc))
-            pairs, doc = pairs[order], doc[order]
-            first = np.concatenate([[True], (pairs[1:] != pairs[:-1]) | (doc[1:] != doc[:-1])])
-            pairs, doc = pairs[first], doc[first]
-            for block in np.unique(blocks_of).tolist():
-                mine, n = np.unique(pairs[blocks_of[doc] == block], return_counts=True)
-                held.append((block, mine, n))
-            if sum(len(x[1]) for x in held) > PAIRS:
-                yield from summed()
-        yield from summed()
-
-    found = mapped(blocks.select("block", "a_ids", "b_ids"), run, "block long, pair long, n long")
-    return found.groupBy("block", "pair").agg(F.sum("n").alias("n"))
+            for row in batch.to_pylist():
+                found, width = [], len(sides.b.length)
+                size = len(sides.a.length) * width
+                for aligned in _slices_of_block(row, sides):
+                    doc, at_a, at_b = aligned.links()
+                    pairs = np.unique(doc * size + aligned.a[at_a].astype(np.int64) * width + aligned.b[at_b])
+                    found.append(np.unique(pairs % size, return_counts=True))
+                pairs, of = np.unique(np.concatenate([p for p, _ in found]), return_inverse=True)
+                n = np.bincount(of, np.concatenate([c for _, c in found]), len(pairs)).astype(np.int64)
+                pairs = (pairs // width) << 32 | pairs % width
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), row["block"])), pa.array(pairs), pa.array(n)], names=["block", "pair", "n"])
+
+    return mapped(blocks.select("block", *BLOCK_FIELDS), run, "block long, pair long, n long")
 
 
 def pair_counts(block_pairs: DataFrame) -> DataFrame:
@@ -317,7 +358,7 @@ def pair_counts(block_pairs: DataFrame) -> DataFrame:
 
 
 def align(docs: DataFrame, a_path: str, b_path: str, scratch: Scratch, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Each row of ``docs`` but its text, with ids (int32 in native order) of A and B, counts, and the groups as text.
+    """Each row of ``docs`` but its text, with counts, and the groups as text: ids of A and B by group.
 
     ``n_best`` are the links whose pair no other pair of the same A id exceeds in the
     corpus, ``count_sum`` adds up the corpus counts of all links.
@@ -328,26 +369,28 @@ def align(docs: DataFrame, a_path: str, b_path: str, scratch: Scratch, text: str
     counts = scratch.written(pair_counts(block_pairs), "counts")
     looked_up = block_pairs.select("block", "pair").join(counts, "pair").select("block", "pair", "count", "best")
     row_type = packed.schema["_row"]
-    kinds = {"a_ids": T.BinaryType(), "b_ids": T.BinaryType(), "groups": T.StringType()}
-    schema = T.StructType([row_type, *[T.StructField("_" + n, kinds.get(n, T.LongType())) for n in OUTPUT]])
+    schema = T.StructType([row_type, *[T.StructField("_" + n, T.StringType() if n == "groups" else T.LongType()) for n in OUTPUT]])
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        a, b = sides(a_path, b_path)
+        sides = both(a_path, b_path)
         known = right.column("pair").to_numpy()
         order = np.argsort(known)
-        known = known[order]
-        count, best = right.column("count").to_numpy()[order], right.column("best").to_numpy()[order]
-        left = left.combine_chunks()
-        aligned = Aligned(_ids(left.column("a_ids")), _ids(left.column("b_ids")), a, b)
-        at_a, at_b = aligned.links()
-        place = np.searchsorted(known, _pair(aligned.a[at_a], aligned.b[at_b]))
-        doc, size = aligned.doc_a[at_a], left.num_rows
-        # Links stand in the order of their texts.
-        upto = np.searchsorted(doc, np.arange(size + 1))
-        summed = np.diff(np.concatenate([[0], np.cumsum(count[place])])[upto])
-        numbers = [aligned.n_a, aligned.n_b, aligned.groups(), np.bincount(doc, minlength=size), np.bincount(doc[best[place]], minlength=size), summed]
-        columns = [left.column("_row"), left.column("a_ids"), left.column("b_ids"), *[pa.array(x.astype(np.int64)) for x in numbers], pa.array(aligned.written(), pa.string())]
-        return pa.Table.from_arrays(columns, names=schema.names)
+        known, count, best = known[order], right.column("count").to_numpy()[order], right.column("best").to_numpy()[order]
+        rows, done = left.column("_rows").combine_chunks().flatten(), 0
+        out = []
+        fields = {n: left.column(n)[0].as_py() for n in BLOCK_FIELDS}
+        for aligned in _slices_of_block(fields, sides):
+            doc, at_a, at_b = aligned.links()
+            size = len(aligned.n_a)
+            place = np.searchsorted(known, aligned.a[at_a].astype(np.int64) << 32 | aligned.b[at_b])
+            # Links stand in the order of their texts.
+            upto = np.searchsorted(doc, np.arange(size + 1))
+            added = [np.diff(np.concatenate([[0], np.cumsum(x[place], dtype=np.int64)])[upto]) for x in (best, count)]
+            numbers = [aligned.n_a, aligned.n_b, aligned.groups(), np.diff(upto), *added]
+            columns = [rows.slice(done, size), *[pa.array(x.astype(np.int64)) for x in numbers], aligned.written()]
+            out.append(pa.RecordBatch.from_arrays(columns, names=schema.names))
+            done += size
+        return pa.Table.from_batches(out)
 
     found = blocks.groupBy("block").cogroup(looked_up.groupBy("block")).applyInArrow(run, schema)
     names = [f.name for f in row_type.dataType.fields if f.name not in OUTPUT and f.name != "_nothing"]

@@ -90,20 +90,20 @@ def test_query_equals_all_pairs_on_short_texts_of_the_given_table(spark):
     assert all(r["n_best"] <= r["n_links"] <= r["count_sum"] for r in found.values())
 
 
-def test_long_texts_are_encoded_as_in_one_stretch():
-    a, b = alignment.sides(A_PATH, B_PATH)
+def test_words_encoded_alone_or_together_give_the_tokens_of_whole_texts():
     whole_a = Tokenizer.from_file(A_PATH)
     whole_a.encode_special_tokens = True
     whole_b = sentencepiece.SentencePieceProcessor(model_file=B_PATH)
     pick = np.random.default_rng(2)
-    words = [t for t in " ".join(x or "" for x in TEXTS).split(" ") if len(t) < 60] + ["", "don't", "x\n", "\n", "é", "Of", "the"]
-    for text in (" ".join(pick.choice(words, 20_000)), "y" * 1_200_000, " " * 30_000 + "x", "word " * 4000 + "\n" * 9000 + "end", "!" * 50_000):
-        assert len(list(alignment.stretches(text, 500))) > 5 or len(set(text)) < 8
-        parts = list(alignment.stretches(" " + text, 500))
-        assert "".join(parts) == " " + text
-        expected = whole_a.encode(" " + text, add_special_tokens=False).ids
-        assert [i for p in parts for i in a.encode(p)] == expected
-        assert [i for p in parts for i in b.encode(p)] == whole_b.encode(text)
+    words = [t for t in " ".join(x or "" for x in TEXTS).split(" ") if len(t) < 60 and "▁" not in t]
+    words += ["", "", "don't", "x\n", "\n", "\n\n", "é", "Of", "the", "\x1c", "a\u3000", "\u200b", "\xa0"]
+    texts = [" ".join(pick.choice(words, 400)) for _ in range(60)]
+    texts += ["y" * 1_200_000, " " * 30_000 + "x", "word " * 4000 + "\n" * 9000 + "end", "!" * 50_000, "w" * 70 + " " + "w" * 70]
+    for sides in (alignment.Both(A_PATH, B_PATH), alignment.both(A_PATH, B_PATH)):
+        for _ in range(2):
+            for text, (a, b) in zip(texts, sides.encoded(texts), strict=True):
+                assert a.tolist() == whole_a.encode(" " + text, add_special_tokens=False).ids
+                assert b.tolist() == whole_b.encode(text)
 
 
 def test_repeated_rows_and_an_empty_table(spark):
