@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import alignment, bpe, conversations, decontaminate, language, licenses, near_documents, personal_data, quality, suffixes, vectors, warc
+from plumbline.llm import alignment, bpe, conversations, decontaminate, language, licenses, near_documents, personal_data, quality, suffixes, toxicity, vectors, warc
 from plumbline.llm.common import Scratch, crc32_mod, table, written
 
 
@@ -106,6 +106,16 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.withColumn("held_out", crc32_mod(F.col("doc_id"), 5) == 0)
+    scratch = Scratch(spark)
+    model = toxicity.learn(docs.where("not held_out"), table(spark, sf_dir, "labels"), docs, scratch)
+    scratch.remove()
+    found = toxicity.passages(docs, model).select("doc_id", "held_out", "score", F.size("passages").alias("n_passages"))
+    return found.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+
+
 def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     scratch = Scratch(spark)
@@ -134,6 +144,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": op9_bpe,
     "op10_warc": op10_warc,
     "op11_alignment": op11_alignment,
+    "op12_toxicity": op12_toxicity,
     "op13_conversations": op13_conversations,
 }
 
