@@ -401,7 +401,8 @@ def learn(docs: DataFrame, labels: DataFrame, corpus: DataFrame, scratch: Scratc
     """A model from ``docs`` (doc_id, text), their ``labels`` (doc_id, toxic), and the texts of the whole ``corpus``."""
     known = labels.select(labels["doc_id"].alias("doc_id"), labels["toxic"].alias("toxic")).where("toxic is not null")
     known = known.groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
-    rows = scratch.written(docs.select("doc_id", "text").join(known, "doc_id").select("toxic", "text"), "labelled")
+    # Merged at every size: labels are never few for long.
+    rows = scratch.written(docs.select("doc_id", "text").join(known.hint("merge"), "doc_id").select("toxic", "text"), "labelled")
     sizes = {kind: n for kind, n in rows.groupBy("toxic").count().collect()}
     if not sizes.get(True) or not sizes.get(False):
         return None
