@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from contextlib import suppress
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from ..plans.importing import load_import, profile_import, stored_imports
 from ..plans.report import SavedQuery, run_stored_query, stored_executions
 from ..plans.spec import Dimension, Measure, QuerySpec
 from ..session import scratch_path
-from ..sources.csv import FIELD_COUNT, ROW_NUMBER, preview_rows, scan_csv
+from ..sources.csv import FIELD_COUNT, ROW_NUMBER, Ceilings, preview_rows, scan_csv
 from ..sources.versions import VersionStore
 from .tables import ZONE, portable, table
 
@@ -44,6 +45,42 @@ QUERIES["csv_scan"] = _csv_scan
 ORACLES["csv_scan"] = """SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang, source,
     CAST(n_chars AS VARCHAR) AS n_chars FROM documents"""
 
+# Nations as columns named after their region: most names repeat, one is blank, one is quoted.
+_CELL = """CASE n_nationkey WHEN 7 THEN ' ' WHEN 3 THEN 'Total, all'
+    ELSE r_name || CASE WHEN n_nationkey % 2 = 0 THEN ' ' ELSE '' END END"""
+
+
+def _csv_headers(spark, sf_dir):
+    """The header of many files, resolved; and in how many rows of them each column is filled."""
+    nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.expr("n_regionkey = r_regionkey"))
+    cells = nations.select("n_nationkey", F.expr(_CELL).alias("cell")).orderBy("n_nationkey").collect()  # 25 nations
+    header = ",".join(f'"{c.cell}"' if "," in c.cell else c.cell for c in cells)
+    row = f"concat_ws(',', transform(sequence(0, {len(cells) - 1}), i -> if(i = c_nationkey, c_mktsegment, '')))"
+    target = scratch_path(spark, "nations-csv")
+    table(spark, sf_dir, "customer").repartition(4).select(F.expr(row).alias(header)).write.csv(
+        target, header=True, sep="\x01", quote="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
+    scan = scan_csv(spark, target)
+    filled = scan.cells().agg(*[F.count_if(F.col(f"`{h.name}`") != "").alias(str(h.position)) for h in scan.header])
+    counts = filled.unpivot([], list(filled.columns), "position", "filled").withColumn("position", F.col("position").cast("bigint"))
+    names = spark.createDataFrame([(h.position, h.name, ",".join(h.issues)) for h in scan.header], "position bigint, name string, issues string")
+    # As every file has it, not as the first one has it.
+    found = scan.header_records().select(F.posexplode("cells").alias("place", "original_header")).distinct()
+    found = found.select((F.col("place") + 1).cast("bigint").alias("position"), "original_header")
+    return found.join(names, "position").join(counts, "position")
+
+
+QUERIES["csv_headers"] = _csv_headers
+ORACLES["csv_headers"] = f"""WITH h AS (
+      SELECT n_nationkey + 1 AS position, {_CELL} AS cell, trim({_CELL}) AS name
+      FROM nation JOIN region ON n_regionkey = r_regionkey),
+    r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY position) AS n FROM h)
+    SELECT CAST(position AS BIGINT) AS position, cell AS original_header,
+      CASE WHEN name = '' THEN 'column_' || position WHEN n > 1 THEN name || '_' || position ELSE name END AS name,
+      CASE WHEN name = '' THEN 'blank_header' WHEN n > 1 THEN 'duplicate_header' ELSE '' END AS issues,
+      (SELECT count(*) FROM customer WHERE c_nationkey + 1 = position) AS filled
+    FROM r"""
+
 # Customers as raw lines: one in eleven lacks its last field, one in eleven has one more.
 _LINE = """c_custkey || ',' || c_name || ',' || c_nationkey || ',' || CAST(c_acctbal AS DECIMAL(18,2)) ||
     CASE c_custkey % 11 WHEN 3 THEN '' WHEN 5 THEN ',' || c_mktsegment || ',surplus'
@@ -75,6 +112,33 @@ QUERIES["file_profile"] = lambda spark, sf_dir: _ragged(spark, sf_dir).file_prof
 ORACLES["file_profile"] = """SELECT 5 AS column_count, count(*) AS rows_read,
     count(*) FILTER (c_custkey % 11 IN (3, 5)) AS rows_with_bad_field_count FROM customer"""
 
+def _ceilings(spark, sf_dir):
+    """Each bound at what the file has, which is allowed, and one below, which is refused."""
+    lines = table(spark, sf_dir, "customer").select(F.expr(_LINE).alias(_HEADER))
+    target = scratch_path(spark, "bounded-csv")
+    lines.coalesce(1).write.csv(target, header=True, sep="\x01", quote="")
+    scan = scan_csv(spark, target)
+    measured = {"max_bytes": scan.size_bytes, "max_rows": scan.row_count, "max_columns": len(scan.header)}
+    rows = []
+    for name, value in measured.items():
+        for bound in (value, value - 1):
+            try:
+                replace(scan, ceilings=Ceilings(**(dict.fromkeys(measured) | {name: bound}))).enforce_ceilings()
+                rows.append((name, bound, None))
+            except PlumblineError as error:
+                rows.append((name, bound, str(error)))
+    return spark.createDataFrame(rows, "ceiling string, bound bigint, refusal string")
+
+
+QUERIES["ceilings"] = _ceilings
+ORACLES["ceilings"] = f"""WITH m AS (
+      SELECT 'max_bytes' AS ceiling, 'byte' AS unit, {len(_HEADER) + 1} + sum(strlen({_LINE}) + 1) AS measured FROM customer
+      UNION ALL SELECT 'max_rows', 'row', count(*) FROM customer
+      UNION ALL SELECT 'max_columns', 'column', 5)
+    SELECT ceiling, CAST(measured - below AS BIGINT) AS bound, CASE below WHEN 1 THEN
+      'File exceeds the ' || (measured - 1)::BIGINT || '-' || unit || ' limit (measured ' || measured::BIGINT || ' ' || unit || 's).' END AS refusal
+    FROM m, (VALUES (0), (1)) b(below)"""
+
 _CUSTOMER_TYPES = [
     CellType("id", "integer"),
     CellType("name", "string"),

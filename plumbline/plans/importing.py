@@ -83,7 +83,8 @@ def load_import(
     """
     require_timezone(timezone)
     repeated = version is not None
-    version = version if repeated else store.next_version_number(dataset_id)
+    claim = None if repeated else store.claim_version(dataset_id)
+    version = version if repeated else claim.version
     started = datetime.now(UTC)
 
     def note(status: str, rows: int | None, code: str | None) -> None:
@@ -95,7 +96,7 @@ def load_import(
         loaded = typed_load(
             proposed.scan.records(), cells, timezone, F.col(ROW_NUMBER), F.col(FIELD_COUNT)
         ).drop(FIELD_COUNT)
-        rows = store.write_version(dataset_id, version, loaded, cells, timezone, replace=repeated)
+        rows = store.write_version(dataset_id, version, loaded, cells, timezone, replace=repeated, claim=claim)
     except Exception as error:
         note(FAILED, None, error_code(error))
         raise

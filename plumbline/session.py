@@ -21,6 +21,8 @@ RUNTIME_CONF = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
     # Of a key written twice in one JSON object the last one counts.
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # Batches for Python are bounded in bytes too, as lines and texts can be long.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",

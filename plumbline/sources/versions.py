@@ -2,6 +2,7 @@
 
 ::
 
+    <root>/claims/dataset_id=<id>/v=<n>                       who writes the version; made once, never changed
     <root>/data/dataset_id=<id>/v=<n>/attempt=<a>/            typed rows, issues and source beside them
     <root>/catalog/columns/dataset_id=<id>/version_number=<n>/attempt=<a>/
     <root>/catalog/versions/dataset_id=<id>/version_number=<n>/attempt=<a>/   written last
@@ -10,6 +11,10 @@ Every attempt to write a version has directories of its own, which are never wri
 again. A version exists once a catalog row names its attempt; until then, and while it is
 written anew, readers see what was there before. Of several rows the latest counts. A
 completed version is not written again unless that is asked for.
+
+A version number belongs to the writer that made its claim file, which the file system
+makes for one of them only; the others take the next number. A writer that is lost leaves
+a number without a version, and readers stay with the version before.
 """
 
 from __future__ import annotations
@@ -29,6 +34,7 @@ from ..model import Column
 from ..operators.load import import_errors, load_summary
 from ..operators.schema import column_continuity
 from .csv import FILE, ROW_NUMBER
+from .files import children, create_new, read_text
 
 _VERSION_SCHEMA = (
     "version_id string, status string, row_count bigint, rows_rejected bigint, "
@@ -45,6 +51,15 @@ SOURCE = (FILE, ROW_NUMBER)
 _SAFE_ID = re.compile(r"[A-Za-z0-9_-]+")
 
 
+@dataclass(frozen=True)
+class Claim:
+    """A version number that one writer alone may write."""
+
+    dataset_id: str
+    version: int
+    owner: str
+
+
 @dataclass(frozen=True)
 class VersionStore:
     spark: SparkSession
@@ -55,6 +70,8 @@ class VersionStore:
             raise ValidationError(f'"{dataset_id}" is not a dataset id.')
         if table == "data":
             return f"{self.root}/data/dataset_id={dataset_id}/v={version}"
+        if table == "claims":
+            return f"{self.root}/claims/dataset_id={dataset_id}/v={version}"
         return f"{self.root}/catalog/{table}/dataset_id={dataset_id}/version_number={version}"
 
     def _catalog(self, table: str, schema: str, dataset_id: str | None) -> DataFrame:
@@ -99,8 +116,30 @@ class VersionStore:
         return completed.agg(F.max("version_number").alias("n")).first().n
 
     def next_version_number(self, dataset_id: str) -> int:
+        """One more than any written version; only a claim makes a number one's own."""
         return (self.versions(dataset_id).agg(F.max("version_number").alias("n")).first().n or 0) + 1
 
+    def claim_version(self, dataset_id: str) -> Claim:
+        """The next version number, for the caller alone."""
+        claimed = [int(name[2:]) for name in children(self.spark, self._claim_dir(dataset_id)) if name.startswith("v=")]
+        number = max([self.next_version_number(dataset_id), *[n + 1 for n in claimed]])
+        while (claim := self.claim(dataset_id, number)) is None:
+            number += 1
+        return claim
+
+    def claim(self, dataset_id: str, version: int) -> Claim | None:
+        """That number for the caller alone; None if somebody else has it."""
+        owner = uuid.uuid4().hex
+        made = create_new(self.spark, f"{self._claim_dir(dataset_id)}/v={version}", owner)
+        return Claim(dataset_id, version, owner) if made else None
+
+    def _claim_dir(self, dataset_id: str) -> str:
+        return self._dir("claims", dataset_id, 0).rpartition("/")[0]
+
+    def _require(self, claim: Claim) -> None:
+        if read_text(self.spark, f"{self._claim_dir(claim.dataset_id)}/v={claim.version}") != claim.owner:
+            raise ValidationError(f"Version {claim.version} of this dataset belongs to another writer.")
+
     def write_version(
         self,
         dataset_id: str,
@@ -109,15 +148,22 @@ class VersionStore:
         cells: Sequence[CellType],
         timezone: str,
         replace: bool = False,
+        claim: Claim | None = None,
     ) -> int:
         """Store typed rows with their issues, then the catalog rows. Returns the row count.
 
         The text is read and typed exactly once: summary and issue table are read back
         from the columns just written. Where ``loaded`` tells the file and number of a row,
-        both are stored too. A completed version is refused, unless it is to be replaced.
+        both are stored too. The number must be the caller's by ``claim``, or free; a completed
+        version is refused, unless it is to be replaced.
         """
-        if not replace and self._is_completed(dataset_id, version):
-            raise ValidationError(f"Version {version} of this dataset is complete.")
+        if not replace:
+            if self._is_completed(dataset_id, version):
+                raise ValidationError(f"Version {version} of this dataset is complete.")
+            claim = claim or self.claim(dataset_id, version)
+            if claim is None:
+                raise ValidationError(f"Version {version} of this dataset is being written.")
+            self._require(claim)
         names = [cell.name for cell in cells]
         attempt = f"attempt={uuid.uuid4().hex}"
         data_dir = f"{self._dir('data', dataset_id, version)}/{attempt}"
@@ -139,8 +185,6 @@ class VersionStore:
         column_continuity(described, previous).select(
             "column_id", "position", "name", "type", nullable.alias("nullable")
         ).coalesce(1).write.parquet(f"{self._dir('columns', dataset_id, version)}/{attempt}")
-        if not replace and self._is_completed(dataset_id, version):
-            raise ValidationError(f"Version {version} of this dataset was completed meanwhile.")
         self.spark.range(1).select(
             F.lit(f"{dataset_id}-v{version}").alias("version_id"),
             F.lit("COMPLETED").alias("status"),

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.sources import csv as source
 from plumbline.errors import LimitExceededError, NotFoundError, ValidationError
 from plumbline.sources.csv import (
     FIELD_COUNT,
@@ -126,6 +127,62 @@ def test_many_files_share_a_header(spark, tmp_path):
         scan_csv(spark, str(tmp_path)).records().collect()
 
 
+def test_headers_are_compared_as_whole_records(spark, tmp_path):
+    write(tmp_path, b'\xef\xbb\xbf\r\nid,"name\r\nx"\r\n1,a\r\n', "0.csv")
+    write(tmp_path, b'"id","name\r\nx"\r\n2,"b\r\nb"\r\n', "1.csv")
+    scan = scan_csv(spark, str(tmp_path))
+    assert sorted((r.id, r["name\r\nx"]) for r in scan.records().collect()) == [("1", "a"), ("2", "b\r\nb")]
+    assert sorted(r.cells for r in scan.header_records().collect()) == [["id", "name\r\nx"]] * 2
+    write(tmp_path, b'id,"name\r\ny",extra\r\n3,c,d\r\n', "2.csv")
+    with pytest.raises(ValidationError, match="same header .*2.csv"):
+        scan_csv(spark, str(tmp_path)).records().collect()
+
+
+def test_a_header_longer_than_a_read_block(spark, tmp_path, small_splits):
+    header = 'id,"' + "long name\n" * 12 + 'end"'
+    for i in range(2):
+        write(tmp_path, f"{header}\n{i},x\n", f"{i}.csv")
+    scan = scan_csv(spark, str(tmp_path))
+    assert sorted((r[1], r.id) for r in scan.records().collect()) == [(1, "0"), (1, "1")]
+    assert [len(r.cells) for r in scan.header_records().collect()] == [2, 2]
+
+
+def test_text_is_read_twice(spark, tmp_path):
+    """Once to count splits, once to put records together; nothing reads it again."""
+    path = write(tmp_path, "a,b\n" + "".join(f'{i},"x\ny"\n' for i in range(500)))
+    scan = scan_csv(spark, path)
+    first = scan.records()
+    assert first.count() == 500 and scan.row_count == 500
+    plans = [f._jdf.queryExecution().optimizedPlan().toString() for f in (first, scan.file_profile(), scan.field_count_mismatches())]
+    assert all("data.csv" not in p and "text" not in p.replace("_text", "") for p in plans)
+
+
+def test_a_stray_quote_names_file_and_block(spark, tmp_path, small_splits):
+    rows = "".join(f"{i},x\n" for i in range(40))
+    with pytest.raises(Exception, match=r"does not enclose a whole field \(.*data.csv, block at \d+\)"):
+        scan_csv(spark, write(tmp_path, f'a,b\n{rows}9,a"b\n{rows}8,c"d\n{rows}')).records().collect()
+    with pytest.raises(ValidationError, match="never closed .*open.csv"):
+        scan_csv(spark, write(tmp_path, f'a,b\n{rows}9,"b\n{rows}', "open.csv")).records().collect()
+
+
+def test_a_quote_left_open_ends_before_its_text_is_gathered(spark, tmp_path, small_splits, monkeypatch):
+    monkeypatch.setattr(source, "MAX_RECORD_BYTES", 300)
+    rows = "".join(f"{i},x\n" for i in range(200))
+    path = write(tmp_path, f'a,b\n1,"open\n{rows}2,close"\n3,z\n')
+    with pytest.raises(ValidationError, match=r"longer than 300 bytes \(.*data.csv, block at \d+\)"):
+        scan_csv(spark, path).records()
+
+
+def test_a_sample_reads_the_head_of_the_file_only(spark, tmp_path):
+    path = write(tmp_path, 'a,b\n\n' + "".join(f'{i},"x\n{i}"\n' for i in range(400_000)))
+    scan = scan_csv(spark, path)
+    sampled = scan.records(sample_rows=1000).orderBy(ROW_NUMBER).collect()
+    assert [(r[1], r.a, r.b) for r in sampled] == [(i + 1, str(i), f"x\n{i}") for i in range(1000)]
+    assert "_counted" not in scan.__dict__ and "_shape" not in scan.__dict__
+    tiny = scan_csv(spark, write(tmp_path, "a,b\n1,2", "tiny.csv"))
+    assert [(r.a, r.b) for r in tiny.records(sample_rows=50).collect()] == [("1", "2")]
+
+
 def test_field_counts(spark, tmp_path):
     path = write(tmp_path, 'a,b,c\n1,2,3\n1,2\n"1,1",2,3\n1,2,3,4,5\n')
     scan = scan_csv(spark, path)

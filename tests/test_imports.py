@@ -1,3 +1,4 @@
+from concurrent.futures import ThreadPoolExecutor
 from decimal import Decimal
 
 import pytest
@@ -5,13 +6,15 @@ from pyspark.sql import functions as F
 
 from fixtures import customers, events, transactions, write_csv
 from plumbline.errors import LimitExceededError, NotFoundError, ValidationError
+from plumbline.functions.casting import CellType
 from plumbline.model import columns_of
-from plumbline.operators.load import issue_counts
+from plumbline.operators.load import issue_counts, typed_load
 from plumbline.plans.importing import load_import, profile_import
 from plumbline.plans.spec import Dimension, Filter, Measure, QuerySpec
 from plumbline.plans.structured import execute
+from plumbline.sources import versions
 from plumbline.sources.csv import Ceilings
-from plumbline.sources.versions import VersionStore
+from plumbline.sources.versions import Claim, VersionStore
 
 ZONE = "America/New_York"
 
@@ -201,3 +204,50 @@ def test_the_import_query_writes_its_files_in_parts(spark, tmp_path, monkeypatch
     answer = {r.kind: r.rows for r in files.QUERIES["import_end_to_end"](spark, str(tmp_path)).collect()}
     assert [answer[f"k{i}"] for i in range(3)] == [134, 133, 133]
     assert len(list((tmp_path / "events-csv").glob("*.csv"))) == 8
+
+
+def _written(store, dataset_id, claim, value):
+    rows = typed_load(store.spark.createDataFrame([(value,)], "n string"), CELLS, "UTC")
+    return store.write_version(dataset_id, claim.version, rows, CELLS, "UTC", claim=claim)
+
+
+CELLS = [CellType("n", "integer")]
+
+
+def test_every_writer_gets_a_number_of_its_own(spark, tmp_path):
+    store = VersionStore(spark, str(tmp_path))
+    with ThreadPoolExecutor(8) as pool:
+        claims = list(pool.map(lambda _: store.claim_version("d"), range(8)))
+    assert sorted(c.version for c in claims) == list(range(1, 9))
+    first, second = sorted(claims, key=lambda c: c.version)[:2]
+    # The later number is written first; the earlier one does not take its place.
+    _written(store, "d", second, "2")
+    _written(store, "d", first, "1")
+    assert store.current_version_number("d") == 2
+    assert [store.read_version("d", v).first()[0] for v in (1, 2)] == [1, 2]
+
+
+def test_a_number_belongs_to_its_claim(spark, tmp_path):
+    store = VersionStore(spark, str(tmp_path))
+    claim = store.claim_version("d")
+    with pytest.raises(ValidationError, match="belongs to another writer"):
+        _written(store, "d", Claim("d", claim.version, "somebody else"), "1")
+    with pytest.raises(ValidationError, match="is being written"):
+        store.write_version("d", 1, typed_load(spark.createDataFrame([("1",)], "n string"), CELLS, "UTC"), CELLS, "UTC")
+    assert store.versions("d").isEmpty()
+    assert store.claim("e", 5).version == 5 and store.claim("e", 5) is None and store.claim_version("e").version == 6
+
+
+def test_a_writer_lost_before_the_catalog_leaves_the_version_before(spark, tmp_path, monkeypatch):
+    store = VersionStore(spark, str(tmp_path))
+    _written(store, "d", store.claim_version("d"), "1")
+    lost = store.claim_version("d")
+    with monkeypatch.context() as patch:
+        patch.setattr(versions, "column_continuity", lambda *_: 1 / 0)  # after the data, before the catalog
+        with pytest.raises(ZeroDivisionError):
+            _written(store, "d", lost, "2")
+    assert store.current_version_number("d") == 1 and store.read_version("d").first()[0] == 1
+    later = store.claim_version("d")
+    assert later.version == 3
+    _written(store, "d", later, "3")
+    assert store.read_version("d").first()[0] == 3
