@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
@@ -24,27 +25,47 @@ _NEEDED = (
     ("/reset-password/",),
 )
 
-
 def redact_text(text: Column, spaced_secrets: bool = False) -> Column:
-    """A text with every rule applied to all of it, in order."""
+    """A text with every rule applied to all of it, in order.
+
+    One chain of replacements, which compiles. :func:`redact_columns` is faster on a frame, as
+    it passes over the rules that a text cannot match.
+    """
+    return reduce(lambda done, rule: _replaced(done, rule[0]), _rules(spaced_secrets), text)
+
+
+def _rules(spaced_secrets: bool) -> list:
     rules = list(zip(TEXT_RULES, _NEEDED, strict=True))
-    if spaced_secrets:
-        rules.append((SPACED_SECRET_RULE, ('"',)))
+    return [*rules, (SPACED_SECRET_RULE, ('"',))] if spaced_secrets else rules
 
-    def applied(lowered: Column) -> Column:
-        redacted = text
-        for (pattern, replacement), needed in rules:
-            suspect = reduce(or_, [lowered.contains(part) for part in needed])
-            replaced = lambda t: F.regexp_replace(t, f"(?i){pattern}", replacement)  # noqa: B023, E731
-            redacted = _bind(redacted, lambda t: F.when(suspect, replaced(t)).otherwise(t))  # noqa: B023
-        return redacted
 
-    return _bind(F.lower(text), applied)
+def _replaced(text: Column, rule: tuple[str, str]) -> Column:
+    return F.regexp_replace(text, f"(?i){rule[0]}", rule[1])
 
 
-def _bind(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` evaluated, and written into the plan, only once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def redacted_texts(df: DataFrame, names: Sequence[str], spaced_secrets: bool = False) -> DataFrame:
+    """The named text columns redacted in place, rule by rule in stages of their own.
+
+    What a rule's matches hold is looked for in the text first, as a plain string. A rule puts in
+    nothing that a later one needs, so the text is looked at once.
+    """
+    rules = _rules(spaced_secrets)
+    staged = df.withColumns({f"_lowered_{i}": F.lower(F.col(f"`{n}`")) for i, n in enumerate(names)})
+    staged = staged.withColumns(
+        {
+            f"_suspect_{i}_{j}": reduce(or_, [F.col(f"_lowered_{i}").contains(part) for part in needed])
+            for i in range(len(names))
+            for j, (_, needed) in enumerate(rules)
+        }
+    )
+    for j, (rule, _) in enumerate(rules):
+        staged = staged.withColumns(
+            {
+                name: F.when(F.col(f"_suspect_{i}_{j}"), _replaced(F.col(f"`{name}`"), rule)).otherwise(F.col(f"`{name}`"))
+                for i, name in enumerate(names)
+            }
+        )
+    return staged.select(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
 
 
 def key_marker(key: Column) -> Column:
@@ -78,7 +99,4 @@ def redact_columns(
     df: DataFrame, text: tuple[str, ...] = (), json: tuple[str, ...] = ()
 ) -> DataFrame:
     """A frame with the named text and JSON columns redacted in place."""
-    return df.withColumns(
-        {n: redact_text(F.col(f"`{n}`")) for n in text}
-        | {n: redact_json(F.col(f"`{n}`")) for n in json}
-    )
+    return redacted_texts(df, text).withColumns({n: redact_json(F.col(f"`{n}`")) for n in json})

@@ -1,10 +1,13 @@
 from datetime import UTC, datetime, timedelta
 from zoneinfo import ZoneInfo
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline.errors import ValidationError
+from plumbline.functions import instants
 from plumbline.functions.instants import date_grain, explicit_instant, naive_wall, resolve_wall_clocks
 from plumbline.model import canonical_timezones
 
@@ -106,3 +109,17 @@ def test_only_canonical_zones():
         date_grain(None, "month", "EST")
     with pytest.raises(ValidationError):
         date_grain(None, "hour", "UTC")
+
+
+@pytest.mark.parametrize("zone", ["America/New_York", "Europe/London", "Australia/Lord_Howe", "Asia/Kolkata", "UTC", "Africa/Casablanca"])
+def test_the_table_of_a_zone_says_what_the_zone_says(spark, zone, monkeypatch):
+    monkeypatch.setattr(instants, "require_timezone", lambda _: None)
+    pick = random.Random(zone)
+    walls = [pick.randint(-5_000_000_000, 6_000_000_000) for _ in range(300)] + [None, -1, 0, instants._TABLE_END - 1, instants._TABLE_END]
+    for instant, before, after in instants._transitions(zone):
+        walls += [instant + o + d for o in (before, after) for d in (-3600, -1, 0, 1, 1800)]
+    frame = spark.createDataFrame([(w,) for w in walls], "wall long")
+    both = instants._resolved_by_zone(instants.resolve_wall_clocks(frame, {"fast": "wall"}, zone), {"slow": "wall"}, zone)
+    rows = both.select("wall", "fast", "slow").collect()
+    assert len(rows) == len(walls)
+    assert [r for r in rows if r.fast != r.slow] == []

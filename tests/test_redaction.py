@@ -33,6 +33,8 @@ def applied(spark, text, change):
 )
 def test_text(spark, text, expected):
     assert applied(spark, text, redact_text) == expected
+    staged = redact_columns(spark.createDataFrame([(text, 1)], "`a.b` string, kept int"), text=("a.b",))
+    assert staged.columns == ["a.b", "kept"] and staged.first()[0] == expected
 
 
 def test_spaced_secrets_are_an_option(spark):
