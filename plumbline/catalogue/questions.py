@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from ..model import GRANULARITIES
+from ..plans.rollups import Rollup, rolled_query, rolled_up
 from ..plans.spec import Dimension as D
 from ..plans.spec import Filter as Where
 from ..plans.spec import Measure as M
 from ..plans.spec import OrderBy, QuerySpec
 from ..plans.structured import query_page, render_text, structured_query
+from ..session import scratch_path
 from .tables import SALES, ZONE, activity, local_grain, portable, sales
 
 QUERIES = {}
@@ -345,3 +352,32 @@ _register(
                {_exact_average("amount", 2)} AS average, CAST(sum(amount) AS VARCHAR) AS total
         FROM sales GROUP BY 1, 2""",
 )
+
+_ROLLUP = Rollup("created_at", ("currency", "plan"), ("amount", "customer_id"), ZONE)
+_ROLLED = (
+    QuerySpec("sales", [D("created_at", "month")], FLAGSHIP.measures, [Where("currency", "eq", "F")]),
+    QuerySpec("sales", [D("created_at", "quarter")], [M("avg", "value", "amount"), _COUNT], [Where("currency", "eq", "O"), Where("plan", "is_not_null")]),
+    QuerySpec("sales", [D("created_at", "year")], [M("sum", "value", "customer_id"), M("max", "rows", "customer_id")]),
+)
+
+
+def rollup_query(spark, sf_dir):
+    """Three questions answered from stored totals by month, currency and plan."""
+    frame = sales(spark, sf_dir)
+    stored = scratch_path(spark, "rollup")
+    rolled_up(frame, _ROLLUP).write.parquet(stored)
+    rolled = spark.read.parquet(stored)
+    answers = [portable(rolled_query(rolled, frame, spec, ZONE)) for spec in _ROLLED]
+    return reduce(DataFrame.union, [a.withColumn("value", F.col("value").cast("string")) for a in answers])
+
+
+_register(
+    "rollup_query",
+    rollup_query,
+    f"""SELECT {_month} AS created_at, CAST(sum(amount) AS VARCHAR) AS value, count(*) AS rows
+        FROM sales WHERE currency = 'F' GROUP BY 1
+        UNION ALL SELECT {local_grain("quarter", "created_at")}, {_exact_average("amount", 2)}, count(*)
+        FROM sales WHERE currency = 'O' AND plan IS NOT NULL GROUP BY 1
+        UNION ALL SELECT {local_grain("year", "created_at")}, CAST(sum(customer_id) AS VARCHAR), max(customer_id)
+        FROM sales GROUP BY 1""",
+)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import error_code
-from ..model import require_timezone
+from ..model import Column, require_timezone
 from ..operators.audit import FAILED, SUCCESS
 from ..operators.load import typed_load
 from ..operators.profile import column_profile, confirm_schema, infer_schema
 from ..sources.csv import FIELD_COUNT, ROW_NUMBER, UNLIMITED, Ceilings, CsvScan, scan_csv
 from ..sources.versions import VersionStore
+from .rollups import Rollup, rolled_up
 
 
 _PROPOSAL = (
@@ -75,9 +76,12 @@ def load_import(
     timezone: str,
     overrides: Mapping[int, str] | None = None,
     version: int | None = None,
+    rollups: Sequence[Rollup] = (),
 ) -> int:
     """Load every record under the confirmed schema. Returns the version number.
 
+    ``rollups`` are stored with the version; questions they cover are answered from them.
+
     Name the ``version`` to repeat a load; it ends in the same rows, and readers see the version
     as it was until the new attempt is whole.
     """
@@ -96,7 +100,9 @@ def load_import(
         loaded = typed_load(
             proposed.scan.records(), cells, timezone, F.col(ROW_NUMBER), F.col(FIELD_COUNT)
         ).drop(FIELD_COUNT)
-        rows = store.write_version(dataset_id, version, loaded, cells, timezone, replace=repeated, claim=claim)
+        types = [Column(c.name, c.name, c.type, True, i) for i, c in enumerate(cells, start=1)]
+        made = [lambda df, r=r: rolled_up(df, r, types) for r in rollups]
+        rows = store.write_version(dataset_id, version, loaded, cells, timezone, replace=repeated, claim=claim, rollups=made)
     except Exception as error:
         note(FAILED, None, error_code(error))
         raise

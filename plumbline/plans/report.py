@@ -16,6 +16,7 @@ from ..errors import PlumblineError, SchemaIncompatibleError, error_code
 from ..model import Column, columns_of
 from ..operators.audit import EXECUTION_SCHEMA, FAILED, SUCCESS
 from ..sources.versions import VersionStore
+from .rollups import cheapest, rolled_query
 from .spec import QuerySpec, SchemaIssue
 from .structured import QueryResult, execute, query_page, text_of
 
@@ -29,6 +30,8 @@ class Dataset:
     frame: DataFrame | None
     version: int | None = None
     columns: Sequence[Column] | None = None
+    #: Smaller tables of the version, which answer what they cover.
+    rollups: Sequence[DataFrame] = ()
 
 
 @dataclass(frozen=True)
@@ -84,7 +87,9 @@ def run_saved_query(
             log.append((*identity, started, datetime.now(UTC), duration_ms, row_count, code))
 
     try:
-        result = execute(dataset.frame, query.spec, timezone, columns)
+        rolled = cheapest(dataset.rollups, query.spec, timezone, columns)
+        answer = None if rolled is None else rolled_query(rolled, dataset.frame, query.spec, timezone, columns)
+        result = execute(dataset.frame, query.spec, timezone, columns, answer=answer)
     except Exception as error:
         note(FAILED, round((time.monotonic() - clock) * 1000), None, error_code(error))
         raise
@@ -115,7 +120,8 @@ def store_resolver(store: VersionStore) -> Resolver:
         version = store.current_version_number(dataset_id)
         if version is None:
             return Dataset(None)
-        return Dataset(store.read_version(dataset_id, version), version, store.version_columns(dataset_id, version))
+        described = store.version_columns(dataset_id, version)
+        return Dataset(store.read_version(dataset_id, version), version, described, store.rollups(dataset_id, version))
 
     return resolve
 

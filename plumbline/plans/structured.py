@@ -355,12 +355,18 @@ def execute(
     timezone: str = "UTC",
     columns: Sequence[Column] | None = None,
     as_text: bool = True,
+    answer: DataFrame | None = None,
 ) -> QueryResult:
-    """Run a question to a finished page. Values are text or None unless ``as_text`` is off."""
+    """Run a question to a finished page. Values are text or None unless ``as_text`` is off.
+
+    ``answer`` is the whole answer in its order where it does not come from ``df`` itself.
+    """
     columns = columns_of(df.schema) if columns is None else list(columns)
     executed_at = datetime.now(UTC)
     size = effective_limit(spec.limit)
-    answer = structured_query(df, spec, timezone, columns, limit_rows=size + 1)
+    if answer is None:
+        answer = structured_query(df, spec, timezone, columns)
+    answer = answer.limit(size + 1)
     shape = result_columns(spec, columns)
     if as_text:
         answer = render_text(answer)

@@ -4,6 +4,7 @@
 
     <root>/claims/dataset_id=<id>/v=<n>                       who writes the version; made once, never changed
     <root>/data/dataset_id=<id>/v=<n>/attempt=<a>/            typed rows, issues and source beside them
+    <root>/rollups/dataset_id=<id>/v=<n>/attempt=<a>/<i>/     totals by month and keys, where asked for
     <root>/catalog/columns/dataset_id=<id>/version_number=<n>/attempt=<a>/
     <root>/catalog/versions/dataset_id=<id>/version_number=<n>/attempt=<a>/   written last
 
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -70,8 +71,8 @@ class VersionStore:
             raise ValidationError(f'"{dataset_id}" is not a dataset id.')
         if table == "data":
             return f"{self.root}/data/dataset_id={dataset_id}/v={version}"
-        if table == "claims":
-            return f"{self.root}/claims/dataset_id={dataset_id}/v={version}"
+        if table in ("claims", "rollups"):
+            return f"{self.root}/{table}/dataset_id={dataset_id}/v={version}"
         return f"{self.root}/catalog/{table}/dataset_id={dataset_id}/version_number={version}"
 
     def _catalog(self, table: str, schema: str, dataset_id: str | None) -> DataFrame:
@@ -149,12 +150,13 @@ class VersionStore:
         timezone: str,
         replace: bool = False,
         claim: Claim | None = None,
+        rollups: Sequence[Callable[[DataFrame], DataFrame]] = (),
     ) -> int:
         """Store typed rows with their issues, then the catalog rows. Returns the row count.
 
         The text is read and typed exactly once: summary and issue table are read back
         from the columns just written. Where ``loaded`` tells the file and number of a row,
-        both are stored too. The number must be the caller's by ``claim``, or free; a completed
+        both are stored too. ``rollups`` make smaller tables of the stored rows, kept beside them. The number must be the caller's by ``claim``, or free; a completed
         version is refused, unless it is to be replaced.
         """
         if not replace:
@@ -177,6 +179,8 @@ class VersionStore:
             [(dataset_id, version, i, c.name, c.type) for i, c in enumerate(cells, start=1)],
             "dataset_id string, version bigint, position bigint, name string, type string",
         )
+        for i, made in enumerate(rollups):
+            made(stored.select(*kept[: len(names)])).write.parquet(f"{self._dir('rollups', dataset_id, version)}/{attempt}/{i}")
         current = self.current_version_number(dataset_id)
         previous = self.columns(dataset_id).filter(
             F.col("version_number") == F.lit(-1 if current is None else current)
@@ -220,6 +224,13 @@ class VersionStore:
             raise NotFoundError("This dataset version has no loaded data.")
         return self.spark.read.parquet(f"{self._dir('data', dataset_id, version)}/attempt={found.attempt}")
 
+    def rollups(self, dataset_id: str, version: int | None = None) -> list[DataFrame]:
+        """The smaller tables stored with a version."""
+        version = self._existing(dataset_id, version)
+        found = self._attempts(dataset_id).filter(F.col("version_number") == version).first()
+        base = f"{self._dir('rollups', dataset_id, version)}/attempt={found.attempt}" if found else ""
+        return [self.spark.read.parquet(f"{base}/{name}") for name in sorted(children(self.spark, base))] if base else []
+
     def version_columns(self, dataset_id: str, version: int) -> list[Column]:
         rows = (
             self.columns(dataset_id)
