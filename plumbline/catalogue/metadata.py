@@ -302,8 +302,13 @@ _SPEC = """'{"datasetId":"sales","dimensions":[{"columnId":"' ||
     '"orderBy":[{"kind":"measure","ref":"' || CASE WHEN o_orderkey % 3 = 0 THEN 'n' ELSE 'x' END || '"}]}'"""
 
 
+# One in eleven is missing, one in seven is cut off.
+_STORED_SPEC = f"""CASE WHEN o_orderkey % 11 = 0 THEN NULL
+    WHEN o_orderkey % 7 = 0 THEN left({_SPEC}, length({_SPEC}) - 9) ELSE {_SPEC} END"""
+
+
 def _broken_saved(spark, sf_dir):
-    saved = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("saved_query_id"), F.expr(_SPEC).alias("spec"))
+    saved = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("saved_query_id"), F.expr(_STORED_SPEC).alias("spec"))
     columns = spark.createDataFrame(
         [("sales", "plan", "string"), ("sales", "amount", "decimal"), ("sales", "at", "timestamptz")],
         "dataset_id string, column_id string, type string",
@@ -312,11 +317,13 @@ def _broken_saved(spark, sf_dir):
 
 
 QUERIES["broken_saved_queries"] = _broken_saved
-ORACLES["broken_saved_queries"] = """
+ORACLES["broken_saved_queries"] = """WITH o AS (SELECT * FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderkey % 7 <> 0)
     SELECT o_orderkey AS saved_query_id, 'sales' AS dataset_id, 'gone' AS column_id, 'dimension' AS usage,
-      NULL AS detail, 'COLUMN_REMOVED' AS issue_code FROM orders WHERE o_orderstatus = 'O'
-    UNION ALL SELECT o_orderkey, 'sales', 'plan', 'measure', 'sum', 'TYPE_INCOMPATIBLE' FROM orders WHERE o_orderkey % 2 <> 0
-    UNION ALL SELECT o_orderkey, 'sales', 'x', 'order', 'unresolved', 'ORDER_BY_UNRESOLVED' FROM orders WHERE o_orderkey % 3 <> 0"""
+      NULL AS detail, 'COLUMN_REMOVED' AS issue_code FROM o WHERE o_orderstatus = 'O'
+    UNION ALL SELECT o_orderkey, 'sales', 'plan', 'measure', 'sum', 'TYPE_INCOMPATIBLE' FROM o WHERE o_orderkey % 2 <> 0
+    UNION ALL SELECT o_orderkey, 'sales', 'x', 'order', 'unresolved', 'ORDER_BY_UNRESOLVED' FROM o WHERE o_orderkey % 3 <> 0
+    UNION ALL SELECT o_orderkey, NULL, NULL, 'spec', NULL, 'SPEC_UNREADABLE' FROM orders
+      WHERE o_orderkey % 11 = 0 OR o_orderkey % 7 = 0"""
 
 
 def _mixed(spark, sf_dir):

@@ -70,6 +70,7 @@ def broken_queries(references: DataFrame, columns: DataFrame) -> DataFrame:
     ordering = F.col("usage") == "order"
     code = (
         F.when(counts_all, None)
+        .when(F.col("usage") == SPEC, F.lit("SPEC_UNREADABLE"))
         .when(ordering, F.when(F.col("detail") == UNRESOLVED, F.lit("ORDER_BY_UNRESOLVED")))
         .when(F.col("_type").isNull(), F.lit("COLUMN_REMOVED"))
         .when(~_supported(), F.lit("TYPE_INCOMPATIBLE"))
@@ -90,17 +91,21 @@ _SPEC = (
     "struct<datasetId: string, dimensions: array<struct<columnId: string, granularity: string>>, "
     "measures: array<struct<field: string, aggregation: string, alias: string>>, "
     "filters: array<struct<columnId: string, operator: string>>, "
-    "orderBy: array<struct<kind: string, ref: string>>>"
+    "orderBy: array<struct<kind: string, ref: string>>, _unread: string>"
 )
+_READING = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_unread"}
 
 
 def references_of(saved_queries: DataFrame) -> DataFrame:
     """What each saved question asks of which column, as ``broken_queries`` wants it.
 
     ``saved_queries`` has ``saved_query_id`` and ``spec``, the question as JSON. An order whose
-    ``ref`` is neither a grouped column nor a measure's alias has the detail ``unresolved``.
+    ``ref`` is neither a grouped column nor a measure's alias has the detail ``unresolved``. A
+    question that is missing, cut off or names no dataset is one reference of the usage ``spec``.
     """
-    asked = saved_queries.select("saved_query_id", F.from_json("spec", _SPEC).alias("q")).select("saved_query_id", "q.*")
+    read = saved_queries.select("saved_query_id", F.from_json("spec", _SPEC, _READING).alias("q"))
+    asked = read.select("saved_query_id", "q.*")
+    unread = F.col("_unread").isNotNull() | F.col("datasetId").isNull()
 
     def entry(usage: str, column_id: Column, detail: Column) -> Column:
         return F.struct(column_id.alias("column_id"), F.lit(usage).alias("usage"), detail.alias("detail"))
@@ -124,7 +129,9 @@ def references_of(saved_queries: DataFrame) -> DataFrame:
         listed("filters", lambda f: entry("filter", f["columnId"], f["operator"])),
         listed("orderBy", lambda o: entry("order", o["ref"], resolved(o))),
     )
-    return asked.select("saved_query_id", F.col("datasetId").alias("dataset_id"), F.explode(entries).alias("e")).select(
+    nothing = F.lit(None).cast("string")
+    entries = F.when(unread, F.array(entry(SPEC, nothing, nothing))).otherwise(entries)
+    return asked.withColumn("datasetId", F.when(~unread, F.col("datasetId"))).select("saved_query_id", F.col("datasetId").alias("dataset_id"), F.explode(entries).alias("e")).select(
         "saved_query_id", "dataset_id", "e.*"
     )
 
@@ -144,6 +151,8 @@ def _supported() -> Column:
     )
 
 
+#: The usage of a question that cannot be read.
+SPEC = "spec"
 #: The detail of an order by something that the question does not have.
 UNRESOLVED = "unresolved"
 ENTRIES = "array<struct<column_id:string,usage:string,detail:string>>"

@@ -204,11 +204,22 @@ def test_references_of_saved_questions(spark):
     }
     saved = spark.createDataFrame([("q", json.dumps(spec)), ("empty", '{"datasetId":"d"}'), ("bad", "{"), ("null", None)], "saved_query_id string, spec string")
     references = references_of(saved)
-    assert references.count() == 8
+    assert references.count() == 10
     columns = spark.createDataFrame([("d", "at", "timestamptz"), ("d", "name", "string")], "dataset_id string, column_id string, type string")
     found = {(r.column_id, r.usage, r.issue_code) for r in broken_queries(references, columns).collect()}
     assert found == {
         ("gone", "dimension", "COLUMN_REMOVED"),
         ("name", "measure", "TYPE_INCOMPATIBLE"),
         ("other", "order", "ORDER_BY_UNRESOLVED"),
+        (None, "spec", "SPEC_UNREADABLE"),
     }
+
+
+def test_questions_that_cannot_be_read_are_broken(spark):
+    good = '{"datasetId": "d", "dimensions": [{"columnId": "a", "granularity": null}], "measures": [], "filters": []}'
+    specs = {1: good, 2: None, 3: good[:-7], 4: "", 5: "[]", 6: "7", 7: "{}", 8: '{"datasetId": null}', 9: "no json", 10: '{"datasetId": "d", "dimensions": 4}'}
+    saved = spark.createDataFrame(list(specs.items()), "saved_query_id long, spec string")
+    columns = spark.createDataFrame([("d", "a", "string")], "dataset_id string, column_id string, type string")
+    broken = broken_queries(references_of(saved), columns).collect()
+    assert sorted(r.saved_query_id for r in broken) == list(range(2, 11))
+    assert {(r.dataset_id, r.column_id, r.usage, r.issue_code) for r in broken} == {(None, None, "spec", "SPEC_UNREADABLE")}
