@@ -24,6 +24,7 @@ results, and texts are scanned whole. Offsets are code points, ends not included
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -236,11 +237,14 @@ def matches(index: Index, words: np.ndarray, hits: list[tuple[int, int, int]], l
             found.append((hits[start][0], matched, first + begin, last + begin))
         start = i
     found.sort(key=lambda m: (m[0], -m[1], m[2]))
-    kept: list[tuple[int, int, int, int]] = []
+    # What is kept of a template does not overlap, so only its neighbours in order can meet a new one.
+    kept: dict[int, list[tuple[int, int, tuple[int, int, int, int]]]] = {}
     for m in found:
-        if not any(k[0] == m[0] and k[2] <= m[3] and m[2] <= k[3] for k in kept[-64:]):
-            kept.append(m)
-    return sorted(kept, key=lambda m: (m[2], m[0]))
+        spans = kept.setdefault(m[0], [])
+        at = bisect_left(spans, (m[2], m[3]))
+        if (at == 0 or spans[at - 1][1] < m[2]) and (at == len(spans) or spans[at][0] > m[3]):
+            spans.insert(at, (m[2], m[3], m))
+    return sorted((m for spans in kept.values() for _, _, m in spans), key=lambda m: (m[2], m[0]))
 
 
 def shards(templates: dict[str, str], limit: int) -> list[list[tuple[str, str]]]:

@@ -110,6 +110,19 @@ def test_loser_tree_merges_and_never_looks_at_known_prefixes():
 # op2
 
 
+def test_notices_found_of_one_template_never_overlap(spark):
+    notices = [licenses.TEMPLATES["GPL-3.0-notice"], licenses.TEMPLATES["MIT-notice"]]
+    text = "\n".join(notices[i % 2] for i in range(200))
+    rows = licenses.scan(documents(spark, [(1, text)])).collect()
+    spans = {}
+    for r in rows:
+        spans.setdefault(r.license, []).append((r.begin, r.end))
+    assert len(spans["GPL-3.0-notice"]) >= 99 and len(spans["MIT-notice"]) >= 99
+    for found in spans.values():
+        found.sort()
+        assert all(a[1] <= b[0] for a, b in zip(found, found[1:], strict=False))
+
+
 def test_licenses_are_found_changed_and_at_their_place(spark):
     mit = licenses.TEMPLATES["MIT"].split()
     changed = " ".join(mit[:20] + ["strange", "words"] + mit[22:60] + mit[63:])
