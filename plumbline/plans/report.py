@@ -8,17 +8,20 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import UTC, datetime
 from functools import reduce
+from operator import and_, or_
 
+from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import PlumblineError, SchemaIncompatibleError, error_code
-from ..model import Column, columns_of
+from ..functions.instants import date_grain
+from ..model import Column, columns_of, require_timezone
 from ..operators.audit import EXECUTION_SCHEMA, FAILED, SUCCESS
 from ..sources.versions import VersionStore
 from .rollups import cheapest, rolled_query
-from .spec import QuerySpec, SchemaIssue
-from .structured import QueryResult, execute, query_page, text_of
+from .spec import Measure, QuerySpec, SchemaIssue, check_against
+from .structured import QueryResult, effective_order, exact_average, execute, filter_condition, measure_expression, ranked, text_of
 
 NO_CURRENT_VERSION = "This dataset has no current version to run against."
 
@@ -147,41 +150,113 @@ def executions_frame(spark: SparkSession, log: Sequence[tuple]) -> DataFrame:
 def report_pack(
     spark: SparkSession, widgets: Sequence[Widget], resolve: Resolver, timezone: str
 ) -> DataFrame:
-    """All widgets' answers as one lazy frame, in the order of the dashboard.
+    """All widgets' answers as one frame, in the order of the dashboard.
 
     ``widget_position, widget, row_position, label, value, error_code``: label is the
     dimensions, value the first measure. A widget that cannot run is one row with its
-    code. Answers are whole, unless a question has a limit of its own.
+    code. Answers are whole, unless a question has a limit of its own. All widgets of a dataset are
+    answered by one scan, one aggregate and one sort, whose rows are written to number them.
     """
-    parts = []
-    for widget in sorted(widgets, key=lambda w: w.position):
+    parts, asked = [], {}
+    for place, widget in enumerate(sorted(widgets, key=lambda w: w.position)):
         try:
-            parts.append(_answer(widget, resolve, timezone))
+            dataset = _resolved(resolve, widget.query)
+            columns = columns_of(dataset.frame.schema) if dataset.columns is None else list(dataset.columns)
+            require_timezone(timezone)
+            check_against(widget.query.spec, columns)
+            asked.setdefault(widget.query.spec.dataset_id, (dataset, columns, []))[2].append((place, widget))
         except PlumblineError as error:
             parts.append(_refusal(spark, widget, error.code))
-    return reduce(DataFrame.unionByName, parts)
-
+    parts += [_answers(dataset.frame, columns, placed, timezone) for dataset, columns, placed in asked.values()]
+    return reduce(DataFrame.unionByName, parts).orderBy("widget_position", "row_position")
 
-def _answer(widget: Widget, resolve: Resolver, timezone: str) -> DataFrame:
-    spec = widget.query.spec
-    dataset = _resolved(resolve, widget.query)
-    page = query_page(dataset.frame, spec, timezone, dataset.columns, cap=None)
-    types = {field.name: field.dataType for field in page.schema.fields}
 
-    def text(name: str):
-        return text_of(F.col(f"`{name}`"), types[name])
+def _answers(df: DataFrame, columns: Sequence[Column], placed: Sequence[tuple[int, Widget]], timezone: str) -> DataFrame:
+    """The answers of several widgets over one dataset, from one pass over its rows.
 
-    labels = list(dict.fromkeys(d.column_id for d in spec.dimensions))
-    label = F.concat_ws(" / ", *[F.coalesce(text(n), F.lit("—")) for n in labels])
-    value = text(spec.measures[0].alias) if spec.measures else F.lit(None).cast("string")
-    return page.select(
-        F.lit(widget.position).cast("bigint").alias("widget_position"),
-        F.lit(widget.query.name).alias("widget"),
-        F.col("position").cast("bigint").alias("row_position"),
-        label.alias("label"),
-        value.alias("value"),
-        F.lit(None).cast("string").alias("error_code"),
+    A row goes once to every widget whose filters it meets, with the keys of that widget and nulls for
+    the keys of others, as with grouping sets. Keys and measures that widgets share are worked out once.
+    """
+    by_id = {c.id: c for c in columns}
+    source = lambda column_id: F.col(f"`{by_id[column_id].name}`")
+    scale = lambda column_id: getattr(df.schema[by_id[column_id].name].dataType, "scale", None)
+    specs = {place: widget.query.spec for place, widget in placed}
+    keys = list(dict.fromkeys((d.column_id, d.granularity) for s in specs.values() for d in s.dimensions))
+    totals = list(dict.fromkeys((m.aggregation, m.field) for s in specs.values() for m in s.measures))
+    fields = list(dict.fromkeys(f for _, f in totals if f is not None))
+    conditions = {
+        place: reduce(and_, [filter_condition(f, source(f.column_id), by_id[f.column_id].type, scale(f.column_id)) for f in spec.filters], F.lit(True))
+        for place, spec in specs.items()
+    }
+    if all(spec.filters for spec in specs.values()):
+        df = df.filter(reduce(or_, conditions.values()))
+    rows = df.select(
+        *[(source(c) if g is None else date_grain(source(c), g, timezone)).alias(f"_key_{i}") for i, (c, g) in enumerate(keys)],
+        *[source(f).alias(f"_field_{i}") for i, f in enumerate(fields)],
+        *[F.coalesce(condition, F.lit(False)).alias(f"_meets_{place}") for place, condition in conditions.items()],
+        F.lit(1).alias("_real"),
     )
+    # A question without dimensions has an answer also where no row meets its filters.
+    kinds = {field.name: field.dataType for field in rows.schema.fields}
+    alone = [place for place, spec in specs.items() if not spec.dimensions]
+    if alone:
+        met = {f"_meets_{place}" for place in alone}
+        empty = [(F.lit(n in met) if n.startswith("_meets_") else F.lit(None).cast(k)).alias(n) for n, k in kinds.items()]
+        rows = rows.unionByName(df.sparkSession.range(1).select(*empty))
+
+    def arm(place: int) -> SparkColumn:
+        own = {(d.column_id, d.granularity) for d in specs[place].dimensions}
+        values = [F.col(f"_key_{i}") if key in own else F.lit(None).cast(kinds[f"_key_{i}"]) for i, key in enumerate(keys)]
+        return F.when(F.col(f"_meets_{place}"), F.struct(F.lit(place).alias("_widget"), *[v.alias(f"_key_{i}") for i, v in enumerate(values)]))
+
+    arms = F.filter(F.array(*[arm(place) for place in specs]), lambda a: a.isNotNull())
+    spread = rows.select(F.explode(arms).alias("_arm"), *[f"_field_{i}" for i in range(len(fields))], "_real").select("_arm.*", *[f"_field_{i}" for i in range(len(fields))], "_real")
+    measures, averages = [], {}
+    for i, (aggregation, field) in enumerate(totals):
+        column = F.col("_real") if field is None else F.col(f"_field_{fields.index(field)}")
+        measures.append(measure_expression(Measure(aggregation, "m", field), column, None if field is None else by_id[field].type).alias(f"_measure_{i}"))
+        if aggregation == "avg":
+            measures.append(F.count(column).alias(f"_count_{i}"))
+            averages[f"_measure_{i}"] = exact_average(F.col(f"_measure_{i}"), F.col(f"_count_{i}"), scale(field) or 0)
+    grouped = spread.groupBy("_widget", *[f"_key_{i}" for i in range(len(keys))]).agg(*(measures or [F.count(F.lit(1)).alias("_rows")]))
+    grouped = grouped.withColumns(averages) if averages else grouped
+    kinds = {field.name: field.dataType for field in grouped.schema.fields}
+
+    def place_of(spec: QuerySpec, kind: str, ref: str) -> str:
+        if kind == "dimension":
+            # Where one column is grouped twice, its id names the last of the two.
+            last = [d for d in spec.dimensions if d.column_id == ref][-1]
+            return f"_key_{keys.index((last.column_id, last.granularity))}"
+        named = next(m for m in spec.measures if m.alias == ref)
+        return f"_measure_{totals.index((named.aggregation, named.field))}"
+
+    order = [F.col("_widget").asc()]
+    label = value = F.lit(None).cast("string")
+    position, name, limit = F.lit(None).cast("bigint"), F.lit(None).cast("string"), F.lit(None).cast("bigint")
+    for place, widget in placed:
+        spec, mine = widget.query.spec, F.col("_widget") == place
+        wanted = [(place_of(spec, o.kind, o.ref), o.direction) for o in effective_order(spec)]
+        used = {n for n, _ in wanted}
+        wanted += [(n, "asc") for d in spec.dimensions if (n := f"_key_{keys.index((d.column_id, d.granularity))}") not in used]
+        for n, direction in wanted:
+            column = F.when(mine, F.col(n))
+            order.append(column.asc_nulls_last() if direction == "asc" else column.desc_nulls_first())
+        shown = dict.fromkeys(place_of(spec, "dimension", d.column_id) for d in spec.dimensions)
+        text = F.concat_ws(" / ", *[F.coalesce(text_of(F.col(n), kinds[n]), F.lit("—")) for n in shown])
+        label = F.when(mine, text).otherwise(label)
+        if spec.measures:
+            first = place_of(spec, "measure", spec.measures[0].alias)
+            value = F.when(mine, text_of(F.col(first), kinds[first])).otherwise(value)
+        position, name = F.when(mine, F.lit(widget.position).cast("bigint")).otherwise(position), F.when(mine, F.lit(widget.query.name)).otherwise(name)
+        limit = F.when(mine, F.lit(spec.limit).cast("bigint")).otherwise(limit)
+    numbered = ranked(grouped, order)
+    # One row a widget.
+    starts = numbered.groupBy("_widget").agg(F.min("position").alias("_start"))
+    own = F.col("position") - F.col("_start") + 1
+    return numbered.join(F.broadcast(starts), "_widget").filter(limit.isNull() | (own <= limit)).select(
+        position.alias("widget_position"), name.alias("widget"), own.cast("bigint").alias("row_position"),
+        label.alias("label"), value.alias("value"), F.lit(None).cast("string").alias("error_code"),
+    )
 
 
 def _refusal(spark: SparkSession, widget: Widget, code: str) -> DataFrame:

@@ -21,8 +21,8 @@ from plumbline.plans.report import (
     run_report,
     run_saved_query,
 )
-from plumbline.plans.spec import Dimension, Measure, OrderBy, QuerySpec
-from plumbline.plans.structured import limited_page, query_page
+from plumbline.plans.spec import Dimension, Filter, Measure, OrderBy, QuerySpec
+from plumbline.plans.structured import execute, limited_page, query_page
 
 COUNT = Measure("count", "rows")
 
@@ -134,3 +134,34 @@ def test_pack_and_audit(spark, dashboard):
     audited = {r.widget: (r.dataset_version, r.status, r.row_count) for r in report_audit(pack, versions, "UTC").collect()}
     assert audited == {"Good": (4, "success", 2), "Broken": (4, "failed", None), "Empty": (None, "failed", None)}
     assert pack.filter(F.col("error_code").isNull()).count() == 2
+
+
+def test_widgets_of_one_dataset_share_a_scan(spark, tmp_path):
+    frame = spark.range(4000).select(
+        F.expr("CASE WHEN id % 9 <> 0 THEN 'k' || id % 7 END").alias("kind"), F.timestamp_seconds(F.col("id") * 50_000).alias("at"),
+        F.expr("CASE WHEN id % 5 <> 0 THEN id END").alias("qty"), (F.col("id") % 100).cast("decimal(18,2)").alias("amount"),
+    )
+    frame.write.parquet(f"{tmp_path}/d")
+    frame = spark.read.parquet(f"{tmp_path}/d")
+    d, m = Dimension, Measure
+    specs = [
+        QuerySpec("d", [d("kind")], [m("sum", "s", "amount"), m("count", "n")]),
+        QuerySpec("d", [d("at", "year"), d("kind")], [m("avg", "a", "qty")], [Filter("qty", "gt", 50)]),
+        QuerySpec("d", [], [m("count_distinct", "c", "kind")], [Filter("kind", "eq", "k1")]),
+        QuerySpec("d", [], [m("count", "n")], [Filter("kind", "eq", "nothing")]),
+        QuerySpec("d", [], [m("max", "x", "amount")], [Filter("kind", "eq", "nothing")]),
+        QuerySpec("d", [d("kind")], []),
+        QuerySpec("d", [d("at", "month")], [m("min", "lo", "at"), m("count", "n", "qty")], order_by=[OrderBy("measure", "n", "asc"), OrderBy("dimension", "at", "desc")], limit=7),
+        QuerySpec("d", [d("at", "year"), d("at", "month")], [m("count", "n")], [Filter("amount", "lt", 3)]),
+    ]
+    widgets = [Widget(10 * i, SavedQuery(f"q{i}", f"W{i}", s)) for i, s in enumerate(specs)]
+    pack = report_pack(spark, widgets, lambda _: Dataset(frame, 1), "Europe/London")
+    got = {}
+    for r in pack.collect():
+        got.setdefault(r.widget_position, []).append((r.row_position, r.label, r.value))
+    for w in widgets:
+        outcome = execute(frame, w.query.spec, "Europe/London")
+        names = list(dict.fromkeys(x.column_id for x in w.query.spec.dimensions))
+        value = w.query.spec.measures[0].alias if w.query.spec.measures else None
+        rows = [(i, " / ".join("—" if r[n] is None else r[n] for n in names), r[value] if value else None) for i, r in enumerate(outcome.rows, 1)]
+        assert got[w.position] == rows, w.query.spec
