@@ -3,13 +3,18 @@
 A text becomes a vector of the byte n-grams of its words (one to three bytes of the
 lower-cased text, word ends included, digits and punctuation left out), hashed into ``BUCKETS`` cells, weighted by 1 + log of the count times the inverse document
 frequency, and scaled to length 1. Document frequencies are counted over all rows to
-learn from. The vectors of each language in a bounded sample (``PER_LANGUAGE`` rows, chosen
-by the hash of the text) are clustered into ``CLUSTERS`` centroids by spherical k-means.
-A text gets the language of the centroid of the largest cosine; the score is that cosine.
-
-Rejection is by distance: texts of about the same length in the sample have a usual
-cosine, and a text is rejected when its own is below ``REJECT`` of their first percentile.
-Lengths of which the sample has few texts reject nothing.
+learn from. The vectors of each language in a bounded sample (``PER_LANGUAGE`` different
+texts, chosen by their hash, however often each occurs) are clustered into ``CLUSTERS``
+centroids by spherical k-means. A text gets the language of the centroid of the largest
+cosine; the score is that cosine. More than ``LANGUAGES`` languages are refused, as each
+takes its part of the driver's memory.
+
+Rejection is by distance. Every fourth sampled text is held back, whole and as a piece of
+``PIECES`` bytes from somewhere in it, and compared with centroids of the others. Sorted by
+length, each group of these has a usual cosine (its first percentile); between groups it is
+a line over the logarithm of the length, and beyond the shortest and longest it stays as it
+is there. So every length has a limit: ``REJECT`` of the usual cosine. A table with fewer than
+two texts of every language has none to hold back, and rejects nothing by distance.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0 and
 rejected. Without rows to learn from everything is ``und``. Ties go to the language that
@@ -30,11 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import all_but, groups_of_rows, mapped, schema_with, string_column
+from plumbline.llm.common import Scratch, all_but, groups_of_rows, mapped, schema_with, string_column
 
 BUCKETS, CLUSTERS, ROUNDS = 8192, 4, 12
-PER_LANGUAGE = 1_200
-REJECT, LEAST_SAMPLE = 0.4, 40
+PER_LANGUAGE, LANGUAGES = 1_200, 1_000
+REJECT, GROUP, GROUPS = 0.5, 40, 24
+PIECES = (6, 16, 64, 256, 1024, 4096)
 SLICE_BYTES, SLICE_ROWS = 1 << 20, 128
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
@@ -46,8 +52,13 @@ class Model:
     centroids: np.ndarray
     of: np.ndarray
     idf: np.ndarray
+    lengths: np.ndarray
     least: np.ndarray
 
+    def limit(self, total: np.ndarray) -> np.ndarray:
+        """The least cosine of a text with so many n-grams."""
+        return np.interp(log_length(total), self.lengths, self.least)
+
 
 #: ASCII characters but letters all part words alike.
 SEPARATOR = 32
@@ -109,25 +120,39 @@ def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
     return int(frequencies[0]), frequencies[1:]
 
 
-def sample_counts(sample: DataFrame) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """(language, cells, counts) of the sampled rows."""
+def sample_counts(sample: DataFrame) -> list[tuple[str, int, bool, np.ndarray, np.ndarray]]:
+    """(language, hash, whether a piece, cells, counts) of each different text, whole and a piece of it."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[tuple[str, int]] = set()
         for batch in stream:
-            cells, values = [], []
-            for _, _, counts in slices(batch):
-                for row in counts:
-                    used = np.flatnonzero(row)
-                    cells.append(used.astype(np.int16).tobytes())
-                    values.append(row[used].astype(np.float32).tobytes())
+            keys = list(zip(batch.column("lang").to_pylist(), batch.column("hash").to_pylist(), strict=True))
+            new = [i for i, key in enumerate(keys) if key not in done and not done.add(key)]
+            fresh = batch.take(pa.array(new, pa.int64()))
+            rows = [(new[first + i], False, row) for first, _, counts in slices(fresh) for i, row in enumerate(counts)]
+            data, offsets = string_column(pa.RecordBatch.from_arrays([pc.utf8_lower(fresh.column("text"))], names=["text"]), "text")
+            for i, (begin, end) in enumerate(zip(offsets, offsets[1:], strict=False)):
+                draw = keys[new[i]][1] % (1 << 31)
+                size = PIECES[draw % len(PIECES)]
+                if end - begin > size:
+                    begin += draw // len(PIECES) % (end - begin - size + 1)
+                    rows.append((new[i], True, gram_counts(data[begin : begin + size], np.array([0, size]))[0]))
+            used = [np.flatnonzero(row) for _, _, row in rows]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("lang"), pa.array(cells, pa.binary()), pa.array(values, pa.binary())], names=["lang", "cells", "counts"]
-            )
-
-    rows = mapped(sample.select("lang", "text"), run, "lang string, cells binary, counts binary").collect()
+                [
+                    pa.array([keys[i][0] for i, _, _ in rows], pa.string()), pa.array([keys[i][1] for i, _, _ in rows], pa.int64()),
+                    pa.array([piece for _, piece, _ in rows], pa.bool_()), pa.array([u.astype(np.int16).tobytes() for u in used], pa.binary()),
+                    pa.array([row[u].astype(np.float32).tobytes() for u, (_, _, row) in zip(used, rows, strict=True)], pa.binary()),
+                ],
+                names=["lang", "hash", "piece", "cells", "counts"],
+            )
+
+    found = mapped(sample.select("lang", "hash", "text"), run, "lang string, hash long, piece boolean, cells binary, counts binary")
+    # The same text may have come from several tasks.
+    rows = found.dropDuplicates(["lang", "hash", "piece"]).collect()
     return [
-        (r[0], np.frombuffer(bytes(r[1]), np.int16), np.frombuffer(bytes(r[2]), np.float32))
-        for r in sorted(rows, key=lambda r: (r[0], bytes(r[1]), bytes(r[2])))
+        (r[0], r[1], r[2], np.frombuffer(bytes(r[3]), np.int16), np.frombuffer(bytes(r[4]), np.float32))
+        for r in sorted(rows, key=lambda r: r[:3])
     ]
 
 
@@ -147,42 +172,71 @@ def k_means(x: np.ndarray, clusters: int) -> np.ndarray:
     return centroids
 
 
-def length_band(total: np.ndarray) -> np.ndarray:
-    return np.log2(np.maximum(total, 1)).astype(np.int64)
+def log_length(total: np.ndarray) -> np.ndarray:
+    return np.log2(np.maximum(total, 1))
 
 
-def learn(rows: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
+def drawn(texts: DataFrame, sizes: dict[str, int], per_language: int) -> list[tuple[str, int]]:
+    """(language, hash) of the ``per_language`` texts of each language with the smallest draws."""
+    share = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, min(1.0, per_language / n))])[F.col("lang")]
+    draw = F.pmod(F.xxhash64("hash", F.lit(4)), F.lit(1_000_003))
+    # Few more than wanted are sorted.
+    found = texts.select("lang", "hash", draw.alias("draw")).where(F.col("draw") < 1_000_003 * share * 1.2)
+    kept: dict[str, list[tuple[int, int]]] = {}
+    for lang, code, place in found.collect():
+        kept.setdefault(lang, []).append((place, code))
+    return [(lang, code) for lang, codes in kept.items() for _, code in sorted(codes)[:per_language]]
+
+
+def usual(lengths: np.ndarray, cosines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Knots of the usual cosine over the logarithm of the length, from held-back texts."""
+    if not len(lengths):
+        return np.zeros(1), np.zeros(1)
+    order = np.argsort(lengths, kind="stable")
+    groups = np.array_split(order, max(1, min(GROUPS, len(order) // GROUP)))
+    return np.array([np.median(lengths[g]) for g in groups]), np.array([np.quantile(cosines[g], 0.01) for g in groups])
+
+
+def learn(rows: DataFrame, per_language: int = PER_LANGUAGE, most_languages: int = LANGUAGES) -> Model | None:
     """A model from columns ``text`` and ``lang``; None without rows to learn from."""
     known = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("text", F.col("lang").cast("string").alias("lang"))
-    sizes = {lang: n for lang, n in known.groupBy("lang").count().collect()}
+    known = known.withColumn("hash", F.xxhash64("text"))
+    scratch = Scratch(known.sparkSession)
+    # A text that is repeated very often is one.
+    texts = scratch.written(known.select("lang", "hash").distinct(), "language-texts")
+    sizes = {lang: n for lang, n in texts.groupBy("lang").count().limit(most_languages + 1).collect()}
     if not sizes:
+        scratch.remove()
         return None
+    if len(sizes) > most_languages:
+        raise ValueError(f"more than {most_languages} different languages; give most_languages if they are meant")
     total, frequencies = document_frequencies(known)
     idf = (np.log((1 + total) / (1 + frequencies)) + 1).astype(np.float32)
-    share = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, min(1.0, per_language / n))])[F.col("lang")]
-    chance = F.pmod(F.xxhash64("text", F.lit(4)), F.lit(1_000_003)) / 1_000_003
-    found = sample_counts(known.where(chance < share))
+    wanted = known.sparkSession.createDataFrame(drawn(texts, sizes, per_language), "lang string, hash long")
+    scratch.remove()
+    found = sample_counts(known.join(F.broadcast(wanted), ["lang", "hash"], "left_semi"))
     languages = sorted(sizes)
-    centroids, of, cosines, bands = [], [], [], []
+    centroids, of, cosines, lengths = [], [], [], []
     for number, language in enumerate(languages):
-        mine = [(cells, counts) for lang, cells, counts in found if lang == language]
+        mine = [r for r in found if r[0] == language]
         if not mine:
             continue
         dense = np.zeros((len(mine), BUCKETS), np.float32)
-        for row, (cells, counts) in zip(dense, mine, strict=True):
+        for row, (*_, cells, counts) in zip(dense, mine, strict=True):
             row[cells] = counts
-        x = weighted(dense, idf)
-        own = k_means(x, CLUSTERS)
+        x, size = weighted(dense, idf), dense.sum(axis=1)
+        codes = np.unique([r[1] for r in mine])
+        held = np.isin([r[1] for r in mine], codes[1::4])
+        whole = np.array([not r[2] for r in mine])
+        own = k_means(x[whole], CLUSTERS)
         centroids.append(own)
         of += [number] * len(own)
-        cosines.append((x @ own.T).max(axis=1))
-        bands.append(length_band(dense.sum(axis=1)))
-    cosine, band = np.concatenate(cosines), np.concatenate(bands)
-    least = np.zeros(64, np.float32)
-    for b in range(64):
-        if (band == b).sum() >= LEAST_SAMPLE:
-            least[b] = REJECT * np.quantile(cosine[band == b], 0.01)
-    return Model(languages, np.concatenate(centroids), np.array(of), idf, least)
+        if held.any():
+            others = k_means(x[whole & ~held], CLUSTERS)
+            cosines.append((x[held & (size > 0)] @ others.T).max(axis=1))
+            lengths.append(log_length(size[held & (size > 0)]))
+    knots = usual(np.concatenate(lengths or [np.zeros(0)]), np.concatenate(cosines or [np.zeros(0)]))
+    return Model(languages, np.concatenate(centroids), np.array(of), idf, knots[0], (REJECT * knots[1]).astype(np.float32))
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
@@ -203,7 +257,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
                 chosen = np.argmax(cosines, axis=1)
                 best[first:last] = model.of[chosen]
                 score[first:last] = np.clip(cosines[np.arange(len(chosen)), chosen], 0, 1)
-                rejected[first:last] = score[first:last] < model.least[length_band(counts.sum(axis=1))]
+                rejected[first:last] = score[first:last] < model.limit(counts.sum(axis=1))
             without = np.array([x is None or LETTER.search(x) is None for x in column.to_pylist()], bool)
             best[without], score[without], rejected[without] = len(model.languages), 0, True
             yield pa.RecordBatch.from_arrays(
