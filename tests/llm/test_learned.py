@@ -5,6 +5,7 @@ import re
 import time
 
 import numpy as np
+import pytest
 from helpers import documents, near_classes
 from pyspark.sql import functions as F
 
@@ -35,6 +36,19 @@ def test_languages_of_odd_documents(spark):
         assert r["a.b"] == "t"
     far = documents(spark, [(1, "Ωδξψ φχβθ ζηνκ " * 200), (2, docs.where("n_chars > 1000").first().text)])
     assert [r.rejected for r in language.identify(far, model).orderBy("doc_id").collect()] == [True, False]
+    # Every length has a limit, also those that no document has.
+    same = documents(spark, [(n, "Ωδξψ φχβθ ζηνκ " * n) for n in (1, 2, 5, 30, 200, 1000, 20_000)])
+    assert all(r.rejected for r in language.identify(same, model).collect())
+    known = docs.where("n_chars > 1000").first().text
+    same = documents(spark, [(n, known[:n]) for n in (2, 5, 10, 30, 100, 300)] + [(n, known * n) for n in (1000, 7, 50)])
+    assert not any(r.rejected for r in language.identify(same, model).collect())
+    # A text in very many copies is one of the sample; too many languages are refused.
+    copies = spark.range(4000).select(F.lit("der Hund und die Katze").alias("text"), F.lit("de").alias("lang"))
+    some = language.learn(copies.union(docs.select("text", "lang")), per_language=40)
+    truth = language.identify(docs.where("n_chars > 200"), some).select(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
+    assert truth > 0.97
+    with pytest.raises(ValueError, match="10 different languages"):
+        language.learn(docs.select("text", F.col("doc_id").cast("string").alias("lang")), most_languages=10)
     assert language.learn(docs.select("text", F.lit(None).cast("string").alias("lang"))) is None
     assert {r.lang_pred for r in language.identify(documents(spark, ODD), None).collect()} == {"und"}
     assert language.identify(documents(spark, []).limit(0), model).count() == 0
@@ -175,11 +189,30 @@ def test_long_values_are_covered_whole(spark):
     found = personal_data.find(docs, personal_data.learn(docs))
     clean = [r.c for r in found.orderBy("doc_id").select(personal_data.redacted(F.col("text"), F.col("spans")).alias("c")).collect()]
     assert clean == ["go password=[SECRET] end", "with token: [SECRET] end", 'api_key = "[SECRET]" end', "secret: [SECRET] end"]
-    # Read in time that grows with the text.
-    for text in ("token=" * 50_000, "1 " * 200_000 + "x", "1" + " " * 300_000, "a" * 300_000 + "!", "(1" * 100_000, "a-" * 200_000):
+    # What makes a value random may come late in it.
+    model = personal_data.learn(docs)
+    for text in (f"set password={some('abcdefghij', 400)}{some(code, 300)} now", f"at {some('abcdefghij', 400)}{some(code, 300)}9 now"):
+        spans = personal_data.judged([text], model)[0]
+        assert [(kind, text[b:]) for kind, _, b, _ in spans] == [("secret", " now")], text
+    # Read and judged in time that grows with the text.
+    long = ("token=" * 50_000 + "4111111111111111", "1 " * 200_000 + "x", "1" + " " * 300_000, "a" * 300_000 + "!", "(1" * 100_000, "a-" * 200_000,
+            "a@b.de 12345678x " * 20_000)
+    for text in long:
         start = time.monotonic()
         personal_data.candidates(text)
         assert time.monotonic() - start < 5
+        personal_data.judged([text], model)
+        assert time.monotonic() - start < 40
+
+
+def test_shapes_of_values_in_one_another_are_those_of_each():
+    pick = random.Random(5)
+    for _ in range(300):
+        text = "".join(pick.choice(["ab", "C", "12", "0", " ", ":", "=", "\u00b2", "\u00e9", "_", '"', "123456789"]) for _ in range(40))
+        spans = sorted({tuple(sorted(pick.sample(range(len(text) + 1), 2))) for _ in range(8)})
+        spans += [(a, spans[0][1]) for a in range(spans[0][1])] + spans[:2]
+        for i, shape in personal_data.shapes(text, spans):
+            assert np.allclose(personal_data.features(text, "value", *spans[i], shape), personal_data.features(text, "value", *spans[i])), (text, spans[i])
 
 
 def test_national_numbers_are_found_and_counts_are_not(spark):
