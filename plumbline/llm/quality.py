@@ -9,12 +9,15 @@ below, a step is made against it). The prior is estimated before: a classifier o
 against unlabelled ranks a held-back half, and the prior is the smallest ratio of the
 unlabelled to the positives above a rank, with allowance for chance (best bin).
 
-Fitted on a bounded sample of ``POSITIVES`` and ``UNLABELLED`` rows, chosen by the hash of the
-text; scores are given to all rows.
+All documents are the unlabelled text, whatever their label, since labels are of a part of
+them that nobody drew by chance; only quality 1 is looked at. So a table of which every row is
+labelled teaches as well. The network is fitted on a bounded sample of ``POSITIVES`` and
+``UNLABELLED`` rows, chosen by the hash of text and id so that neither a text nor an id that
+fills a third of the table comes as a whole; scores are given to all rows.
 
 Defined results: null and empty texts are scored like any other. Labels without a quality
-count as none; of several labels of a document the largest counts. Without positives or
-without unlabelled rows every score is 0.5. Repeated rows give repeated results.
+count as none; of several labels of a document the largest counts. With fewer than two
+positives or two rows every score is 0.5. Repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import all_but, groups_of_rows, mapped, mix, schema_with, string_column, written
+from plumbline.llm.common import Scratch, all_but, groups_of_rows, mapped, mix, schema_with, string_column
 from plumbline.llm.shingles import FACTORS, word_hashes
 
 POSITIVES, UNLABELLED = 6_000, 12_000
@@ -186,19 +189,29 @@ def _sampled_features(texts: DataFrame) -> np.ndarray:
 
 
 def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model | None:
-    """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, quality); only quality 1 is looked at."""
+    """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, quality)."""
     known = labels.select(labels["doc_id"].alias("doc_id"), labels["quality"].alias("quality")).where("quality is not null")
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    rows = docs.select("doc_id", F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1_000_003)).alias("chance"))
-    rows = written(rows.join(known, "doc_id", "left").where("quality is null or quality = 1").select(
-        "doc_id", "chance", F.col("quality").isNotNull().alias("positive")
-    ), "quality-rows")
-    sizes = {kind: n for kind, n in rows.groupBy("positive").count().collect()}
-    if not sizes.get(True) or not sizes.get(False):
-        return None
-    share = F.when(F.col("positive"), positives / sizes[True]).otherwise(unlabelled / sizes[False])
-    sample = written(rows.where(F.col("chance") < share * 1_000_003).select("doc_id", "positive").distinct(), "quality-sample")
-    p, u = _sampled_features(docs.select("doc_id", "text").join(sample, "doc_id"))
+    rows = docs.select("doc_id", F.xxhash64("text", "doc_id").alias("hash"))
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.written(
+        rows.join(known, "doc_id", "left").select("doc_id", "hash", F.coalesce(F.col("quality") == 1, F.lit(False)).alias("good")).distinct(),
+        "quality-rows",
+    )
+    size, good = rows.agg(F.count(F.lit(1)), F.count_if("good")).first()
+    # Few more than wanted are sorted.
+    draw = lambda seed: F.pmod(F.xxhash64("hash", F.lit(seed)), F.lit(1_000_003))
+    near = lambda seed, share: rows.withColumn("draw", draw(seed)).where(F.col("draw") < min(1.0, 1.5 * share) * 1_000_003)
+    chosen = [
+        near(seed, wanted / max(n, 1)).where(kept).orderBy("draw", "hash").limit(wanted).select("doc_id", "hash", F.lit(positive).alias("positive"))
+        for seed, wanted, n, kept, positive in ((5, positives, good, "good", True), (6, unlabelled, size, "true", False))
+    ]
+    sample = scratch.written(chosen[0].union(chosen[1]), "quality-sample")
+    texts = docs.select("doc_id", "text").withColumn("hash", F.xxhash64("text", "doc_id"))
+    # Copies of a row with its id were drawn as one.
+    texts = texts.join(F.broadcast(sample.select("hash").distinct()), "hash", "left_semi").dropDuplicates(["hash"])
+    p, u = _sampled_features(texts.join(sample.select("hash", "positive"), "hash"))
+    scratch.remove()
     if len(p) < 2 or len(u) < 2:
         return None
     prior = class_prior(p, u)

@@ -78,6 +78,13 @@ def test_quality_of_odd_documents_and_without_labels(spark):
     assert len(rows) == len(ODD) and all(0 <= r.score <= 1 for r in rows)
     assert len({r.score for r in rows if r.doc_id == 5}) == 1
     assert quality.learn(docs, labels.where("quality = 0")) is None
+    # A table of which every row is labelled teaches as well, and a row in very many copies changes little.
+    both = docs.join(labels.where("quality is not null").select("doc_id", "quality"), "doc_id")
+    copies = both.union(both.limit(1).crossJoin(spark.range(3000)).drop("id"))
+    for rows in (both, copies):
+        model = quality.learn(rows.drop("quality"), labels)
+        scored = quality.score(both.select("doc_id", "quality", "text"), model).collect()
+        assert np.mean([(r.score >= 0.5) == (r.quality == 1) for r in scored]) > 0.95
     assert {r.score for r in quality.score(documents(spark, ODD), None).collect()} == {0.5}
     assert quality.score(documents(spark, []).limit(0), model).count() == 0
 
