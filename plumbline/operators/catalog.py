@@ -200,9 +200,18 @@ def version_history(datasets: DataFrame, versions: DataFrame) -> DataFrame:
 
 
 def idempotency_key(object_key: Column, dataset_id: Column) -> Column:
-    """What makes two import requests the same: the object and the dataset it is for."""
-    target = F.coalesce(dataset_id.cast("string"), F.lit("new"))
-    return F.sha2(F.concat_ws("\x1f", object_key.cast("string"), target), 256)
+    """What makes two import requests the same: the object and the dataset it is for.
+
+    Different requests have different keys: the mark of a request without a dataset and the sign
+    between the two parts are escaped where an id or an object's own name holds them.
+    """
+    escaped = lambda part: F.replace(F.replace(part.cast("string"), F.lit("\x1e"), F.lit("\x1e0")), F.lit("\x1f"), F.lit("\x1e1"))
+    target = (
+        F.when(dataset_id.isNull(), F.lit("new"))
+        .when(dataset_id.cast("string") == "new", F.lit("\x1enew"))
+        .otherwise(escaped(dataset_id))
+    )
+    return F.sha2(F.concat_ws("\x1f", F.coalesce(escaped(object_key), F.lit("\x1e")), target), 256)
 
 
 def admit_imports(requests: DataFrame, admitted: DataFrame | None = None) -> DataFrame:

@@ -64,3 +64,23 @@ def children(spark: SparkSession, path: str) -> list[str]:
     """Names in a folder; none where there is no folder."""
     system, location = _located(spark, path)
     return [entry.getPath().getName() for entry in system.listStatus(location)] if system.exists(location) else []
+
+
+def read_whole(spark: SparkSession, path: str) -> str | None:
+    """A text that this library wrote itself, of any length; None if there is none."""
+    system, location = _located(spark, path)
+    if not system.exists(location):
+        return None
+    return first_bytes(spark, path, system.getFileStatus(location).getLen()).decode()
+
+
+def modified(spark: SparkSession, path: str) -> list[tuple[str, int, float]]:
+    """(name, bytes, seconds since 1970 of the last change) of what is in a folder."""
+    system, location = _located(spark, path)
+    found = system.listStatus(location) if system.exists(location) else []
+    return [(e.getPath().getName(), e.getLen(), e.getModificationTime() / 1000) for e in found]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    system, location = _located(spark, path)
+    system.delete(location, True)

@@ -36,6 +36,7 @@ from ..operators.load import import_errors, load_summary
 from ..operators.schema import column_continuity
 from .csv import FILE, ROW_NUMBER
 from .files import children, create_new, read_text
+from .logs import GRACE_SECONDS, Log
 
 _VERSION_SCHEMA = (
     "version_id string, status string, row_count bigint, rows_rejected bigint, "
@@ -202,16 +203,19 @@ class VersionStore:
 
     def append(self, log: str, rows: DataFrame) -> None:
         """Add rows to one of the store's logs; what is there is never touched."""
-        rows.write.mode("append").parquet(f"{self.root}/log/{log}")
+        Log(self.spark, self.root, log).append(rows)
 
     def log(self, log: str, schema: str) -> DataFrame:
-        """The rows of a log, none while nothing was added."""
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.root}/log/{log}")
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return self.spark.createDataFrame([], schema)
+        """The rows of a log, none while nothing was added; refused if it has other columns."""
+        return Log(self.spark, self.root, log).read(schema)
+
+    def fold_log(self, log: str, least: int = 64) -> int:
+        """Put the many small files of a log into few, while others read and append."""
+        return Log(self.spark, self.root, log).fold(least)
+
+    def expire_log(self, log: str, grace_seconds: float = GRACE_SECONDS) -> int:
+        """Remove the small files that were folded longer ago than any reader takes."""
+        return Log(self.spark, self.root, log).expire(grace_seconds)
 
     def _is_completed(self, dataset_id: str, version: int) -> bool:
         same = (F.col("version_number") == version) & (F.col("status") == "COMPLETED")

@@ -67,6 +67,12 @@ def test_admission(spark):
     assert sorted(r.import_id for r in catalog.admit_imports(requests, earlier).collect()) == [2, 3]
 
 
+def test_different_import_requests_have_different_keys(spark):
+    parts = [("a", None), ("a", "new"), ("a", "\x1enew"), ("a\x1fb", "c"), ("a", "b\x1fc"), (None, "a"), ("", "a"), ("\x1e", "a"), ("a\x1e1b", "c"), (None, None)]
+    requests = spark.createDataFrame([(i, *p, i) for i, p in enumerate(parts)], "import_id int, object_key string, dataset_id string, requested_at int")
+    assert sorted(r.import_id for r in catalog.admit_imports(requests).collect()) == list(range(len(parts)))
+
+
 def test_usage_and_widgets(spark, tables):
     queries = spark.createDataFrame(
         [("q1", "d1", "One", 1), ("q2", "d1", "Two", 2), ("q3", "gone", "Lost", 3)],
