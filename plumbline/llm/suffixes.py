@@ -12,7 +12,9 @@ can have an equal, and of these one for each anchor:
    different surroundings go on, with what lies to the right (the suffix) and to the left.
 3. Each task sorts its suffixes into runs, one for each range of the alphabet, and sends a
    run front-coded: for every suffix the length of the prefix that it shares with the one
-   before, and the rest. Ranges are cut by a bounded sample of ``SAMPLE`` prefixes.
+   before, and the rest. Ranges are cut by a bounded sample of ``SAMPLE`` prefixes as long
+   as a k-gram. Where these cannot part the bytes into ranges of about ``RANGE_BYTES``,
+   suffixes are dealt first, by the hash of their k-gram, to alphabets of their own.
 4. A loser tree merges the runs of a range. Each loser keeps the length of the prefix that
    it shares with the string that beat it, longer shared prefixes win without a look at the
    bytes, and equal ones are compared from there on, so no byte of a known prefix is
@@ -23,7 +25,9 @@ can have an equal, and of these one for each anchor:
 
 Steps 1 and 2 tell different strings apart by 64 and 128 bits of hash. The k-gram of a group
 of more than ``HOT`` different surroundings, which no single task should hold, is dealt
-with window by window: 128-bit digests are counted, partly before the shuffle.
+with window by window: 128-bit digests are counted, partly before the shuffle. Of k-grams
+and surroundings, at most ``SHARE`` hold more than one in ``SHARE`` of all anchors; they
+are broadcast to the anchors, so that no join deals a hot key to one task.
 
 Defined results: null and empty texts have no bytes and lose none. Each row is a document of
 its own, so repeated rows are copies of each other; rows are told apart by id and text. A
@@ -45,8 +49,9 @@ from plumbline.llm.common import U64, RollingHash, groups_of_rows, keyed, mapped
 
 LENGTH = 400
 PIECE = 1 << 20
-SAMPLE, PREFIX = 4_000, 64
+SAMPLE, RANGE_BYTES = 4_000, 8 << 20
 HOT = 50_000
+SHARE = 1_000
 BATCH = 40_000
 PLACE_BITS = 27
 ROLL, ROLL2 = RollingHash(21), RollingHash(22)
@@ -132,7 +137,7 @@ def same_document(left: DataFrame, right: DataFrame):
 
 def surroundings(docs: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
     """The chosen anchors with the bytes to their right and, turned round, to their left."""
-    entry = F.struct("start", "anchor", "finish", "gram", "single")
+    entry = F.struct("start", "anchor", "finish", "gram", "single", "many")
     listed = chosen.groupBy("doc_id", "text_key").agg(F.collect_list(entry).alias("anchors"))
     listed = listed.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "anchors")
     # Repeated rows bring their anchors along more than once. They are copies of each other, so none is single.
@@ -150,11 +155,11 @@ def surroundings(docs: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
                     [
                         batch.column("doc_id").take(where), batch.column("text_key").take(where),
                         pick("start"), pick("anchor"), pick("finish"), pick("gram"),
-                        pa.array([x["single"] for x in found], pa.bool_()),
+                        pa.array([x["single"] for x in found], pa.bool_()), pa.array([x["many"] for x in found], pa.bool_()),
                         pa.array([text[x["anchor"] : x["finish"] + length] for x in found], pa.binary()),
                         pa.array([text[x["start"] : x["anchor"]][::-1] for x in found], pa.binary()),
                     ],
-                    names=["doc_id", "text_key", "start", "anchor", "finish", "gram", "single", "suffix", "left"],
+                    names=["doc_id", "text_key", "start", "anchor", "finish", "gram", "single", "many", "suffix", "left"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -162,7 +167,7 @@ def surroundings(docs: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
         joined,
         run,
         f"doc_id {kind}, text_key long, start long, anchor long, finish long, gram long, single boolean, "
-        "suffix binary, left binary",
+        "many boolean, suffix binary, left binary",
     )
 
 
@@ -236,23 +241,24 @@ class LoserTree:
 
 
 RUN = (
-    "text_key long, part int, run long, number long, shared int, rest binary, left_shared int, left_rest binary, "
+    "text_key long, part long, run long, number long, shared int, rest binary, left_shared int, left_rest binary, "
     "start long, anchor long, finish long, single boolean"
 )
 
 
-def front_coded_runs(around: DataFrame, cuts: list[bytes], prefix: int) -> DataFrame:
-    """Each task's suffixes, sorted and front-coded, with the range of the alphabet they belong to."""
+def front_coded_runs(around: DataFrame, cuts: list[bytes], prefix: int, alphabets: int) -> DataFrame:
+    """Each task's suffixes, sorted and front-coded, with the range of their alphabet that they belong to."""
     kind = around.schema["doc_id"].dataType.simpleString()
 
     def coded(table: pa.Table, run: int) -> Iterator[pa.RecordBatch]:
         suffixes, lefts = table.column("suffix").to_pylist(), table.column("left").to_pylist()
-        order = sorted(range(len(suffixes)), key=suffixes.__getitem__)
+        alphabet = (np.asarray(table.column("gram")).view(U64) % U64(alphabets)).astype(np.int64) * (len(cuts) + 1)
+        order = sorted(range(len(suffixes)), key=lambda i: (alphabet[i], suffixes[i]))
         part, shared, rest, left_shared, left_rest = [], [], [], [], []
         before, before_left, before_part = b"", b"", -1
         for i in order:
             suffix, left = suffixes[i], lefts[i]
-            here = bisect_right(cuts, suffix[:prefix])
+            here = int(alphabet[i]) + bisect_right(cuts, suffix[:prefix])
             if here != before_part:
                 before, before_left, before_part = b"", b"", here
             a, b = shared_prefix(before, suffix), shared_prefix(before_left, left)
@@ -267,7 +273,7 @@ def front_coded_runs(around: DataFrame, cuts: list[bytes], prefix: int) -> DataF
         column = lambda name: taken.column(name).combine_chunks()
         yield pa.RecordBatch.from_arrays(
             [
-                column("doc_id"), column("text_key"), pa.array(part, pa.int32()), pa.array(np.full(size, run)), pa.array(np.arange(size)),
+                column("doc_id"), column("text_key"), pa.array(part, pa.int64()), pa.array(np.full(size, run)), pa.array(np.arange(size)),
                 pa.array(shared, pa.int32()), pa.array(rest, pa.binary()), pa.array(left_shared, pa.int32()), pa.array(left_rest, pa.binary()),
                 column("start"), column("anchor"), column("finish"), column("single"),
             ],
@@ -427,40 +433,55 @@ def counted_spans(around: DataFrame, length: int) -> DataFrame:
     )
 
 
-def repeated_spans(docs: DataFrame, length: int, hot: int) -> DataFrame:
+def of_groups(rows: DataFrame, groups: DataFrame, on: list[str], total: int) -> DataFrame:
+    """Rows whose key is among ``groups``, with the columns of these; ``n`` tells the rows of each group.
+
+    At most ``SHARE`` groups can hold more than one in ``SHARE`` of all ``total`` rows. Their
+    rows are found by a broadcast and are not shuffled, so no task is dealt a hot key.
+    """
+    often = F.col("n") > total // SHARE
+    hot = F.broadcast(groups.where(often))
+    many = rows.join(hot, on)
+    few = rows.join(hot.select(*on), on, "left_anti").join(groups.where(~often), on)
+    return few.union(many)
+
+
+def repeated_spans(docs: DataFrame, length: int, hot: int, range_bytes: int) -> DataFrame:
     """(doc_id, text_key, begin, end): bytes of windows that occur elsewhere; spans may overlap."""
     found = written(anchor_table(docs, length), "anchors")
-    several = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
-    shared = written(found.join(several, "gram"), "shared-anchors")
+    several = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = written(of_groups(found, several, ["gram"], found.count()).drop("n"), "shared-anchors")
     place = F.struct("doc_id", "text_key", "start", "anchor", "finish")
     kinds = shared.groupBy("gram", "around").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("place"))
     kinds = written(kinds, "surroundings")
-    whole = shared.join(kinds.where("n > 1").select("gram", "around"), ["gram", "around"]).select(
+    equal = kinds.where("n > 1").select("gram", "around", "n")
+    whole = of_groups(shared, equal, ["gram", "around"], shared.count()).select(
         "doc_id", "text_key", F.col("start").alias("begin"), (F.col("finish") + length).alias("end")
     )
-    different = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    chosen = kinds.join(different, "gram").select("gram", "kinds", (F.col("n") == 1).alias("single"), "place.*")
-
-    hot_grams = different.where(F.col("kinds") > hot).select("gram")
-    around = written(surroundings(docs, chosen.drop("kinds"), length), "suffixes")
-    many = around.join(hot_grams, "gram", "left_semi")
-    few = around.join(hot_grams, "gram", "left_anti")
+    different = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    alone = kinds.select("gram", (F.col("n") == 1).alias("single"), "place.*")
+    chosen = of_groups(alone, different, ["gram"], kinds.count()).withColumn("many", F.col("n") > hot).drop("n")
 
-    # Cuts are no longer than a k-gram, so that no range parts the suffixes of one.
-    prefix = min(PREFIX, length // 2)
+    around = written(surroundings(docs, chosen, length), "suffixes")
+    # Cuts are as long as a k-gram, so that no range parts the suffixes of one.
+    prefix = length // 2
     total, nbytes = around.agg(F.count(F.lit(1)), F.sum(F.octet_length("suffix"))).first()
-    parts = max(1, min(total or 0, max(docs.sparkSession.sparkContext.defaultParallelism * 2, (nbytes or 0) // (8 << 20))))
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, min(total or 0, max(cores * 2, (nbytes or 0) // range_bytes)))
+    alphabets = -(-parts // SAMPLE)
+    ranges = -(-parts // alphabets)
     sample = around.where(F.rand(7) < min(1.0, SAMPLE / max(total, 1))).select(F.substring("suffix", 1, prefix)).limit(4 * SAMPLE)
     prefixes = sorted(bytes(r[0]) for r in sample.collect())
-    cuts = sorted({prefixes[len(prefixes) * i // parts] for i in range(1, parts)}) if prefixes else []
-    runs = front_coded_runs(few, cuts, prefix).repartition(max(1, len(cuts) + 1), "part").sortWithinPartitions("part", "run", "number")
-    return whole.union(merged_spans(runs, length)).union(counted_spans(many, length))
+    cuts = sorted({prefixes[len(prefixes) * i // ranges] for i in range(1, ranges)}) if prefixes else []
+    runs = front_coded_runs(around.where("not many"), cuts, prefix, alphabets)
+    runs = runs.repartition(alphabets * (len(cuts) + 1), "part").sortWithinPartitions("part", "run", "number")
+    return whole.union(merged_spans(runs, length)).union(counted_spans(around.where("many"), length))
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """doc_id, n_bytes, spans (of bytes removed: begin, end) and kept (the other bytes) of each row."""
     texts = keyed(docs)
-    found = repeated_spans(texts, length, hot)
+    found = repeated_spans(texts, length, hot, range_bytes)
     spans = found.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("begin", "end")).alias("found"))
     spans = spans.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "found")
     joined = texts.join(spans, same_document(texts, spans), "left").select("doc_id", "text", "found")

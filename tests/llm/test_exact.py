@@ -57,6 +57,23 @@ def test_repeats_in_a_small_alphabet(spark, length, hot):
     assert cleaned(spark, texts, length, hot) == dict(enumerate(without_repeats(texts, length)))
 
 
+def test_hot_k_grams_and_shared_prefixes_are_parted(spark, monkeypatch):
+    """One k-gram holds over a third of all anchors, and many more begin with the same 100 bytes."""
+    monkeypatch.setattr(suffixes, "SHARE", 3)
+    monkeypatch.setattr(suffixes, "SAMPLE", 4)
+    pick = random.Random(8)
+    letters = lambda n: "".join(pick.choice("abcdefgh") for _ in range(n))
+    header, passage = "=" * 100, letters(300)
+    texts = [letters(pick.randint(0, 200)) + passage + letters(pick.randint(0, 200)) for _ in range(60)]
+    texts += [passage] * 40
+    bodies = [header + letters(260) for _ in range(12)]
+    texts += [letters(5) + pick.choice(bodies) + letters(5) for _ in range(60)]
+    wanted = dict(enumerate(without_repeats(texts, 200)))
+    for hot in (suffixes.HOT, 5):
+        rows = suffixes.without_repeats(documents(spark, enumerate(texts)), 200, hot, range_bytes=2_000).collect()
+        assert {r.doc_id: (r.n_bytes, [(s.begin, s.end) for s in r.spans], bytes(r.kept)) for r in rows} == wanted
+
+
 def test_repeats_of_the_given_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
     rows = entry_module.queries()["op1_suffix_dedup"](spark, SF).collect()
