@@ -2,11 +2,13 @@
 
 The words of the templates (letters and digits, A-Z lowered) give k-grams, of whose hashes the
 smallest in each stretch of ``STRETCH`` is kept. These winnowed fingerprints form an inverted index
-from hash to template and place. All k-grams of a text are looked up in it, and hits of a template on neighbouring diagonals are a candidate. A
+from hash to template and place. All k-grams of a text are looked up in it, and hits of a template on neighbouring diagonals are a candidate,
+unless the text there holds too few of the template's words. A
 banded local alignment of the template with the text around the candidate gives the
 matched words. Reported are the share of the template's words that match (coverage) and the
 span in the text from the first matched word to the last, from ``COVERAGE`` on. Any
-k + stretch - 1 words in common make a hit.
+k + stretch - 1 = 3 words in common make a hit. A template of n words of which c are changed keeps
+a run of 3 when n > 3c + 2, which holds for all that a coverage of 0.7 allows from ``SHORT`` words on.
 
 Templates below ``SHORT`` words are found by single words instead: a match of m of n words
 holds one of any n - m + 1, so the words that are rarest in the templates are their fingerprints. Around each, a text with
@@ -36,8 +38,8 @@ from plumbline.llm.common import U64, groups_of_rows, mapped, mix, string_column
 from plumbline.llm.shingles import FACTORS, word_hashes, word_places
 from plumbline.llm.suffixes import least_of_windows
 
-GRAM, STRETCH = 3, 3
-SHORT, EXTRA = 20, 8
+GRAM, STRETCH = 2, 2
+SHORT, EXTRA = 21, 8
 COVERAGE = 0.7
 SHARD_WORDS = 200_000
 SLICE_BYTES = 1 << 20
@@ -194,19 +196,23 @@ def aligned(template: np.ndarray, text: np.ndarray, diagonal: int, band: int) ->
     return matched, int(first), int(last)
 
 
-def around(template: np.ndarray, words: np.ndarray, at: int, need: int) -> list[tuple[int, int, int]]:
-    """(matched words, first word, last word) of all matches of a short template near a word of it."""
-    reach = len(template) - 1 + EXTRA
-    found, parts = [], [(max(0, at - reach), min(len(words), at + reach + 1))]
+def may_match(template: np.ndarray, part: np.ndarray, need: int) -> bool:
+    """Whether the text holds enough of the template's words; what it refuses cannot match."""
     different = np.unique(template)
+    # Words that the template repeats may be one in the text.
+    return np.isin(part, different).sum() >= need and np.isin(different, part).sum() >= need - (len(template) - len(different))
+
+
+def within(template: np.ndarray, words: np.ndarray, span: tuple[int, int], diagonals: tuple[int, int], need: int) -> list[tuple[int, int, int]]:
+    """(matched words, first word, last word) of all matches inside a span of the text, on these diagonals."""
+    found, parts = [], [(max(0, span[0]), min(len(words), span[1]))]
+    low, high = diagonals
     while parts:
         a, b = parts.pop()
         part = words[a:b]
-        # Words that the template repeats may be one in the text.
-        if np.isin(different, part).sum() < need - (len(template) - len(different)):
+        if not may_match(template, part, need):
             continue
-        band = (len(part) + len(template)) // 2 + 1
-        matched, first, last = aligned(template, part, (len(part) - len(template)) // 2, band)
+        matched, first, last = aligned(template, part, (low + high) // 2 - a, (high - low + 1) // 2)
         if matched >= need:
             found.append((matched, a + first, a + last))
             parts += [(a, a + first), (a + last + 1, b)]
@@ -220,23 +226,22 @@ def matches(index: Index, words: np.ndarray, hits: list[tuple[int, int, int]], l
     hits = sorted(h for h in hits if len(index.words[h[0]]) >= SHORT)
     for t, _, at in sorted(short, key=lambda h: (h[0], h[2])):
         template = index.words[t]
-        found += [(t, *m) for m in around(template, words, at, needed(template, least))]
-    found = list(dict.fromkeys(found))
+        reach = len(template) - 1 + EXTRA
+        span = at - reach, at + reach + 1
+        # All diagonals of the span.
+        found += [(t, *m) for m in within(template, words, span, (span[0] - len(template), span[1]), needed(template, least))]
     start = 0
     for i in range(1, len(hits) + 1):
-        template = index.words[hits[start][0]]
+        t, low, _ = hits[start]
+        template, high = index.words[t], hits[i - 1][1]
         band = max(4, len(template) // 10)
-        if i < len(hits) and hits[i][0] == hits[start][0] and hits[i][1] - hits[i - 1][1] <= band:
+        # A notice whose hits are parted here is found from either part.
+        if i < len(hits) and hits[i][0] == t and hits[i][1] - high <= band and hits[i][1] - low <= 4 * band:
             continue
-        diagonal = (hits[start][1] + hits[i - 1][1]) // 2
-        reach = band + (hits[i - 1][1] - hits[start][1] + 1) // 2
-        begin = max(0, diagonal - reach)
-        part = words[begin : diagonal + len(template) + reach]
-        matched, first, last = aligned(template, part, diagonal - begin, reach)
-        if matched >= least * len(template):
-            found.append((hits[start][0], matched, first + begin, last + begin))
+        span = low - band, high + len(template) + band
+        found += [(t, *m) for m in within(template, words, span, (low - band, high + band), needed(template, least))]
         start = i
-    found.sort(key=lambda m: (m[0], -m[1], m[2]))
+    found = sorted(set(found), key=lambda m: (m[0], -m[1], m[2], m[3]))
     # What is kept of a template does not overlap, so only its neighbours in order can meet a new one.
     kept: dict[int, list[tuple[int, int, tuple[int, int, int, int]]]] = {}
     for m in found:

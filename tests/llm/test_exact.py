@@ -159,6 +159,43 @@ def test_licenses_are_found_changed_and_at_their_place(spark):
     assert licenses.scan(documents(spark, texts), {"none": "!!", "one": "permission"}).count() == 3
 
 
+def test_long_templates_with_as_many_words_changed_as_the_coverage_allows(spark):
+    """Against the alignment of every template with every whole text, on all diagonals."""
+    pick = random.Random(5)
+    common = "the of to and a software license copyright under any without work this".split()
+    noise = lambda n: " ".join(pick.choice(common) for _ in range(n))
+    texts, planted = [], []
+    long = {n: t.split() for n, t in licenses.TEMPLATES.items() if len(licenses.text_words(t)) >= licenses.SHORT}
+    long["numbers"] = [f"w{i}" for i in range(licenses.SHORT)]
+    templates = licenses.TEMPLATES | {"numbers": " ".join(long["numbers"])}
+    for name, words in long.items():
+        plain = [i for i, w in enumerate(words) if len(licenses.text_words(w)) == 1]
+        most = len(licenses.text_words(templates[name])) - licenses.needed(licenses.text_words(templates[name]), 0.7)
+        third = [i for i in range(2, len(words), 3) if i in plain][:most]
+        for gone in [third, *[pick.sample(plain, most) for _ in range(6)]]:
+            changed = " ".join(f"x{i}" if i in gone else w for i, w in enumerate(words))
+            # Words changed in a row near an end are left out of a local alignment, so only the brute force judges the others.
+            if gone is third:
+                planted.append((len(texts), name))
+            texts.append(f"{noise(pick.randint(0, 80))}. yy {changed} yy {noise(30)} yy {changed}")
+    texts += [noise(3_000) for _ in range(3)]
+    found = {}
+    for r in licenses.scan(documents(spark, enumerate(texts)), templates).collect():
+        found.setdefault((r.doc_id, r.license), []).append(r.matched_words)
+    brute = {}
+    for d, text in enumerate(texts):
+        words = licenses.text_words(text)
+        for name, template in templates.items():
+            t = licenses.text_words(template)
+            if len(t) < licenses.SHORT:
+                continue
+            matched = licenses.within(t, words, (0, len(words)), (-len(t), len(words)), licenses.needed(t, 0.7))
+            if matched:
+                brute[d, name] = sorted(m for m, _, _ in matched)
+    assert {k: sorted(v) for k, v in found.items() if k[1] in long} == brute
+    assert all(len(found.get(p, [])) == 2 for p in planted)
+
+
 def test_short_notices_with_one_word_changed(spark):
     texts, wanted = [], set()
     for name, text in licenses.TEMPLATES.items():
