@@ -8,19 +8,26 @@ context; where its probability reaches the threshold of its generator it becomes
 kind ``secret``, ``number`` or ``contact``. Of overlapping ones the likeliest stays, and none
 that overlaps a base span.
 
-Each generator has trees of its own. They are fitted without labels from outside on a bounded
-sample: of the different texts of the whole table in which the generator proposes something,
-the ``SAMPLE`` of the smallest hashes, and ``PER_TEXT`` candidates of each. Candidates
+Each generator has trees of its own. They are fitted without labels from outside on all
+different texts of the whole table in which a generator proposes something, and on all their
+candidates; a bounded number of texts is drawn only where ``learn`` is given a ``sample``. Candidates
 that are base spans, phones written without plus, country code or separators (``variants``),
 digits after a word such as ``tel`` or ``ssn``, or values that follow a telling word and look random, are examples;
 the other candidates, and long plain words, are counter-examples, but for digits in a format
 of telephone numbers, which teach nothing without such a word. Invented ones (``invented``)
-are added, so that a generator whose candidates are rare, or a small table, can be judged too.
+are added, and count for at least a quarter, so that a generator whose candidates are rare, or a
+small table, can be judged too.
 Half of the examples lose their context, so that format has to speak as well. On a held-back
 quarter the probabilities are calibrated (isotonic), and each generator gets the lowest threshold
 whose precision reaches ``PRECISION`` there. A generator with fewer than ``ENOUGH`` held-back
 examples, or for which no threshold is that precise, gets ``FALLBACK``; none is left out.
 
+Features are put into ``BINS`` bins of a fixed grid, and equal rows of bins are counted together.
+These rows stay on the executors. For each level of the trees (of all generators at once) tasks add up
+the gradients by node, feature and bin, and for the calibration the held-back rows by output, to
+``STEP``; only such sums, whose number does not grow with the table, come to the driver. They are
+whole numbers, so the model does not depend on how the table is dealt to tasks.
+
 Candidates have no greatest length, and features are of the whole candidate and of what stands
 before and after it. Values that lie in one another, as in ``token=a:token=b``, end at the same
 place and are counted together from there, so that a long one is read once.
@@ -52,8 +59,12 @@ from plumbline.llm.common import U64, all_but, crc, mapped, mix, schema_with, wr
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "contact", "number", "secret")
-SAMPLE, PER_TEXT, PRECISION = 1_500, 40, 0.98
-ENOUGH, FALLBACK = 10, 0.9
+PRECISION, ENOUGH, FALLBACK = 0.98, 10, 0.9
+#: Bins of features: below 0 (hidden), about 0, then 16 an octave, so that counts up to 32 are exact.
+GRID = np.array([0, *(2.0**e * (1 + k / 16) for e in range(-6, 10) for k in range(16))][:255])
+BINS = len(GRID) + 1
+#: Outputs of the trees are calibrated in steps. Each level of a tree is a job, so few trees take long steps.
+STEP, TREES, RATE = 1 / 64, 20, 0.4
 
 LOCAL_PART = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -295,19 +306,11 @@ def examples(text: str) -> list[tuple[str, bool, list[float]]]:
             example = known or called or (telling and told) or generator == "spelled"
             found.append((i, (generator, example, features(text, generator, a, b, shape))))
     found = [e for _, e in sorted(found, key=lambda f: f[0])]
-    for kind, a, b in bases[:PER_TEXT]:
+    for kind, a, b in bases:
         if kind == "phone":
             for variant in variants(text[a:b]):
                 found.append(("digits", True, features(text[max(0, a - 40) : a] + variant + text[b : b + 1], "digits", min(a, 40), min(a, 40) + len(variant))))
-    found += [("random", False, features(text, "random", m.start(), m.end())) for m, _ in zip(WORDS.finditer(text), range(3), strict=False)]
-    if len(found) > PER_TEXT:
-        # Each generator in turn, so that many candidates of one do not leave out another.
-        turn = Counter()
-        ranked = []
-        for i, e in enumerate(found):
-            ranked.append((turn[e[0]], i))
-            turn[e[0]] += 1
-        found = [found[i] for _, i in sorted(ranked)[:PER_TEXT]]
+    found += [("random", False, features(text, "random", m.start(), m.end())) for m in WORDS.finditer(text)]
     return found
 
 
@@ -361,7 +364,9 @@ class Judge:
     threshold: float
 
     def probability(self, x: np.ndarray) -> np.ndarray:
-        raw = self.trees.probability(x)
+        return self.calibrated(np.rint(self.trees.output(self.trees.binned(x)) / STEP) * STEP)
+
+    def calibrated(self, raw: np.ndarray) -> np.ndarray:
         return self.levels[np.clip(np.searchsorted(self.steps, raw, side="right") - 1, 0, len(self.levels) - 1)]
 
 
@@ -376,12 +381,12 @@ class Model:
         return out
 
 
-def isotonic(scores: np.ndarray, truth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Steps of the non-decreasing function nearest to the truth: (where a level begins, level)."""
+def isotonic(scores: np.ndarray, good: np.ndarray, all_rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Steps of the non-decreasing function nearest to the share of ``good`` among ``all_rows``: (where a level begins, level)."""
     order = np.argsort(scores, kind="stable")
     blocks: list[list[float]] = []
-    for s, t in zip(scores[order], truth[order], strict=True):
-        blocks.append([s, float(t), 1.0])
+    for s, t, n in zip(scores[order], good[order], all_rows[order], strict=True):
+        blocks.append([s, float(t), float(n)])
         while len(blocks) > 1 and blocks[-2][1] / blocks[-2][2] >= blocks[-1][1] / blocks[-1][2]:
             last = blocks.pop()
             blocks[-1][1] += last[1]
@@ -409,53 +414,166 @@ def _drawn(content: DataFrame, sample: int) -> list[int]:
     return sorted(drawn)
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE, text: str = "text") -> Model | None:
-    content = docs.select(docs[text].cast("string").alias("text")).where(F.col("text").rlike(r"[0-9:=]|[\[(](at|AT)[\])]"))
-    content = content.select("text", F.xxhash64("text").alias("hash"))
-    drawn = _drawn(content, sample)
-    if not drawn:
-        return None
+def _rows(text: str) -> tuple[list[int], list[bool], np.ndarray]:
+    """(generator, whether an example, bins) of what a text teaches; some without context, but for held-back ones."""
+    found = examples(text)
+    if not found:
+        return [], [], np.zeros((0, 0), np.uint8)
+    x = np.array([e[2] for e in found])
+    if not _held(np.array([crc(text)], U64))[0]:
+        x[mix(np.arange(len(x), dtype=U64) + U64(crc(text))) % U64(2) == 0, -CONTEXT:] = -1
+    return [GENERATORS.index(e[0]) for e in found], [e[1] for e in found], _bins(x)
+
+
+def _bins(x: np.ndarray) -> np.ndarray:
+    return np.searchsorted(GRID, x, side="right").astype(np.uint8)
+
+
+def _held(number: np.ndarray) -> np.ndarray:
+    return mix(number) % U64(4) == 0
+
+
+def _taught(content: DataFrame) -> DataFrame:
+    """What the different texts teach: generator, example, held, bins, and how many such rows there are (n)."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[int] = set()
         for batch in stream:
-            rows = []
-            for t, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if h not in done:
-                    done.add(h)
-                    rows += [(h, crc(t), *e) for e in examples(t)]
+            texts = [(t, h) for t, h in zip(*(c.to_pylist() for c in batch.columns), strict=True) if candidates(t)]
+            rows = [_rows(t) for t, _ in texts]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([h for _, h in texts], pa.int64()), pa.array(_held(np.array([crc(t) for t, _ in texts], U64)), pa.bool_()),
+                    pa.array([bytes(g) for g, _, _ in rows], pa.binary()), pa.array([bytes(e) for _, e, _ in rows], pa.binary()),
+                    pa.array([x.tobytes() for _, _, x in rows], pa.binary()),
+                ],
+                names=["hash", "held", "generators", "examples", "bins"],
+            )
+
+    def listed(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            generators, marks, bins = (batch.column(c).to_pylist() for c in ("generators", "examples", "bins"))
+            held = np.repeat(batch.column("held").to_numpy(zero_copy_only=False).astype(bool), [len(g) for g in generators])
+            joined = b"".join(bins)
+            size = len(joined) // max(len(held), 1)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
-                    pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.bool_()),
-                    pa.array([r[4] for r in rows], pa.list_(pa.float64())),
+                    pa.array(np.frombuffer(b"".join(generators), np.uint8).astype(np.int32)), pa.array(np.frombuffer(b"".join(marks), np.uint8) == 1),
+                    pa.array(held), pa.array([joined[i : i + size] for i in range(0, len(joined), size or 1)], pa.binary()),
                 ],
-                names=["hash", "text_crc", "generator", "example", "x"],
+                names=["generator", "example", "held", "bins"],
             )
 
-    wanted = content.sparkSession.createDataFrame([(h,) for h in drawn], "hash long")
-    chosen = content.join(F.broadcast(wanted), "hash", "left_semi").select("text", "hash")
-    # The same text may have come from several tasks.
-    rows = mapped(chosen, run, "hash long, text_crc long, generator string, example boolean, x array<double>").distinct().collect()
-    rows = sorted((r[1], r[2], r[3], r[4]) for r in rows) + invented()
-    return Model({generator: _judge([r for r in rows if r[1] == generator]) for generator in GENERATORS})
+    # The same text, wherever it comes from, teaches the same.
+    texts = mapped(content, run, "hash long, held boolean, generators binary, examples binary, bins binary").dropDuplicates(["hash"])
+    rows = mapped(texts, listed, "generator int, example boolean, held boolean, bins binary")
+    return rows.groupBy("generator", "example", "held", "bins").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """(generator, bins, whether an example, how often) of the rows of a batch."""
+    bins = np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(len(batch), -1).astype(np.int64)
+    column = lambda name: batch.column(name).to_numpy(zero_copy_only=False)
+    return column("generator"), bins, column("example").astype(float), column("n")
+
+
+def _of(which: int, of: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
+    return [c[of == which] for c in columns]
 
 
-def _judge(rows: list[tuple[int, str, bool, list[float]]]) -> Judge:
-    x, y = np.array([r[3] for r in rows]), np.array([r[2] for r in rows], float)
-    # By text; the invented come in the same order for each kind.
-    held = np.array([mix(np.array([r[0]], U64))[0] % U64(4) == 0 for r in rows])
-    masked = x.copy()
+def _summed(rows: DataFrame, sums) -> pa.Table:
+    """Sums over all rows by generator and cell: ``sums`` gives (cells, one, two) of a generator's rows of a batch."""
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            if not len(batch):
+                continue
+            of, *columns = _arrays(batch)
+            for generator in np.unique(of):
+                found = [np.asarray(c, np.int64) for c in sums(generator, *_of(generator, of, *columns))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(found[0]), generator, np.int32)), *map(pa.array, found)], names=["generator", "cell", "one", "two"]
+                )
+
+    return mapped(rows, run, "generator int, cell long, one long, two long").groupBy("generator", "cell").agg(
+        F.sum("one").alias("one"), F.sum("two").alias("two")
+    ).toArrow()
+
+
+def _fit(forest: list[BoostedTrees], rows: DataFrame, more: tuple[np.ndarray, ...]) -> None:
+    """Grows the trees of all generators, level by level, on ``rows`` and the arrays ``more``."""
+
+    def sums(generator: int, bins: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        g, h = (a.ravel() for a in forest[generator].gradients(bins, y, n))
+        cells = np.flatnonzero((g != 0) | (h != 0))
+        return cells, g[cells], h[cells]
+
+    while forest[0].unfinished:
+        for trees in forest:
+            trees.plant()
+        found = _summed(rows, sums)
+        of, cell, one, two = (found.column(c).to_numpy() for c in ("generator", "cell", "one", "two"))
+        for generator, trees in enumerate(forest):
+            g, h = trees.gradients(*_of(generator, *more))
+            at, slope, curve = _of(generator, of, cell, one, two)
+            g.ravel()[at] += slope
+            h.ravel()[at] += curve
+            trees.split(g, h)
+
+
+def learn(docs: DataFrame, sample: int | None = None, text: str = "text") -> Model | None:
+    """The model of all texts, or of ``sample`` texts for each generator."""
+    content = docs.select(docs[text].cast("string").alias("text")).where(F.col("text").rlike(r"[0-9:=]|[\[(](at|AT)[\])]"))
+    content = content.select("text", F.xxhash64("text").alias("hash"))
+    if sample is not None:
+        wanted = content.sparkSession.createDataFrame([(h,) for h in _drawn(content, sample)], "hash long")
+        content = content.join(F.broadcast(wanted), "hash", "left_semi").select("text", "hash")
+    rows = written(_taught(content), "personal-data-rows")
+    positive = F.sum(F.when(F.col("example"), F.col("n")).otherwise(0))
+    counts = rows.groupBy("generator", "held").agg(F.sum("n").alias("n"), positive.alias("good")).collect()
+    counted = {(r.generator, r.held): (r.n, r.good) for r in counts}
+    if not counted:
+        return None
+    number, generator, good, x = zip(*invented(), strict=True)
+    of, good, x, held = np.array([GENERATORS.index(g) for g in generator]), np.array(good, float), np.array(x), _held(np.array(number, U64))
     hidden = np.random.default_rng(5).random(len(x)) < 0.5
-    masked[hidden, -CONTEXT:] = -1
-    trees = BoostedTrees().fit(masked[~held], y[~held])
-    truth = y[held]
-    steps, levels = isotonic(trees.probability(x[held]), truth)
-    judge = Judge(trees, steps, levels, FALLBACK)
-    calibrated = judge.probability(x[held])
-    good = [t for t in np.unique(calibrated[truth == 1]) if t > 0 and truth[calibrated >= t].mean() >= PRECISION]
-    if good and truth.sum() >= ENOUGH:
-        judge.threshold = float(max(min(good), 0.5))
+    x[hidden & ~held, -CONTEXT:] = -1
+    n = np.zeros(len(x), np.int64)
+    for g in range(len(GENERATORS)):
+        corpus = sum(counted.get((g, h), (0, 0))[0] for h in (False, True))
+        n[of == g] = max(1, corpus // (3 * int((of == g).sum())))
+    bins = _bins(x).astype(np.int64)
+    more = lambda chosen: (of[chosen], bins[chosen], good[chosen], n[chosen])
+    forest = []
+    for g in range(len(GENERATORS)):
+        total, positive = counted.get((g, False), (0, 0))
+        _, y, often = _of(g, *more(~held))
+        trees = BoostedTrees(TREES, bins=BINS, rate=RATE).start((positive + (y * often).sum()) / (total + often.sum()))
+        trees.cuts = [GRID] * x.shape[1]
+        forest.append(trees)
+    _fit(forest, rows.where("not held"), more(~held))
+
+    def outputs(generator: int, bins: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        step, place = np.unique(np.rint(forest[generator].output(bins) / STEP).astype(np.int64), return_inverse=True)
+        return step, np.bincount(place, y * n, len(step)), np.bincount(place, n, len(step))
+
+    found = _summed(rows.where("held"), outputs)
+    at, *sums = (found.column(c).to_numpy() for c in ("generator", "cell", "one", "two"))
+    judges = {}
+    for g, name in enumerate(GENERATORS):
+        steps = [np.concatenate(c) for c in zip(_of(g, at, *sums), outputs(g, *_of(g, *more(held))), strict=True)]
+        judges[name] = _judge(forest[g], *steps)
+    return Model(judges)
+
+
+def _judge(trees: BoostedTrees, steps: np.ndarray, good: np.ndarray, n: np.ndarray) -> Judge:
+    """Calibrated by how many held-back rows, and examples among them, have each output."""
+    raw, place = np.unique(steps, return_inverse=True)
+    raw, good, n = raw * STEP, np.bincount(place, good, len(raw)), np.bincount(place, n, len(raw))
+    judge = Judge(trees, *isotonic(raw, good, n), FALLBACK)
+    calibrated = judge.calibrated(raw)
+    reached = [t for t in np.unique(calibrated[good > 0]) if t > 0 and good[calibrated >= t].sum() / n[calibrated >= t].sum() >= PRECISION]
+    if reached and good.sum() >= ENOUGH:
+        judge.threshold = float(max(min(reached), 0.5))
     return judge
 
 

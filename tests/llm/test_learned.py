@@ -3,6 +3,7 @@
 import random
 import re
 import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -180,6 +181,24 @@ def test_rare_kinds_are_found_in_any_table(spark):
     assert found_in(personal_data.find(docs.where("doc_id < 100"), personal_data.learn(docs, sample=20)).collect()) == wanted
 
 
+def test_all_candidates_of_all_texts_teach(spark, monkeypatch):
+    def refused(*_):
+        raise AssertionError("a sample was drawn")
+
+    monkeypatch.setattr(personal_data, "_drawn", refused)
+    many = "".join(f"order 57310803{i:05d} of day {i}, " for i in range(150))
+    texts = [many, *(f"{i} items, order 57310803{i:08d} was sent with password=a{i:05d}bcd" for i in range(1700))]
+    docs = documents(spark, list(enumerate(texts + texts[:30])))
+    taught = personal_data._taught(docs.select("text", F.xxhash64("text").alias("hash"))).groupBy("generator").sum("n").collect()
+    plain = Counter(personal_data.GENERATORS.index(g) for t in texts for g, _, _ in personal_data.examples(t))
+    assert {r[0]: r[1] for r in taught} == plain and plain[2] == 1850
+    # However the table is dealt to tasks, the same is learnt.
+    one, other = (personal_data.learn(docs.repartition(n, "doc_id")) for n in (1, 7))
+    for name, judge in one.judges.items():
+        assert judge.threshold == other.judges[name].threshold
+        assert np.array_equal(judge.steps, other.judges[name].steps) and np.array_equal(judge.levels, other.judges[name].levels)
+
+
 def test_long_values_are_covered_whole(spark):
     pick = random.Random(8)
     some = lambda letters, n: "".join(pick.choice(letters) for _ in range(n))
