@@ -85,6 +85,16 @@ def test_repeats_of_the_given_documents(spark):
     assert len(rows) == len(docs) and any(r.n_removed for r in rows)
 
 
+def test_query_gives_what_is_left_as_text(spark, tmp_path):
+    passage = " ".join(f"word{i}" for i in range(60))
+    texts = ["first " + passage + " end", "other " + passage + " stop", "short", None, "é" + "a" * 400, "ũ" + "a" * 400]
+    documents(spark, enumerate(texts)).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    left = {r.doc_id: (r.n_removed, r.text) for r in entry_module.queries()["op1_suffix_dedup"](spark, str(tmp_path)).collect()}
+    n = len(passage) + 2
+    # The last byte of the two letters is the same and goes, so half a character is left.
+    assert left == {0: (n, "firstend"), 1: (n, "otherstop"), 2: (0, "short"), 3: (0, ""), 4: (401, "\ufffd"), 5: (401, "\ufffd")}
+
+
 def test_repeated_rows_are_copies_and_empty_tables_empty(spark):
     text = "".join(chr(97 + i * i % 26) for i in range(300))
     docs = documents(spark, [(1, text), (1, text), (2, "other"), (None, text + "!")])
