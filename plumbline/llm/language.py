@@ -5,9 +5,11 @@ lower-cased text, word ends included, digits and punctuation left out), hashed i
 frequency, and scaled to length 1. Document frequencies are counted over all rows to
 learn from. The vectors of each language in a bounded sample (``PER_LANGUAGE`` different
 texts, chosen by their hash, however often each occurs) are clustered into ``CLUSTERS``
-centroids by spherical k-means. A text gets the language of the centroid of the largest
-cosine; the score is that cosine. More than ``LANGUAGES`` languages are refused, as each
-takes its part of the driver's memory.
+centroids by spherical k-means, each language in a task of its own: its sample never comes
+to the driver, which gets the centroids and two numbers for each held-back text. A text gets
+the language of the centroid of the largest cosine; the score is that cosine. More than
+``LANGUAGES`` languages are refused, as the centroids of each take their part of the
+driver's memory.
 
 Rejection is by distance. Every fourth sampled text is held back, whole and as a piece of
 ``PIECES`` bytes from somewhere in it, and compared with centroids of the others. Sorted by
@@ -98,9 +100,12 @@ def slices(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
 
 
 def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    x = np.log1p(counts) * idf
+    """The vectors of counts, in one new array."""
+    x = np.log1p(counts)
+    x *= idf
     norm = np.sqrt(np.einsum("ij,ij->i", x, x))
-    return x / np.maximum(norm, 1e-12)[:, None]
+    x /= np.maximum(norm, 1e-12)[:, None]
+    return x
 
 
 def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
@@ -120,8 +125,8 @@ def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
     return int(frequencies[0]), frequencies[1:]
 
 
-def sample_counts(sample: DataFrame) -> list[tuple[str, int, bool, np.ndarray, np.ndarray]]:
-    """(language, hash, whether a piece, cells, counts) of each different text, whole and a piece of it."""
+def sample_counts(sample: DataFrame) -> DataFrame:
+    """Language, hash, whether a piece, cells and counts of each different text, whole and a piece of it."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[tuple[str, int]] = set()
@@ -149,11 +154,7 @@ def sample_counts(sample: DataFrame) -> list[tuple[str, int, bool, np.ndarray, n
 
     found = mapped(sample.select("lang", "hash", "text"), run, "lang string, hash long, piece boolean, cells binary, counts binary")
     # The same text may have come from several tasks.
-    rows = found.dropDuplicates(["lang", "hash", "piece"]).collect()
-    return [
-        (r[0], r[1], r[2], np.frombuffer(bytes(r[3]), np.int16), np.frombuffer(bytes(r[4]), np.float32))
-        for r in sorted(rows, key=lambda r: r[:3])
-    ]
+    return found.dropDuplicates(["lang", "hash", "piece"])
 
 
 def k_means(x: np.ndarray, clusters: int) -> np.ndarray:
@@ -197,6 +198,30 @@ def usual(lengths: np.ndarray, cosines: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.array([np.median(lengths[g]) for g in groups]), np.array([np.quantile(cosines[g], 0.01) for g in groups])
 
 
+def clustered(sample: DataFrame, idf: np.ndarray) -> DataFrame:
+    """The centroids of each language, and lengths and cosines of its held-back texts; a task has one bounded sample at a time."""
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("hash", "ascending"), ("piece", "ascending")])
+        dense = np.zeros((len(rows), BUCKETS), np.float32)
+        for row, cells, counts in zip(dense, rows["cells"], rows["counts"], strict=True):
+            row[np.frombuffer(cells.as_buffer(), np.int16)] = np.frombuffer(counts.as_buffer(), np.float32)
+        size, x = dense.sum(axis=1), weighted(dense, idf)
+        del dense
+        codes = rows["hash"].to_numpy()
+        held = np.isin(codes, np.unique(codes)[1::4])
+        whole = ~rows["piece"].to_numpy()
+        lengths = cosines = np.zeros(0, np.float32)
+        own = k_means(x[whole], CLUSTERS)
+        if held.any():
+            others = k_means(x[whole & ~held], CLUSTERS)
+            cosines = (x[held & (size > 0)] @ others.T).max(axis=1)
+            lengths = log_length(size[held & (size > 0)])
+        return pa.table({"lang": [key[0]], **{n: [c.tobytes()] for n, c in (("centroids", own), ("lengths", lengths), ("cosines", cosines))}})
+
+    return sample.groupBy("lang").applyInArrow(run, "lang string, centroids binary, lengths binary, cosines binary")
+
+
 def learn(rows: DataFrame, per_language: int = PER_LANGUAGE, most_languages: int = LANGUAGES) -> Model | None:
     """A model from columns ``text`` and ``lang``; None without rows to learn from."""
     known = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("text", F.col("lang").cast("string").alias("lang"))
@@ -214,28 +239,17 @@ def learn(rows: DataFrame, per_language: int = PER_LANGUAGE, most_languages: int
     idf = (np.log((1 + total) / (1 + frequencies)) + 1).astype(np.float32)
     wanted = known.sparkSession.createDataFrame(drawn(texts, sizes, per_language), "lang string, hash long")
     scratch.remove()
-    found = sample_counts(known.join(F.broadcast(wanted), ["lang", "hash"], "left_semi"))
+    sample = known.join(F.broadcast(wanted), ["lang", "hash"], "left_semi")
+    found = sorted(clustered(sample_counts(sample), idf).collect())
     languages = sorted(sizes)
-    centroids, of, cosines, lengths = [], [], [], []
-    for number, language in enumerate(languages):
-        mine = [r for r in found if r[0] == language]
-        if not mine:
-            continue
-        dense = np.zeros((len(mine), BUCKETS), np.float32)
-        for row, (*_, cells, counts) in zip(dense, mine, strict=True):
-            row[cells] = counts
-        x, size = weighted(dense, idf), dense.sum(axis=1)
-        codes = np.unique([r[1] for r in mine])
-        held = np.isin([r[1] for r in mine], codes[1::4])
-        whole = np.array([not r[2] for r in mine])
-        own = k_means(x[whole], CLUSTERS)
-        centroids.append(own)
-        of += [number] * len(own)
-        if held.any():
-            others = k_means(x[whole & ~held], CLUSTERS)
-            cosines.append((x[held & (size > 0)] @ others.T).max(axis=1))
-            lengths.append(log_length(size[held & (size > 0)]))
-    knots = usual(np.concatenate(lengths or [np.zeros(0)]), np.concatenate(cosines or [np.zeros(0)]))
+    centroids, of, lengths, cosines = [], [], [], []
+    for language, *columns in found:
+        own, apart, close = (np.frombuffer(bytes(c), np.float32) for c in columns)
+        centroids.append(own.reshape(-1, BUCKETS))
+        of += [languages.index(language)] * len(centroids[-1])
+        lengths.append(apart)
+        cosines.append(close)
+    knots = usual(np.concatenate(lengths), np.concatenate(cosines))
     return Model(languages, np.concatenate(centroids), np.array(of), idf, knots[0], (REJECT * knots[1]).astype(np.float32))
 
 

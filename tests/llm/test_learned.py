@@ -3,6 +3,7 @@
 import random
 import re
 import time
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -55,6 +56,26 @@ def test_languages_of_odd_documents(spark):
     assert language.identify(documents(spark, []).limit(0), model).count() == 0
 
 
+def test_languages_are_fitted_outside_the_driver(spark):
+    """The sampled texts of a language meet in a task of that language; the driver gets centroids and numbers."""
+    draw = random.Random(5)
+    letters = {"x": "abcdef", "y": "ghijkl", "z": "mnopqr"}
+    word = lambda lang: "".join(draw.choices(letters[lang], k=draw.randint(2, 7)))
+    rows = [(" ".join(word(lang) for _ in range(draw.randint(5, 60))), lang) for lang in letters for _ in range(300)]
+    docs = spark.createDataFrame([*rows, ("stuvw " * 9, "single")], "text string, lang string")
+    tracemalloc.start()
+    model = language.learn(docs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10e6
+    assert model.languages == ["single", "x", "y", "z"] and np.bincount(model.of).tolist() == [1, 4, 4, 4]
+    assert np.allclose(np.linalg.norm(model.centroids, axis=1), 1, atol=1e-4)
+    # Of each language with several texts a quarter is held back, whole and some also as a piece; these make the limits.
+    assert len(model.lengths) > 1 and (model.least > 0).all()
+    found = language.identify(docs, model)
+    assert found.where("lang_pred <> lang").count() == 0 and found.where("rejected").count() < 10
+
+
 def auc(score, label):
     order = np.argsort(score)
     rank = np.empty(len(score))
