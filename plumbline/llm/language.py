@@ -28,6 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -125,6 +126,35 @@ def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
     return int(frequencies[0]), frequencies[1:]
 
 
+def sparse(row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cells of a row that are not zero, and what they hold."""
+    cells = np.flatnonzero(row).astype(np.int16)
+    return cells, row[cells]
+
+
+def blocks(rows: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[np.ndarray]:
+    """``SLICE_ROWS`` sparse rows at a time, with their zeros; a sample is never held so as a whole."""
+    for first in range(0, len(rows), SLICE_ROWS):
+        part = rows[first : first + SLICE_ROWS]
+        dense = np.zeros((len(part), BUCKETS), np.float32)
+        for row, (cells, values) in zip(dense, part, strict=True):
+            row[cells] = values
+        yield dense
+
+
+def products(rows: list[tuple[np.ndarray, np.ndarray]], vectors: np.ndarray) -> np.ndarray:
+    """The product of each row with each vector."""
+    return np.concatenate([np.zeros((0, len(vectors)), np.float32), *[block @ vectors.T for block in blocks(rows)]])
+
+
+def sums(rows: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, clusters: int) -> np.ndarray:
+    """The sum of the rows of each label."""
+    found = np.zeros((clusters, BUCKETS), np.float32)
+    for (cells, values), k in zip(rows, label, strict=True):
+        found[k][cells] += values
+    return found
+
+
 def sample_counts(sample: DataFrame) -> DataFrame:
     """Language, hash, whether a piece, cells and counts of each different text, whole and a piece of it."""
 
@@ -134,20 +164,19 @@ def sample_counts(sample: DataFrame) -> DataFrame:
             keys = list(zip(batch.column("lang").to_pylist(), batch.column("hash").to_pylist(), strict=True))
             new = [i for i, key in enumerate(keys) if key not in done and not done.add(key)]
             fresh = batch.take(pa.array(new, pa.int64()))
-            rows = [(new[first + i], False, row) for first, _, counts in slices(fresh) for i, row in enumerate(counts)]
+            rows = [(new[first + i], False, *sparse(row)) for first, _, counts in slices(fresh) for i, row in enumerate(counts)]
             data, offsets = string_column(pa.RecordBatch.from_arrays([pc.utf8_lower(fresh.column("text"))], names=["text"]), "text")
             for i, (begin, end) in enumerate(zip(offsets, offsets[1:], strict=False)):
                 draw = keys[new[i]][1] % (1 << 31)
                 size = PIECES[draw % len(PIECES)]
                 if end - begin > size:
                     begin += draw // len(PIECES) % (end - begin - size + 1)
-                    rows.append((new[i], True, gram_counts(data[begin : begin + size], np.array([0, size]))[0]))
-            used = [np.flatnonzero(row) for _, _, row in rows]
+                    rows.append((new[i], True, *sparse(gram_counts(data[begin : begin + size], np.array([0, size]))[0])))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([keys[i][0] for i, _, _ in rows], pa.string()), pa.array([keys[i][1] for i, _, _ in rows], pa.int64()),
-                    pa.array([piece for _, piece, _ in rows], pa.bool_()), pa.array([u.astype(np.int16).tobytes() for u in used], pa.binary()),
-                    pa.array([row[u].astype(np.float32).tobytes() for u, (_, _, row) in zip(used, rows, strict=True)], pa.binary()),
+                    pa.array([keys[r[0]][0] for r in rows], pa.string()), pa.array([keys[r[0]][1] for r in rows], pa.int64()),
+                    pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2].tobytes() for r in rows], pa.binary()),
+                    pa.array([r[3].tobytes() for r in rows], pa.binary()),
                 ],
                 names=["lang", "hash", "piece", "cells", "counts"],
             )
@@ -157,19 +186,19 @@ def sample_counts(sample: DataFrame) -> DataFrame:
     return found.dropDuplicates(["lang", "hash", "piece"])
 
 
-def k_means(x: np.ndarray, clusters: int) -> np.ndarray:
+def k_means(rows: list[tuple[np.ndarray, np.ndarray]], clusters: int) -> np.ndarray:
     """Centroids of length 1; the first are far from each other, so that the result is the same each time."""
-    centre = x.mean(axis=0)
-    chosen = [int(np.argmax(x @ centre))]
-    nearest = x @ x[chosen[0]]
-    while len(chosen) < min(clusters, len(x)):
+    centre = sums(rows, np.zeros(len(rows), np.int64), 1) / np.float32(len(rows))
+    chosen = [int(np.argmax(products(rows, centre)))]
+    while len(chosen) < min(clusters, len(rows)):
+        nearest = products(rows, next(blocks([rows[i] for i in chosen]))).max(axis=1)
         chosen.append(int(np.argmin(nearest)))
-        nearest = np.maximum(nearest, x @ x[chosen[-1]])
-    centroids = x[chosen]
+    centroids = next(blocks([rows[i] for i in chosen]))
     for _ in range(ROUNDS):
-        label = np.argmax(x @ centroids.T, axis=1)
-        sums = np.stack([x[label == k].sum(axis=0) if (label == k).any() else centroids[k] for k in range(len(centroids))])
-        centroids = sums / np.maximum(np.linalg.norm(sums, axis=1), 1e-12)[:, None]
+        label = np.argmax(products(rows, centroids), axis=1)
+        filled = np.isin(np.arange(len(centroids)), label)
+        totals = np.where(filled[:, None], sums(rows, label, len(centroids)), centroids)
+        centroids = totals / np.maximum(np.linalg.norm(totals, axis=1), 1e-12)[:, None]
     return centroids
 
 
@@ -198,26 +227,35 @@ def usual(lengths: np.ndarray, cosines: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.array([np.median(lengths[g]) for g in groups]), np.array([np.quantile(cosines[g], 0.01) for g in groups])
 
 
+def fitted(rows: pa.Table, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The centroids of one language, and lengths and cosines of its held-back texts."""
+    codes = np.unique(rows["hash"].to_numpy())
+    # Pieces are needed of held-back texts only.
+    held = pc.is_in(rows["hash"], pa.array(codes[1::4], pa.int64()))
+    rows = rows.append_column("held", held).filter(pc.or_(held, pc.invert(rows["piece"]))).sort_by([("hash", "ascending"), ("piece", "ascending")])
+    counts = [
+        (np.frombuffer(cells.as_buffer(), np.int16), np.frombuffer(values.as_buffer(), np.float32))
+        for cells, values in zip(rows["cells"], rows["counts"], strict=True)
+    ]
+    size = np.concatenate([block.sum(axis=1) for block in blocks(counts)])
+    vectors = [sparse(row) for block in blocks(counts) for row in weighted(block, idf)]
+    held, whole = rows["held"].to_numpy(), ~rows["piece"].to_numpy()
+    lengths = cosines = np.zeros(0, np.float32)
+    own = k_means(list(compress(vectors, whole)), CLUSTERS)
+    if held.any():
+        others = k_means(list(compress(vectors, whole & ~held)), CLUSTERS)
+        compared = held & (size > 0)
+        cosines = products(list(compress(vectors, compared)), others).max(axis=1)
+        lengths = log_length(size[compared])
+    return own, lengths, cosines
+
+
 def clustered(sample: DataFrame, idf: np.ndarray) -> DataFrame:
-    """The centroids of each language, and lengths and cosines of its held-back texts; a task has one bounded sample at a time."""
+    """What ``fitted`` finds for each language; a task has one bounded sample at a time."""
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("hash", "ascending"), ("piece", "ascending")])
-        dense = np.zeros((len(rows), BUCKETS), np.float32)
-        for row, cells, counts in zip(dense, rows["cells"], rows["counts"], strict=True):
-            row[np.frombuffer(cells.as_buffer(), np.int16)] = np.frombuffer(counts.as_buffer(), np.float32)
-        size, x = dense.sum(axis=1), weighted(dense, idf)
-        del dense
-        codes = rows["hash"].to_numpy()
-        held = np.isin(codes, np.unique(codes)[1::4])
-        whole = ~rows["piece"].to_numpy()
-        lengths = cosines = np.zeros(0, np.float32)
-        own = k_means(x[whole], CLUSTERS)
-        if held.any():
-            others = k_means(x[whole & ~held], CLUSTERS)
-            cosines = (x[held & (size > 0)] @ others.T).max(axis=1)
-            lengths = log_length(size[held & (size > 0)])
-        return pa.table({"lang": [key[0]], **{n: [c.tobytes()] for n, c in (("centroids", own), ("lengths", lengths), ("cosines", cosines))}})
+        columns = dict(zip(("centroids", "lengths", "cosines"), fitted(rows, idf), strict=True))
+        return pa.table({"lang": [key[0]], **{name: [found.tobytes()] for name, found in columns.items()}})
 
     return sample.groupBy("lang").applyInArrow(run, "lang string, centroids binary, lengths binary, cosines binary")
 

@@ -7,6 +7,7 @@ import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import documents, near_classes
 from pyspark.sql import functions as F
@@ -76,6 +77,44 @@ def test_languages_are_fitted_outside_the_driver(spark):
     assert found.where("lang_pred <> lang").count() == 0 and found.where("rejected").count() < 10
 
 
+def test_languages_are_fitted_in_little_memory():
+    """No task holds a sample with all its zeros, which would be 39 MB for each 1,200 texts."""
+    draw = np.random.default_rng(6)
+    cells = [np.sort(draw.choice(language.BUCKETS, 200, replace=False)).astype(np.int16) for _ in range(2400)]
+    counts = [draw.integers(1, 9, 200).astype(np.float32) for _ in cells]
+    rows = pa.table({
+        "hash": pa.array([i // 2 - 600 for i in range(2400)], pa.int64()), "piece": [i % 2 == 1 for i in range(2400)],
+        "cells": [c.tobytes() for c in cells], "counts": [c.tobytes() for c in counts],
+    })
+    idf = draw.uniform(1, 5, language.BUCKETS).astype(np.float32)
+    tracemalloc.start()
+    own, lengths, cosines = language.fitted(rows.take(draw.permutation(2400)), idf)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25e6
+    # Against the same steps on whole matrices.
+    dense = np.zeros((2400, language.BUCKETS), np.float32)
+    for row, c, n in zip(dense, cells, counts, strict=True):
+        row[c] = n
+    x = language.weighted(dense, idf)
+    whole, held = np.arange(2400) % 2 == 0, np.arange(2400) // 2 % 4 == 1
+
+    def plain(x):
+        chosen = [int(np.argmax(x @ x.mean(axis=0)))]
+        while len(chosen) < language.CLUSTERS:
+            chosen.append(int(np.argmin((x @ x[chosen].T).max(axis=1))))
+        centroids = x[chosen]
+        for _ in range(language.ROUNDS):
+            label = np.argmax(x @ centroids.T, axis=1)
+            totals = np.stack([x[label == k].sum(axis=0) if (label == k).any() else c for k, c in enumerate(centroids)])
+            centroids = totals / np.linalg.norm(totals, axis=1)[:, None]
+        return centroids
+
+    assert np.allclose(own, plain(x[whole]), atol=1e-5)
+    assert np.allclose(cosines, (x[held] @ plain(x[whole & ~held]).T).max(axis=1), atol=1e-5)
+    assert np.allclose(lengths, np.log2(dense[held].sum(axis=1)))
+
+
 def auc(score, label):
     order = np.argsort(score)
     rank = np.empty(len(score))
