@@ -15,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt_out(df: DataFrame) -> DataFrame:
+    """The same rows, in as many tasks as shuffles have, however few splits their files have."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as a transactions dataset: status stands for currency, priority for plan."""
     return table(spark, sf_dir, "orders").select(

@@ -1,8 +1,11 @@
 import json
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.catalogue.privacy import QUERIES
+from plumbline.functions import json_text
 from plumbline.functions.redaction import key_marker, redact_columns, redact_json, redact_text
 
 CONTENT, CREDENTIAL = "[REDACTED:dataset-content]", "[REDACTED:credential]"
@@ -110,3 +113,51 @@ def test_json_fails_closed_and_keeps_the_rest(spark, text, expected):
     assert "hunter2" not in redacted
     if expected is not None:
         assert redacted == expected
+
+
+CHAIN = '{"l":' * 100
+
+
+@pytest.mark.parametrize(
+    "text, shortened",
+    [
+        (CHAIN + '{"password":"hunter2"}' + "}" * 100, True),
+        ('{"kind":"dv_1","list":[1,' + "[" * 99 + "true" + "]" * 99 + '],"token":2}', True),
+        ('{ "a" : [\n' * 90 + "1.50" + " ] }" * 90 + " ", True),
+        ('{"é":' * 70 + "{}" + "}" * 70, True),
+        (CHAIN + '"x"' + "}" * 99 + ',"password":"hunter2"}', True),
+        (CHAIN + '{"a":1},"b":2' + "}" * 100, False),
+        (CHAIN + '{"password":"hunter2"' + "}" * 100, True),
+        (CHAIN + "01" + "}" * 100, False),
+        (CHAIN + "1" + "}" * 50 + "]" + "}" * 49, False),
+        (CHAIN + "1" + "}" * 99, True),
+        (CHAIN + "1" + "}" * 101, True),
+        ('{"a\\"":' * 80 + "1" + "}" * 80, False),
+        ('{"x":"' + "[" * 80 + "1" + "]" * 80 + '"}', False),
+    ],
+)
+def test_a_chain_of_levels_is_not_built(monkeypatch, text, shortened):
+    """What lies too deep in it goes before the text is decoded; the result is that of the whole text."""
+    assert (len(json_text._without_chain(text, 8)) < len(text)) == shortened
+    found = json_text.json_redacted(text, 8)
+    monkeypatch.setattr(json_text, "_without_chain", lambda text, max_depth: text)
+    assert found == json_text.json_redacted(text, 8)
+    assert "hunter2" not in found
+
+
+def test_plain_strings_are_written_as_they_are(spark):
+    texts = ["BEARER abc", "a://b", "x=1", "l. v_", "é\u2028", "tab\t", 'quote"', "back\\slash", "\x7f"]
+    for text in texts:
+        written = json.dumps({"k": text}, ensure_ascii=False)
+        assert json.loads(json_text.json_redacted(written, 8)) == {"k": applied(spark, text, redact_text)}
+
+
+def test_rows_of_one_small_file_are_redacted_in_many_tasks(spark, tmp_path):
+    events = spark.range(40).selectExpr("IF(id % 7 = 0, NULL, id % 20) AS event_id", "'view' AS event_type")
+    events.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    frame = QUERIES["redact_extreme_props"](spark, str(tmp_path))
+    assert frame.rdd.getNumPartitions() == 8
+    rows = frame.collect()
+    assert Counter(r.event_id for r in rows) == Counter(r.event_id for r in events.collect())
+    assert {r.deep for r in rows if r.event_id is not None} == {'{"l":' * 9 + '"[REDACTED:max-depth-exceeded]"' + "}" * 9}
+    assert {r.broken for r in rows if r.event_id is not None} == {'{"kind":"view","token":"[REDACTED:credential]"'}
