@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.fence import fence
 from ..model import AGGREGATIONS_BY_TYPE, FILTERS_BY_TYPE, TIMESTAMPTZ
 
 
@@ -58,33 +60,68 @@ def broken_queries(references: DataFrame, columns: DataFrame) -> DataFrame:
     usage ``dimension`` (detail: granularity or null), ``measure`` (detail:
     aggregation) or ``filter`` (detail: operator). ``columns`` are the current ones.
 
-    Whether a reference fits depends only on what it asks of which column, so that is
-    settled once per distinct ask. The verdicts, one row per broken ask, then go back to
-    the references; clean references never get there.
+    Every reference meets its column in one join. Only what can be broken is moved for it, with
+    ids as short as they can be without loss; a reference that names no column, or no dataset,
+    is dealt out, as it meets nothing. Hot columns are left to adaptive execution.
     """
     ask = ["dataset_id", "column_id", "usage", "detail"]
-    current = columns.select("dataset_id", "column_id", F.col("type").alias("_type"))
-    asked = references.groupBy(*ask).agg(F.count(F.lit(1)).alias("_uses"))
     # A count of all rows names no column; an order names something that the question itself has.
     counts_all = (F.col("usage") == "measure") & (F.col("detail") == "count") & F.col("column_id").isNull()
     ordering = F.col("usage") == "order"
+    fine = counts_all | (ordering & ~F.col("detail").eqNullSafe(UNRESOLVED))
     code = (
-        F.when(counts_all, None)
-        .when(F.col("usage") == SPEC, F.lit("SPEC_UNREADABLE"))
-        .when(ordering, F.when(F.col("detail") == UNRESOLVED, F.lit("ORDER_BY_UNRESOLVED")))
+        F.when(F.col("usage") == SPEC, F.lit("SPEC_UNREADABLE"))
+        .when(ordering, F.lit("ORDER_BY_UNRESOLVED"))
         .when(F.col("_type").isNull(), F.lit("COLUMN_REMOVED"))
         .when(~_supported(), F.lit("TYPE_INCOMPATIBLE"))
     )
-    verdicts = (
-        asked.join(current, ["dataset_id", "column_id"], "left")
+    short, long = _id_forms(references, columns)
+    nowhere = F.col("dataset_id").isNull() | F.col("column_id").isNull()
+    asked = references.filter(~F.coalesce(fine, F.lit(False))).select(
+        "saved_query_id",
+        "dataset_id",
+        short(F.col("column_id")).alias("column_id"),
+        F.when(nowhere, F.xxhash64("saved_query_id")).otherwise(F.lit(0).cast("bigint")).alias("_share"),
+        "usage",
+        "detail",
+    )
+    # The ids are fenced, as a filter on them would mint them all again.
+    current = columns.select(
+        "dataset_id", fence(short(F.col("column_id"))).alias("column_id"), F.col("type").alias("_type")
+    )
+    # A plain zero would be folded out of the join's keys.
+    nothing = F.when(F.col("column_id").isNotNull(), F.lit(0).cast("bigint"))
+    current = current.withColumn("_share", nothing)
+    return (
+        asked.join(current, ["dataset_id", "column_id", "_share"], "left")
         .withColumn("issue_code", code)
         .filter(F.col("issue_code").isNotNull())
-        .select(*[F.col(c).alias(f"_{c}") for c in ask], "issue_code")
+        .withColumn("column_id", long(F.col("column_id")))
+        .select("saved_query_id", *ask, "issue_code")
     )
-    same = F.lit(True)
-    for name in ask:
-        same = same & F.col(name).eqNullSafe(F.col(f"_{name}"))
-    return references.join(verdicts, same, "inner").select("saved_query_id", *ask, "issue_code")
+
+
+def _id_forms(*frames: DataFrame) -> tuple:
+    """How column ids are put shorter to be moved, and back. No two ids have the same short form.
+
+    The ids this library mints (:func:`fresh_column_id`) are 64 hexadecimal digits, which are 32
+    bytes. Any other text keeps its bytes, one more if it has 32 or more of them.
+    """
+    if any(frame.schema["column_id"].dataType != T.StringType() for frame in frames):
+        return (lambda column_id: column_id,) * 2
+
+    def short(column_id: Column) -> Column:
+        minted = (F.length(column_id) == 64) & (F.lower(F.hex(F.unhex(column_id))) == column_id)
+        plain = column_id.cast("binary")
+        other = F.when(F.octet_length(plain) < 32, plain).otherwise(F.concat(plain, F.lit(b"\0")))
+        return F.when(minted, F.unhex(column_id)).otherwise(other)
+
+    def long(packed: Column) -> Column:
+        size = F.octet_length(packed)
+        plain = F.when(size < 32, packed).otherwise(F.substring(packed, F.lit(1), size - 1))
+        return F.when(size == 32, F.lower(F.hex(packed))).otherwise(plain.cast("string"))
+
+    return short, long
 
 
 _SPEC = (

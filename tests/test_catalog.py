@@ -1,9 +1,12 @@
 import json
 import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.model import AGGREGATIONS_BY_TYPE, FILTERS_BY_TYPE
 from plumbline.operators import audit, catalog, schema
 from plumbline.operators.schema import broken_queries, references_of
 
@@ -229,3 +232,65 @@ def test_questions_that_cannot_be_read_are_broken(spark):
     broken = broken_queries(references_of(saved), columns).collect()
     assert sorted(r.saved_query_id for r in broken) == list(range(2, 11))
     assert {(r.dataset_id, r.column_id, r.usage, r.issue_code) for r in broken} == {(None, None, "spec", "SPEC_UNREADABLE")}
+
+
+ODD_IDS = [
+    "", "a", "é" * 16, "x" * 31, "x" * 32, "x" * 33, "x" * 31 + "\0", "x" * 32 + "\0", "0" * 32, "0" * 64, "ab" * 32, "AB" * 32,
+    "ab" * 31 + "a\n", "ab" * 31 + "g0", "é" * 64, "ab" * 33, "\0" * 32, "\0" * 33, None,
+]
+
+
+def test_ids_of_any_form_are_told_apart(spark):
+    short, long = schema._id_forms(*[spark.createDataFrame([], "column_id string")] * 2)
+    ids = spark.createDataFrame([(i,) for i in ODD_IDS], "column_id string").withColumn("short", short(F.col("column_id")))
+    rows = ids.withColumn("again", long(F.col("short"))).collect()
+    assert all(r.column_id == r.again for r in rows)
+    assert len({r.short and bytes(r.short) for r in rows}) == len(ODD_IDS)
+    assert {len(r.short) for r in rows if r.column_id in ("0" * 64, "ab" * 32)} == {32}
+
+
+@pytest.mark.parametrize("numbered", [False, True])
+def test_broken_queries_by_brute_force(spark, numbered):
+    """Repeated and missing ids on either side; ids that are numbers are compared as they are."""
+    known = list(range(len(ODD_IDS) - 1)) if numbered else ODD_IDS[:-1]
+    kind = "long" if numbered else "string"
+    columns = [(d, i, t) for d in ("d", None) for i, t in zip([*known[::2], None, known[0]], ["string", "decimal", "timestamptz"] * 9)]
+    asks = [("dimension", None), ("dimension", "month"), ("measure", "sum"), ("measure", "count"), ("measure", None), ("filter", "gt"),
+            ("order", None), ("order", "unresolved"), ("spec", None), (None, None)]
+    references = [(n % 7, d, i, u, a) for n, (d, i, (u, a)) in enumerate((d, i, x) for d in ("d", "e", None) for i in [*known, None] for x in asks)] * 2
+
+    def judged(d, i, u, a):
+        if (u, a, i) == ("measure", "count", None) or u == "order" and a != "unresolved":
+            return
+        for t in [t for e, j, t in columns if e == d and j == i and None not in (d, i)] or [None]:
+            if u in ("spec", "order"):
+                yield "SPEC_UNREADABLE" if u == "spec" else "ORDER_BY_UNRESOLVED"
+            elif t is None:
+                yield "COLUMN_REMOVED"
+            elif u == "dimension" and a and t != "timestamptz" or u == "measure" and a not in AGGREGATIONS_BY_TYPE[t]:
+                yield "TYPE_INCOMPATIBLE"
+            elif u in ("filter", None) and a not in FILTERS_BY_TYPE[t]:
+                yield "TYPE_INCOMPATIBLE"
+
+    frames = (
+        spark.createDataFrame(references, f"saved_query_id long, dataset_id string, column_id {kind}, usage string, detail string"),
+        spark.createDataFrame(columns, f"dataset_id string, column_id {kind}, type string"),
+    )
+    found = broken_queries(*frames)
+    assert found.columns == ["saved_query_id", "dataset_id", "column_id", "usage", "detail", "issue_code"]
+    assert dict(found.dtypes)["column_id"] == frames[0].schema["column_id"].dataType.simpleString()
+    expected = [(*r, code) for r in references for code in judged(*r[1:])]
+    assert Counter(tuple(r) for r in found.collect()) == Counter(expected)
+
+
+def test_every_reference_is_moved_once(spark):
+    references = spark.range(10).selectExpr("id AS saved_query_id", "'d' AS dataset_id", "sha2(CAST(id AS STRING), 256) AS column_id", "'filter' AS usage", "'eq' AS detail")
+    columns = references.selectExpr("dataset_id", "column_id", "'string' AS type")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = broken_queries(references, columns)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    dealt = re.findall(r"Exchange hashpartitioning\((.*)", plan)
+    assert len(dealt) == 2 and all("_share" in keys for keys in dealt)
